@@ -1,4 +1,4 @@
-"""Pointy-top hexagonal grid in planar metres, as Spark columns.
+"""Pointy-top hexagonal grid in planar metres, as SQL expression text.
 
 A cell id packs resolution, q and r into one long, so ids of different resolutions never collide
 and one pass can aggregate several resolutions by the id alone.
@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from hexloom.functions.numeric import num
 
 SQRT3 = math.sqrt(3.0)
 #: Edge length in metres at resolution 12; neighbouring resolutions differ by the root of seven.
@@ -24,74 +23,80 @@ def edge_length(res: int) -> float:
     return EDGE_RES12 * 7.0 ** ((12 - res) / 2.0)
 
 
-def pack_cell(res, q: Column, r: Column) -> Column:
-    """(res, q, r) to one long."""
-    head = F.shiftleft((F.lit(res) if isinstance(res, int) else res).cast("long"), 56)
-    column = F.shiftleft(q.cast("long") + F.lit(_OFFSET), 28)
-    return head.bitwiseOR(column).bitwiseOR(r.cast("long") + F.lit(_OFFSET))
+def pack_cell(res: int, q: str, r: str) -> str:
+    """(res, q, r) to one long: q and r are added onto the packed id of the origin cell."""
+    origin = (res << 56) + (_OFFSET << 28) + _OFFSET
+    return f"({origin}L + ({q}) * {1 << 28}L + ({r}))"
 
 
-def cell_res(cell: Column) -> Column:
-    return F.shiftrightunsigned(cell, 56).cast("int")
+def cell_res(cell: str) -> str:
+    return f"cast(shiftrightunsigned({cell}, 56) as int)"
 
 
-def cell_q(cell: Column) -> Column:
-    return F.shiftrightunsigned(cell, 28).bitwiseAND(F.lit(_MASK)) - F.lit(_OFFSET)
+def cell_q(cell: str) -> str:
+    return f"((shiftrightunsigned({cell}, 28) & {_MASK}L) - {_OFFSET}L)"
 
 
-def cell_r(cell: Column) -> Column:
-    return cell.bitwiseAND(F.lit(_MASK)) - F.lit(_OFFSET)
+def cell_r(cell: str) -> str:
+    return f"(({cell} & {_MASK}L) - {_OFFSET}L)"
 
 
-def cell_edge(cell: Column) -> Column:
+def cell_edge(cell: str) -> str:
     """Edge length of a cell, from literals so that every use sees the same double."""
-    lengths = F.array(*[F.lit(edge_length(res)) for res in range(MAX_RES + 1)])
-    return F.get(lengths, cell_res(cell))
+    lengths = ", ".join(num(edge_length(res)) for res in range(MAX_RES + 1))
+    return f"get(array({lengths}), {cell_res(cell)})"
 
 
-def cell_string(cell: Column) -> Column:
+def cell_string(cell: str) -> str:
     """Text form of a cell id."""
-    return F.lower(F.hex(cell))
+    return f"lower(hex({cell}))"
 
 
-def hex_cell(x: Column, y: Column, res: int) -> Column:
-    """Cell holding a point: axial coordinates rounded to the nearest cell centre."""
+def hex_cell(x: str, y: str, res: int) -> str:
+    """Cell holding a point.
+
+    Centres form two interleaved rectangular lattices; the nearest one of each is a rounding, and
+    the closer of the two wins. Kept short on purpose: long expressions outgrow the JIT compiler.
+    """
     size = edge_length(res)
-    qf = x * F.lit(SQRT3 / 3.0 / size) - y * F.lit(1.0 / 3.0 / size)
-    rf = y * F.lit(2.0 / 3.0 / size)
-    sf = -qf - rf
-    q, r, s = (F.floor(v + F.lit(0.5)) for v in (qf, rf, sf))
-    dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)
-    fix_q = (dq > dr) & (dq > ds)
-    cell_q_ = F.when(fix_q, -r - s).otherwise(q)
-    cell_r_ = F.when(~fix_q & (dr > ds), -q - s).otherwise(r)
-    return pack_cell(res, cell_q_, cell_r_)
-
-
-def hex_center(cell: Column) -> Column:
+    u, v = f"({x} / {num(SQRT3 * size)})", f"({y} / {num(3.0 * size)})"
+    even_i, even_j = f"floor({u} + 0.5D)", f"floor({v} + 0.5D)"
+    odd_i, odd_j = f"floor({u})", f"floor({v})"
+
+    def distance(du: str, dv: str) -> str:
+        return f"(({du}) * ({du}) + ({dv}) * ({dv}) * 3D)"
+
+    even = pack_cell(res, f"{even_i} - {even_j}", f"2 * {even_j}")
+    odd = pack_cell(res, f"{odd_i} - {odd_j}", f"2 * {odd_j} + 1")
+    to_even = distance(f"{u} - {even_i}", f"{v} - {even_j}")
+    to_odd = distance(f"{u} - {odd_i} - 0.5D", f"{v} - {odd_j} - 0.5D")
+    return f"CASE WHEN {to_even} <= {to_odd} THEN {even} ELSE {odd} END"
+
+
+def hex_center(cell: str) -> str:
     """struct(x, y) of the cell centre."""
     size, q, r = cell_edge(cell), cell_q(cell), cell_r(cell)
-    return F.struct(
-        (size * F.lit(SQRT3 / 2.0) * (q * 2 + r)).alias("x"), (size * F.lit(1.5) * r).alias("y")
+    return (
+        f"named_struct('x', {size} * {num(SQRT3 / 2.0)} * ({q} * 2 + {r}), "
+        f"'y', {size} * 1.5D * {r})"
     )
 
 
-def hex_boundary(cell: Column) -> Column:
+def hex_boundary(cell: str) -> str:
     """Six corners, counter-clockwise from the bottom.
 
     Corners come from whole multiples of half steps, so neighbouring cells share them bit for bit.
     """
     size, q, r = cell_edge(cell), cell_q(cell), cell_r(cell)
-    column, row = q * 2 + r, r * 3
-    return F.array(
-        *[
-            F.struct(
-                (size * F.lit(SQRT3 / 2.0) * (column + dx)).alias("x"),
-                (size * F.lit(0.5) * (row + dy)).alias("y"),
-            )
-            for dx, dy in ((0, -2), (1, -1), (1, 1), (0, 2), (-1, 1), (-1, -1))
-        ]
+    corners = ", ".join(
+        f"named_struct('x', h.w * (h.i + {dx}), 'y', h.h * (h.j + {dy}))"
+        for dx, dy in ((0, -2), (1, -1), (1, 1), (0, 2), (-1, 1), (-1, -1))
+    )
+    half_steps = (
+        f"named_struct('w', {size} * {num(SQRT3 / 2.0)}, 'h', {size} * 0.5D, "
+        f"'i', {q} * 2 + {r}, 'j', {r} * 3)"
     )
+    return f"get(transform(array({half_steps}), h -> array({corners})), 0)"
 
 
 def disk_offsets(k: int) -> list[tuple[int, int]]:
@@ -103,6 +108,6 @@ def disk_offsets(k: int) -> list[tuple[int, int]]:
     ]
 
 
-def disk_cells(cell: Column, k: int) -> Column:
+def disk_cells(cell: str, k: int) -> str:
     """Array of the ids within ``k`` steps. Offsets add directly onto the packed id."""
-    return F.array(*[cell + F.lit((dq << 28) + dr) for dq, dr in disk_offsets(k)])
+    return "array(" + ", ".join(f"{cell} + {(dq << 28) + dr}L" for dq, dr in disk_offsets(k)) + ")"

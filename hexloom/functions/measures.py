@@ -1,75 +1,73 @@
-"""Derived measures of a cell or area."""
+"""Derived measures of a cell or area, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from hexloom.functions.numeric import ratio, round_to
 
 
-def area_metrics(area_m2: Column, forest_m2: Column, trees: Column) -> dict[str, Column]:
+def area_metrics(area_m2: str, forest_m2: str, trees: str) -> dict[str, str]:
     """Square kilometres, clamped usable area, forest cover and density of one cell or area."""
-    forest = F.coalesce(forest_m2, F.lit(0.0))
-    usable = F.greatest(area_m2 - forest, F.lit(0.0)) / F.lit(1e6)
-    cover = F.when(
-        area_m2 > 0, F.least(forest / area_m2 * F.lit(100.0), F.lit(100.0))
-    ).otherwise(F.lit(0.0))
+    forest = f"coalesce({forest_m2}, 0D)"
+    usable = f"(greatest({area_m2} - {forest}, 0D) / 1e6D)"
+    cover = f"CASE WHEN {area_m2} > 0 THEN least({forest} / {area_m2} * 100D, 100D) ELSE 0D END"
     return {
-        "berlin_area_km2": round_to(area_m2 / F.lit(1e6), 4),
-        "forest_area_km2": round_to(forest / F.lit(1e6), 4),
+        "berlin_area_km2": round_to(f"{area_m2} / 1e6D", 4),
+        "forest_area_km2": round_to(f"{forest} / 1e6D", 4),
         "non_forest_area_km2": round_to(usable, 4),
         "forest_cover_pct": round_to(cover, 1),
-        "tree_density_km2": round_to(ratio(F.coalesce(trees, F.lit(0)), usable), 1),
+        "tree_density_km2": round_to(ratio(f"coalesce({trees}, 0)", usable), 1),
     }
 
 
-def suppress_artefacts(density: Column, cover_pct: Column, p95: Column) -> Column:
-    """Zero where little usable land inflates the density."""
-    value = F.coalesce(density, F.lit(0.0))
-    cover = F.coalesce(cover_pct, F.lit(0.0))
-    cap = F.greatest(F.coalesce(p95.cast("double"), F.lit(0.0)), F.lit(2.0))
-    return F.when(((cover > 85) & (value > cap)) | (cover > 95), F.lit(0.0)).otherwise(value)
+def _cap(p95: str) -> str:
+    return f"greatest(coalesce(cast({p95} as double), 0D), 2D)"
 
 
-def cover_band(cover_pct: Column) -> Column:
-    """'trees' below 33 % forest, 'forest' above 67 %, 'both' between."""
-    cover = F.coalesce(cover_pct, F.lit(0.0))
+def suppress_artefacts(density: str, cover_pct: str, p95: str) -> str:
+    """Zero where little usable land inflates the density."""
+    value, cover = f"coalesce({density}, 0D)", f"coalesce({cover_pct}, 0D)"
     return (
-        F.when(cover < 33, F.lit("trees")).when(cover > 67, F.lit("forest")).otherwise(F.lit("both"))
+        f"CASE WHEN ({cover} > 85 AND {value} > {_cap(p95)}) OR {cover} > 95 "
+        f"THEN 0D ELSE {value} END"
     )
 
 
-def clamp_top(quantiles: Column, p95: Column) -> Column:
-    """Replace the last breakpoint by max(p95, last but one + 1)."""
-    n = F.size(quantiles)
-    top = F.greatest(p95.cast("double"), F.element_at(quantiles, -2) + F.lit(1.0))
-    return F.when(n >= 2, F.concat(F.slice(quantiles, F.lit(1), n - 1), F.array(top)))
+def cover_band(cover_pct: str) -> str:
+    """'trees' below 33 % forest, 'forest' above 67 %, 'both' between."""
+    cover = f"coalesce({cover_pct}, 0D)"
+    return f"CASE WHEN {cover} < 33 THEN 'trees' WHEN {cover} > 67 THEN 'forest' ELSE 'both' END"
 
 
-def ascending_stops(quantiles: Column) -> Column:
-    """Breakpoints made strictly ascending by nudging ties 1e-6 upwards."""
+def clamp_top(quantiles: str, p95: str) -> str:
+    """Replace the last breakpoint by max(p95, last but one + 1)."""
+    top = f"greatest(cast({p95} as double), element_at({quantiles}, -2) + 1D)"
+    return (
+        f"CASE WHEN size({quantiles}) >= 2 THEN "
+        f"concat(slice({quantiles}, 1, size({quantiles}) - 1), array({top})) END"
+    )
 
-    def step(done, value):
-        last = F.element_at(done, -1)
-        return F.concat(done, F.array(F.when(value <= last, last + F.lit(1e-6)).otherwise(value)))
 
-    first = F.slice(quantiles, 1, 1)
-    return F.aggregate(F.slice(quantiles, F.lit(2), F.size(quantiles) - 1), first, step)
+def ascending_stops(quantiles: str) -> str:
+    """Breakpoints made strictly ascending by nudging ties 1e-6 upwards."""
+    last = "element_at(done, -1)"
+    step = f"concat(done, array(CASE WHEN v <= {last} THEN {last} + 1e-6D ELSE v END))"
+    return (
+        f"aggregate(slice({quantiles}, 2, greatest(size({quantiles}) - 1, 0)), "
+        f"slice({quantiles}, 1, 1), (done, v) -> {step})"
+    )
 
 
-def density_rank(value: Column, stops: Column, p95: Column) -> Column:
+def density_rank(value: str, stops: str, p95: str) -> str:
     """Rank in [0, 1] on the piecewise-linear distribution through ``stops``.
 
     Without at least two stops, a straight ramp up to max(p95, 2).
     """
-    last = F.size(stops) - 1
-    below = F.size(F.filter(stops, lambda stop: stop <= value))
-    low, high = F.get(stops, below - 1), F.get(stops, below)
-    inner = (F.lit(-1.0) + below + (value - low) / F.nullif(high - low, F.lit(0.0))) / last
-    ranked = (
-        F.when(below == 0, F.lit(0.0)).when(below > last, F.lit(1.0)).otherwise(inner)
+    below = f"size(filter({stops}, q -> q <= {value}))"
+    low, high = f"get({stops}, {below} - 1)", f"get({stops}, {below})"
+    last = f"(size({stops}) - 1)"
+    inner = f"({below} - 1 + ({value} - {low}) / ({high} - {low})) / {last}"
+    return (
+        f"CASE WHEN {stops} IS NULL OR size({stops}) < 2 "
+        f"THEN least(greatest({value}, 0D) / {_cap(p95)}, 1D) "
+        f"WHEN {below} = 0 THEN 0D WHEN {below} > {last} THEN 1D ELSE {inner} END"
     )
-    cap = F.greatest(F.coalesce(p95.cast("double"), F.lit(0.0)), F.lit(2.0))
-    ramp = F.least(F.greatest(value, F.lit(0.0)) / cap, F.lit(1.0))
-    return F.when(F.size(stops) >= 2, ranked).otherwise(ramp)

@@ -1,15 +1,14 @@
 """UTM zone 33N (EPSG:25833) to and from longitude/latitude, and web-mercator tiles.
 
 Krüger series in the third flattening (Karney 2011, fourth order) on the GRS80 ellipsoid, written as
-columns so that the whole transform stays inside generated code.
+SQL text so that the whole transform stays inside generated code.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from hexloom.functions.numeric import num
 
 _A = 6378137.0
 _F = 1 / 298.257222101
@@ -39,44 +38,48 @@ DELTA = (
 )
 
 
-def utm33_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres to (longitude, latitude) in degrees."""
-    xi = y / F.lit(_K0 * RECTIFYING)
-    eta = (x - F.lit(_E0)) / F.lit(_K0 * RECTIFYING)
+def utm33_to_lonlat(x: str, y: str) -> str:
+    """Metres to struct(lon, lat) in degrees."""
+    xi, eta = f"({y} / {num(_K0 * RECTIFYING)})", f"(({x} - {num(_E0)}) / {num(_K0 * RECTIFYING)})"
     xi1, eta1 = xi, eta
     for j, b in enumerate(BETA, start=1):
-        xi1 = xi1 - F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        eta1 = eta1 - F.lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(DELTA, start=1):
-        lat = lat + F.lit(d) * F.sin(chi * (2 * j))
-    lon = F.lit(_LON0) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
-    return lon, F.degrees(lat)
+        xi1 += f" - {num(b)} * sin({xi} * {2 * j}) * cosh({eta} * {2 * j})"
+        eta1 += f" - {num(b)} * cos({xi} * {2 * j}) * sinh({eta} * {2 * j})"
+    lat = "p.chi" + "".join(f" + {num(d)} * sin(p.chi * {2 * j})" for j, d in enumerate(DELTA, start=1))
+    sphere = "named_struct('chi', asin(sin(t.xi) / cosh(t.eta)), 'lam', atan2(sinh(t.eta), cos(t.xi)))"
+    plane = f"named_struct('xi', {xi1}, 'eta', {eta1})"
+    point = f"named_struct('lon', {num(_LON0)} + degrees(p.lam), 'lat', degrees({lat}))"
+    return _let("t", plane, _let("p", sphere, point))
 
 
-def lonlat_to_utm33(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """(longitude, latitude) in degrees to metres."""
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(_LON0))
-    sin_phi = F.sin(phi)
-    t = F.sinh(F.atanh(sin_phi) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * sin_phi))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
-    north, east = xi, eta
+def lonlat_to_utm33(lon: str, lat: str) -> str:
+    """Longitude and latitude in degrees to struct(x, y) in metres."""
+    angle = f"named_struct('s', sin(radians({lat})), 'lam', radians({lon} - {num(_LON0)}))"
+    tangent = (
+        f"named_struct('t', sinh(atanh(a.s) - {num(_ECC)} * atanh({num(_ECC)} * a.s)), 'lam', a.lam)"
+    )
+    sphere = "named_struct('xi', atan2(b.t, cos(b.lam)), 'eta', atanh(sin(b.lam) / sqrt(1D + b.t * b.t)))"
+    north, east = "c.xi", "c.eta"
     for j, a in enumerate(ALPHA, start=1):
-        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    scale = F.lit(_K0 * RECTIFYING)
-    return F.lit(_E0) + scale * east, scale * north
+        north += f" + {num(a)} * sin(c.xi * {2 * j}) * cosh(c.eta * {2 * j})"
+        east += f" + {num(a)} * cos(c.xi * {2 * j}) * sinh(c.eta * {2 * j})"
+    scale = num(_K0 * RECTIFYING)
+    point = f"named_struct('x', {num(_E0)} + {scale} * ({east}), 'y', {scale} * ({north}))"
+    return _let("a", angle, _let("b", tangent, _let("c", sphere, point)))
 
 
-def tile_x(lon: Column, zoom: Column) -> Column:
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def tile_x(lon: str, zoom: str) -> str:
     """Web-mercator tile column at ``zoom``."""
-    return F.floor((lon + F.lit(180.0)) / F.lit(360.0) * F.pow(F.lit(2.0), zoom))
+    return f"floor(({lon} + 180D) / 360D * pow(2D, {zoom}))"
 
 
-def tile_y(lat: Column, zoom: Column) -> Column:
+def tile_y(lat: str, zoom: str) -> str:
     """Web-mercator tile row at ``zoom``, counted from the north."""
-    tangent = F.tan(F.radians(lat))
-    height = F.log(tangent + F.sqrt(tangent * tangent + F.lit(1.0))) / F.lit(math.pi)
-    return F.floor((F.lit(1.0) - height) / F.lit(2.0) * F.pow(F.lit(2.0), zoom))
+    tangent = f"tan(radians({lat}))"
+    height = f"ln({tangent} + sqrt({tangent} * {tangent} + 1D)) / {num(math.pi)}"
+    return f"floor((1D - {height}) / 2D * pow(2D, {zoom}))"

@@ -1,32 +1,27 @@
-"""Text normalisers for the point inventories."""
+"""Text normalisers for the point inventories, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from hexloom.sources.fixed_values import MISSING_GENUS
 
 
-def normalize_genus(genus: Column, species: Column) -> Column:
+def normalize_genus(genus: str, species: str) -> str:
     """Lower-case genus; blank or unknown falls back to the first word of the species."""
-    own = F.nullif(F.nullif(F.lower(F.trim(genus)), F.lit("")), F.lit(MISSING_GENUS))
-    first_word = F.lower(F.split_part(F.trim(species), F.lit(" "), F.lit(1)))
-    return F.coalesce(own, F.nullif(first_word, F.lit("")))
+    own = f"nullif(nullif(lower(trim({genus})), ''), '{MISSING_GENUS}')"
+    return f"coalesce({own}, nullif(lower(split_part(trim({species}), ' ', 1)), ''))"
 
 
-def normalize_species(species: Column) -> Column:
+def normalize_species(species: str) -> str:
     """Lower-case species without the quoted cultivar; '' when absent."""
-    text = F.coalesce(F.trim(species), F.lit(""))
-    return F.lower(F.trim(F.split_part(text, F.lit("'"), F.lit(1))))
+    return f"lower(trim(split_part(coalesce(trim({species}), ''), '\\'', 1)))"
 
 
-def surrogate_key(source: Column, identifier: Column) -> Column:
+def surrogate_key(source: str, identifier: str) -> str:
     """Stable md5 key of a source and its own identifier; NULL when either is NULL."""
-    return F.md5(F.concat(source, F.lit("_"), identifier))
+    return f"md5({source} || '_' || {identifier})"
 
 
-def label_codes(code: Column, labels: dict[str, str], default: str = "Unknown") -> Column:
+def label_codes(code: str, labels: dict[str, str], default: str = "Unknown") -> str:
     """Code to label; codes outside the table get ``default``."""
-    pairs = F.create_map(*[F.lit(item) for pair in labels.items() for item in pair])
-    return F.coalesce(F.try_element_at(pairs, code), F.lit(default))
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in labels.items())
+    return f"coalesce(try_element_at(map({pairs}), {code}), '{default}')"

@@ -1,30 +1,23 @@
-"""Geometry text at the edge of the system."""
+"""Geometry text at the edge of the system, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def point_wkt(x: str, y: str) -> str:
+    return f"concat('POINT (', {x}, ' ', {y}, ')')"
 
-def point_wkt(x: Column, y: Column) -> Column:
-    return F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 
+def _ring(ring: str) -> str:
+    pairs = f"transform(concat({ring}, slice({ring}, 1, 1)), p -> concat(p.x, ' ', p.y))"
+    return f"concat('(', array_join({pairs}, ', '), ')')"
 
-def _ring_text(ring: Column) -> Column:
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    pairs = F.transform(closed, lambda p: F.concat_ws(" ", p["x"], p["y"]))
-    return F.concat(F.lit("("), F.array_join(pairs, ", "), F.lit(")"))
 
-
-def polygon_wkt(rings: Column) -> Column:
+def polygon_wkt(rings: str) -> str:
     """Rings (outer first, not closed) to POLYGON text."""
-    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, _ring_text), ", "), F.lit(")"))
+    return f"concat('POLYGON (', array_join(transform({rings}, r -> {_ring('r')}), ', '), ')')"
 
 
-def multipolygon_wkt(parts: Column) -> Column:
+def multipolygon_wkt(parts: str) -> str:
     """Parts, each an array of rings, to MULTIPOLYGON text."""
-    texts = F.transform(
-        parts,
-        lambda rings: F.concat(F.lit("("), F.array_join(F.transform(rings, _ring_text), ", "), F.lit(")")),
-    )
-    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(texts, ", "), F.lit(")"))
+    part = f"concat('(', array_join(transform(m, r -> {_ring('r')}), ', '), ')')"
+    return f"concat('MULTIPOLYGON (', array_join(transform({parts}, m -> {part}), ', '), ')')"

@@ -13,13 +13,14 @@ from hexloom.functions.hexgrid import (
     hex_boundary,
     pack_cell,
 )
+from hexloom.functions.numeric import num
 from hexloom.operators.overlay import polygon_overlap_area
 from hexloom.operators.polygons import edges, scan_spans
 
 
 def hex_disk(cells: DataFrame, cell: str = "cell", k: int = 1, out: str = "neighbor") -> DataFrame:
     """Each row once per cell within ``k`` steps; a map-side explode of constant offsets."""
-    return cells.withColumn(out, F.explode(disk_cells(F.col(cell), k)))
+    return cells.selectExpr("*", f"explode({disk_cells(cell, k)}) AS {out}")
 
 
 def union_cells(*cell_sets: DataFrame, cell: str = "cell") -> DataFrame:
@@ -32,8 +33,7 @@ def union_cells(*cell_sets: DataFrame, cell: str = "cell") -> DataFrame:
 
 def hex_edges(cells: DataFrame, cell: str = "cell") -> DataFrame:
     """Edge table of cells, keyed by the cell id."""
-    rings = cells.select(cell, F.array(hex_boundary(F.col(cell))).alias("rings"))
-    return edges(rings, cell)
+    return edges(cells.selectExpr(cell, f"array({hex_boundary(cell)}) AS rings"), cell)
 
 
 def hex_cover(
@@ -46,19 +46,20 @@ def hex_cover(
     Cell rows are scanned like raster lines, so work follows the outline and the cells returned.
     """
     size = edge_length(res)
-    spans = scan_spans(edge_table, key, 1.5 * size)
-    pitch, shift = F.lit(SQRT3 * size), F.col("k") / F.lit(2.0)
+    pitch = num(SQRT3 * size)
     inside = (
-        spans.withColumn("_a", F.ceil(F.col("xa") / pitch - shift))
-        .withColumn("_z", F.ceil(F.col("xb") / pitch - shift) - 1)
-        .filter(F.col("_a") <= F.col("_z"))
-        .select(key, F.explode(F.sequence("_a", "_z")).alias("q"), "k")
-        .select(key, pack_cell(res, F.col("q"), F.col("k")).alias("cell"))
+        scan_spans(edge_table, key, 1.5 * size)
+        .selectExpr(
+            key, "k", f"ceil(xa / {pitch} - k / 2D) AS a", f"ceil(xb / {pitch} - k / 2D) - 1 AS z"
+        )
+        .filter("a <= z")
+        .selectExpr(key, "k", "explode(sequence(a, z)) AS q")
+        .selectExpr(key, f"{pack_cell(res, 'q', 'k')} AS cell")
     )
     if mode == "center":
         return inside
     if mode == "center+1":
-        return hex_disk(inside, "cell", 1, "_n").select(key, F.col("_n").alias("cell")).distinct()
+        return hex_disk(inside, "cell", 1, "n").selectExpr(key, "n AS cell").distinct()
     if mode != "touch":
         raise ValueError(f"unknown cover mode {mode!r}")
     candidates = inside.union(_outline_cells(edge_table, key, res)).distinct()
@@ -72,27 +73,29 @@ def hex_cover(
 def _outline_cells(edge_table: DataFrame, key: str, res: int) -> DataFrame:
     """Superset of the cells an outline passes, from each edge's own extent per cell row."""
     size = edge_length(res)
-    step = F.lit(1.5 * size)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edge_table.withColumn(
-        "r", F.explode(F.sequence(F.ceil((low - size) / step), F.floor((high + size) / step)))
-    )
-    rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    a, step, pitch = num(size), num(1.5 * size), num(SQRT3 * size)
 
-    def x_at(y):
-        t = F.least(F.greatest((y - F.col("y1")) / rise, F.lit(0.0)), F.lit(1.0))
-        return F.col("x1") + (F.col("x2") - F.col("x1")) * t
+    def x_at(y: str) -> str:
+        return f"if(y1 = y2, NULL, x1 + (x2 - x1) * least(greatest(({y} - y1) / (y2 - y1), 0D), 1D))"
 
-    below, above = x_at(F.col("r") * step - size), x_at(F.col("r") * step + size)
-    xa = F.coalesce(F.least(below, above), F.least("x1", "x2"))
-    xb = F.coalesce(F.greatest(below, above), F.greatest("x1", "x2"))
-    pitch, shift = F.lit(SQRT3 * size), F.col("r") / F.lit(2.0)
     return (
-        rows.withColumn("_a", F.ceil(xa / pitch - shift - 0.5))
-        .withColumn("_z", F.floor(xb / pitch - shift + 0.5))
-        .filter(F.col("_a") <= F.col("_z"))
-        .select(key, F.explode(F.sequence("_a", "_z")).alias("q"), "r")
-        .select(key, pack_cell(res, F.col("q"), F.col("r")).alias("cell"))
+        edge_table.selectExpr(
+            "*",
+            f"explode(sequence(ceil((least(y1, y2) - {a}) / {step}), "
+            f"floor((greatest(y1, y2) + {a}) / {step}))) AS r",
+        )
+        .selectExpr(
+            key, "r", "x1", "x2", f"{x_at(f'(r * {step} - {a})')} AS u", f"{x_at(f'(r * {step} + {a})')} AS v"
+        )
+        .selectExpr(
+            key,
+            "r",
+            f"ceil(coalesce(least(u, v), least(x1, x2)) / {pitch} - r / 2D - 0.5D) AS a",
+            f"floor(coalesce(greatest(u, v), greatest(x1, x2)) / {pitch} - r / 2D + 0.5D) AS z",
+        )
+        .filter("a <= z")
+        .selectExpr(key, "r", "explode(sequence(a, z)) AS q")
+        .selectExpr(key, f"{pack_cell(res, 'q', 'r')} AS cell")
     )
 
 
@@ -102,14 +105,11 @@ def morph_close(cells: DataFrame, k: int, cell: str = "cell") -> DataFrame:
     Shrinking keeps a cell when every cell of its disk is in the grown set, which is a count per
     cell with map-side partial sums.
     """
-    grown = hex_disk(cells.select(cell).distinct(), cell, k, "_n").select(
-        F.col("_n").alias(cell)
-    ).distinct()
-    full = len(disk_offsets(k))
+    grown = hex_disk(cells.select(cell).distinct(), cell, k, "n").selectExpr(f"n AS {cell}").distinct()
     return (
-        hex_disk(grown, cell, k, "_n")
-        .groupBy(F.col("_n").alias(cell))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .filter(F.col("_c") == full)
+        hex_disk(grown, cell, k, "n")
+        .groupBy(F.col("n").alias(cell))
+        .agg(F.count(F.lit(1)).alias("c"))
+        .filter(f"c = {len(disk_offsets(k))}")
         .select(cell)
     )

@@ -8,12 +8,11 @@ counts are then grouped by the key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.numeric import ratio, round_to
+from hexloom.functions.numeric import percent, ratio, round_to
 
 _ONE = "_one"
 
@@ -23,47 +22,46 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(_ONE, F.lit(1)), [_ONE])
 
 
-def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """Best ``k`` rows per key with their rank ``rn``.
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
+    """Best ``k`` rows per key with their rank ``rn``; ``order`` is an ORDER BY list.
 
     The rank filter sits right on the window, so Spark trims each map task to ``k`` rows per key
     before the shuffle. Without keys the same is a sorted limit, and the rank is taken over k rows.
     """
-    if list(keys) == [_ONE] or not keys:
-        best = df.orderBy(*order).limit(k)
-        return best.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
+    if not keys or list(keys) == [_ONE]:
+        best = df.orderBy(*[F.expr(o[:-5]).desc() if o.endswith(" DESC") else F.expr(o) for o in order.split(", ")])
+        return best.limit(k).selectExpr("*", f"row_number() OVER (ORDER BY {order}) AS rn")
+    window = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"
+    return df.selectExpr("*", f"row_number() {window} AS rn").filter(f"rn <= {k}")
 
 
 def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.drop(_ONE) if keys == [_ONE] else df
 
 
-def _named(category: str) -> Column:
-    return F.col(category).isNotNull() & (F.col(category) != "")
+def _named(category: str) -> str:
+    return f"{category} IS NOT NULL AND {category} != ''"
+
+
+def _slots(category: str, n: str):
+    """The ranked rows of a key as one array in rank order; never more than k entries."""
+    return F.expr(f"array_sort(collect_list(struct(rn, {category}, {n}))) AS _slots")
 
 
 def _wide_counts(counts: DataFrame, keys: list[str], category: str, n: str, k: int, prefix: str) -> DataFrame:
     """Wide histogram from counts per (keys, category)."""
     totals = counts.groupBy(*keys).agg(F.sum(n).alias("_total"))
-    order = [F.col(n).desc(), F.col(category).asc()]
-    ranked = top_k_per_group(counts, keys, order, k)
-    slots = []
-    for i in range(1, k + 1):
-        here = F.col("rn") == i
-        slots.append(F.max(F.when(here, F.col(category))).alias(f"{prefix}_{i}"))
-        slots.append(F.max(F.when(here, F.col(n))).alias(f"{prefix}_{i}_count"))
-    wide = ranked.groupBy(*keys).agg(*slots, F.sum(n).alias("_top")).join(totals, keys)
-    columns: list[Column | str] = [*keys]
-    for i in range(1, k + 1):
-        columns += [f"{prefix}_{i}", f"{prefix}_{i}_count"]
-        share = ratio(F.col(f"{prefix}_{i}_count"), F.col("_total")) * 100
-        columns.append(round_to(share, 1).alias(f"{prefix}_{i}_share"))
-    rest = F.col("_total") - F.col("_top")
-    columns.append(rest.alias(f"{prefix}_other_count"))
-    columns.append(round_to(ratio(rest, F.col("_total")) * 100, 1).alias(f"{prefix}_other_share"))
-    return wide.select(*columns)
+    ranked = top_k_per_group(counts, keys, f"{n} DESC, {category}", k)
+    wide = ranked.groupBy(*keys).agg(_slots(category, n), F.sum(n).alias("_top")).join(totals, keys)
+    columns = [*keys]
+    for i in range(k):
+        slot, name = f"get(_slots, {i})", f"{prefix}_{i + 1}"
+        columns.append(f"{slot}.{category} AS {name}")
+        columns.append(f"{slot}.{n} AS {name}_count")
+        columns.append(f"{percent(f'{slot}.{n}', '_total')} AS {name}_share")
+    columns.append(f"_total - _top AS {prefix}_other_count")
+    columns.append(f"{percent('_total - _top', '_total')} AS {prefix}_other_share")
+    return wide.selectExpr(*columns)
 
 
 def category_histogram(
@@ -92,35 +90,30 @@ def weighted_histogram(
     the order of summation.
     """
     df, keys = _keyed(df, keys)
-    weights = df.groupBy(*keys, category).agg(round_to(F.sum(weight), 6).alias("_w"))
-    totals = weights.groupBy(*keys).agg(round_to(F.sum("_w"), 6).alias("_total"))
-    ranked = top_k_per_group(weights, keys, [F.col("_w").desc(), F.col(category).asc()], k)
-    slots = []
-    for i in range(1, k + 1):
-        here = F.col("rn") == i
-        slots.append(F.max(F.when(here, F.col(category))).alias(f"{prefix}_{i}"))
-        slots.append(F.max(F.when(here, F.col("_w"))).alias(f"_w{i}"))
-    wide = ranked.groupBy(*keys).agg(*slots).join(totals, keys)
-    columns: list[Column | str] = [*keys]
-    shares = [ratio(F.col(f"_w{i}"), F.col("_total")) for i in range(1, k + 1)]
-    for i, share in enumerate(shares, start=1):
-        columns.append(f"{prefix}_{i}")
-        columns.append(round_to(share * 100, 1).alias(f"{prefix}_{i}_share"))
-    top = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in shares])
-    columns.append(round_to((F.lit(1.0) - top) * 100, 1).alias(f"{prefix}_other_share"))
-    return _finish(wide.select(*columns), keys)
-
-
-def _best(value: str, n: str) -> Column:
+    weights = df.groupBy(*keys, category).agg(F.expr(f"{round_to(f'sum({weight})', 6)} AS _w"))
+    totals = weights.groupBy(*keys).agg(F.expr(f"{round_to('sum(_w)', 6)} AS _total"))
+    ranked = top_k_per_group(weights, keys, f"_w DESC, {category}", k)
+    wide = ranked.groupBy(*keys).agg(_slots(category, "_w")).join(totals, keys)
+    columns = [*keys]
+    for i in range(k):
+        slot, name = f"get(_slots, {i})", f"{prefix}_{i + 1}"
+        columns.append(f"{slot}.{category} AS {name}")
+        columns.append(f"{percent(f'{slot}._w', '_total')} AS {name}_share")
+    top = f"aggregate(_slots, 0D, (acc, slot) -> acc + {ratio('slot._w', '_total')})"
+    columns.append(f"{round_to(f'(1D - {top}) * 100D', 1)} AS {prefix}_other_share")
+    return _finish(wide.selectExpr(*columns), keys)
+
+
+def _best(value: str, n: str) -> str:
     """Most frequent value, smallest on ties; NULL values never win."""
-    return F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col(n)).alias("n"), F.col(value))))[value]
+    return f"min(CASE WHEN {value} IS NOT NULL THEN struct(-{n} AS n, {value} AS v) END).v"
 
 
 def dominant_value(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent value and number of distinct values per key, from one set of counts."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy(*keys).agg(
-        _best(value, "_n").alias(out), F.count(value).alias(f"{out}_distinct")
+        F.expr(_best(value, "_n")).alias(out), F.count(value).alias(f"{out}_distinct")
     )
 
 
@@ -128,15 +121,15 @@ def dominant_share(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
     """Share in percent of the most frequent non-empty value among all rows of the key."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     sums = counts.groupBy(*keys).agg(
-        F.max(F.when(_named(value), F.col("_n"))).alias("_max"), F.sum("_n").alias("_all")
+        F.expr(f"max(CASE WHEN {_named(value)} THEN _n END) AS _max"), F.sum("_n").alias("_all")
     )
-    return sums.select(*keys, round_to(ratio(F.col("_max"), F.col("_all")) * 100, 1).alias(out))
+    return sums.selectExpr(*keys, f"{percent('_max', '_all')} AS {out}")
 
 
 def source_mix(df: DataFrame, keys: Sequence[str], source: str, values: Sequence[str]) -> DataFrame:
     """Rows per key and source as one column per source."""
     return df.groupBy(*keys).agg(
-        *[F.count_if(F.col(source) == v).alias(f"source_{v}") for v in values]
+        *[F.expr(f"count_if({source} = '{v}')").alias(f"source_{v}") for v in values]
     )
 
 
@@ -144,24 +137,15 @@ def share_of_total(df: DataFrame, keys: Sequence[str], category: str) -> DataFra
     """Count and share of each category within its key."""
     counts = df.filter(_named(category)).groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    return counts.join(totals, list(keys)).select(
-        *keys, category, "n", ratio(F.col("n"), F.col("_total")).alias("share")
+    return counts.join(totals, list(keys)).selectExpr(
+        *keys, category, "n", f"{ratio('n', '_total')} AS share"
     )
 
 
 def unpivot_slots(df: DataFrame, keep: Sequence[str], slots: Sequence[tuple[str, str]]) -> DataFrame:
     """(code, share) slot columns to rows in one scan; keeps codes with a positive share."""
-    rows = F.array(
-        *[
-            F.struct(F.trim(F.col(c)).alias("code"), F.col(s).cast("double").alias("share"))
-            for c, s in slots
-        ]
-    )
-    return (
-        df.select(*keep, F.explode(rows).alias("_slot"))
-        .select(*keep, "_slot.code", "_slot.share")
-        .filter(F.col("code").isNotNull() & (F.col("share") > 0))
-    )
+    rows = ", ".join(f"struct(trim({c}) AS code, double({share}) AS share)" for c, share in slots)
+    return df.selectExpr(*keep, f"inline(array({rows}))").filter("code IS NOT NULL AND share > 0")
 
 
 def histogram_rollup(wide: DataFrame, keep: Sequence[str], k: int, stored: int = 10, prefix: str = "tree_genus") -> DataFrame:
@@ -169,22 +153,18 @@ def histogram_rollup(wide: DataFrame, keep: Sequence[str], k: int, stored: int =
 
     The other row appears only when its share exceeds 0.5 percent, else both values are NULL.
     """
-    hidden = range(k + 1, stored + 1)
-
-    def total(kind: str) -> Column:
-        parts = [F.coalesce(F.col(f"{prefix}_{i}_{kind}"), F.lit(0)) for i in hidden]
-        return reduce(lambda a, b: a + b, parts, F.coalesce(F.col(f"{prefix}_other_{kind}"), F.lit(0)))
-
-    share = total("share")
-    shown = share > 0.5
-    kept = [
-        c for i in range(1, k + 1) for c in (f"{prefix}_{i}", f"{prefix}_{i}_count", f"{prefix}_{i}_share")
-    ]
-    return wide.select(
+
+    def total(kind: str) -> str:
+        hidden = [f"{prefix}_{i}" for i in range(k + 1, stored + 1)] + [f"{prefix}_other"]
+        return "(" + " + ".join(f"coalesce({h}_{kind}, 0)" for h in hidden) + ")"
+
+    shown = [f"{prefix}_{i}{kind}" for i in range(1, k + 1) for kind in ("", "_count", "_share")]
+    visible = f"{total('share')} > 0.5D"
+    return wide.selectExpr(
         *keep,
-        *kept,
-        F.when(shown, total("count")).alias(f"{prefix}_other_count"),
-        F.when(shown, round_to(share, 1)).alias(f"{prefix}_other_share"),
+        *shown,
+        f"CASE WHEN {visible} THEN {total('count')} END AS {prefix}_other_count",
+        f"CASE WHEN {visible} THEN {round_to(total('share'), 1)} END AS {prefix}_other_share",
     )
 
 
@@ -198,41 +178,38 @@ def point_profile(
     counts and the histogram are re-aggregated from those counts.
     """
     points, keys = _keyed(points, keys)
-    cube = points.groupBy(*keys, "genus", F.nullif("species", F.lit("")).alias("species"), "source").agg(
-        F.count(F.lit(1)).alias("_n")
+    cube = points.groupBy(*keys, "genus", F.expr("nullif(species, '') AS species"), "source").agg(
+        F.expr("count(1) AS _n")
     )
+    mix = [f"source_{s}" for s in sources]
     by_genus = cube.groupBy(*keys, "genus").agg(
         F.sum("_n").alias("_n"),
-        *[
-            F.sum(F.when(F.col("source") == s, F.col("_n")).otherwise(0)).alias(f"source_{s}")
-            for s in sources
-        ],
+        *[F.expr(f"sum(if(source = '{s}', _n, 0)) AS source_{s}") for s in sources],
     )
     by_species = cube.groupBy(*keys, "species").agg(F.sum("_n").alias("_n"))
     totals = by_genus.groupBy(*keys).agg(
-        F.sum("_n").alias("tree_count"),
-        _best("genus", "_n").alias("dominant_genus"),
-        F.count("genus").alias("genus_count"),
-        *[F.sum(f"source_{s}").alias(f"source_{s}") for s in sources],
+        F.expr("sum(_n) AS tree_count"),
+        F.expr(f"{_best('genus', '_n')} AS dominant_genus"),
+        F.expr("count(genus) AS genus_count"),
+        *[F.sum(m).alias(m) for m in mix],
     )
     species = by_species.groupBy(*keys).agg(
-        _best("species", "_n").alias("dominant_species"),
-        F.count("species").alias("species_count"),
-        F.max(F.when(F.col("species").isNotNull(), F.col("_n"))).alias("_max_species"),
+        F.expr(f"{_best('species', '_n')} AS dominant_species"),
+        F.expr("count(species) AS species_count"),
+        F.expr("max(CASE WHEN species IS NOT NULL THEN _n END) AS _max_species"),
     )
     named = by_genus.filter(_named("genus")).select(*keys, "genus", "_n")
     histogram = _wide_counts(named, keys, "genus", "_n", k, "tree_genus")
     joined = totals.join(species, keys, "left").join(histogram, keys, "left")
-    pct = round_to(ratio(F.col("_max_species"), F.col("tree_count")) * 100, 1)
-    columns = [
+    result = joined.selectExpr(
         *keys,
         "tree_count",
         "dominant_genus",
         "genus_count",
         "dominant_species",
         "species_count",
-        pct.alias("dominant_species_pct"),
-        *[f"source_{s}" for s in sources],
+        f"{percent('_max_species', 'tree_count')} AS dominant_species_pct",
+        *mix,
         *[c for c in histogram.columns if c not in keys],
-    ]
-    return _finish(joined.select(*columns), keys)
+    )
+    return _finish(result, keys)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions.hexgrid import hex_boundary
+from hexloom.functions.numeric import num
 from hexloom.operators.polygons import MIN_OVERLAP_M2, cut_to_grid, slab_area
 from hexloom.session import BROADCAST_ROWS, broadcast_if_small, settle
 
 SLAB = ("s", "x1", "y1", "x2", "y2")
 
 
-def _height(x: Column, p) -> Column:
-    """Height of slab ``p`` (anything indexable by x1, y1, x2, y2) at ``x``."""
-    return p["y1"] + (p["y2"] - p["y1"]) * (x - p["x1"]) / (p["x2"] - p["x1"])
+def _height(x: str, slab: str = "", tail: str = "") -> str:
+    """Height of a slab at ``x``; ``slab`` and ``tail`` qualify its column names."""
+    x1, y1, x2, y2 = (f"{slab}{c}{tail}" for c in SLAB[1:])
+    return f"({y1} + ({y2} - {y1}) * ({x} - {x1}) / ({x2} - {x1}))"
 
 
 def polygon_cover(edge_table: DataFrame, key: str, side: float) -> DataFrame:
@@ -25,16 +27,17 @@ def polygon_cover(edge_table: DataFrame, key: str, side: float) -> DataFrame:
 
     An array holds one polygon's slabs in one bucket, so it never exceeds that polygon's own detail.
     """
-    slabs = cut_to_grid(edge_table, key, side)
-    full = (
-        (F.count(F.lit(1)) == 1)
-        & (F.min("x1") == 0.0)
-        & (F.max("x2") == float(side))
-        & (F.min(F.least("y1", "y2")) == float(side))
-        & (F.min("s") > 0)
-    )
-    return slabs.groupBy("bx", "by", key).agg(
-        F.collect_list(F.struct(*SLAB)).alias("slabs"), full.alias("full")
+    h = num(side)
+    return (
+        cut_to_grid(edge_table, key, side)
+        .groupBy("bx", "by", key)
+        .agg(
+            F.expr("collect_list(struct(s, x1, y1, x2, y2)) AS slabs"),
+            F.expr(
+                f"count(1) = 1 AND min(s) > 0 AND min(x1) = 0 AND max(x2) = {h} "
+                f"AND min(least(y1, y2)) = {h} AS full"
+            ),
+        )
     )
 
 
@@ -56,51 +59,45 @@ def points_in_polygons(
     cover = broadcast_if_small(
         settle(polygon_cover(edge_table, key, side), "cover"), max_broadcast_rows
     )
-    size = F.lit(float(side))
-    located = points.withColumn("bx", F.floor(F.col(x) / size)).withColumn(
-        "by", F.floor(F.col(y) / size)
-    )
-    px, py = F.col(x) - F.col("bx") * size, F.col(y) - F.col("by") * size
-    winding = F.aggregate(
-        "slabs",
-        F.lit(0.0),
-        lambda acc, p: acc
-        + F.when((p["x1"] <= px) & (px < p["x2"]) & (py < _height(px, p)), p["s"]).otherwise(0.0),
+    h = num(side)
+    located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
+    px, py = f"({x} - bx * {h})", f"({y} - by * {h})"
+    winding = (
+        f"aggregate(slabs, 0D, (acc, p) -> acc + CASE WHEN p.x1 <= {px} AND {px} < p.x2 "
+        f"AND {py} < {_height(px, 'p.')} THEN p.s ELSE 0D END)"
     )
     return (
         located.join(cover, ["bx", "by"])
-        .filter(F.col("full") | (winding > 0.5))
+        .filter(f"full OR {winding} > 0.5D")
         .drop("bx", "by", "slabs", "full")
     )
 
 
-def _renamed(slabs: DataFrame, suffix: str, key: str, out: str) -> DataFrame:
-    return slabs.select("bx", "by", F.col(key).alias(out), *[F.col(c).alias(c + suffix) for c in SLAB])
-
-
 def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str) -> DataFrame:
-    """Pairs of slabs of one bucket that share an x-range, with both heights at its ends."""
-    left = _renamed(a, "_a", key_a, "_ka")
-    right = _renamed(b, "_b", key_b, "_kb")
-    pairs = left.join(right, ["bx", "by"]).filter(
-        (F.col("x1_a") < F.col("x2_b")) & (F.col("x1_b") < F.col("x2_a"))
-    )
-    pairs = pairs.withColumn("_l", F.greatest("x1_a", "x1_b")).withColumn(
-        "_r", F.least("x2_a", "x2_b")
-    )
-    slab = {t: {c: F.col(f"{c}_{t}") for c in SLAB} for t in "ab"}
-    return pairs.select(
-        "_ka",
-        "_kb",
-        "bx",
-        "by",
-        (F.col("s_a") * F.col("s_b")).alias("s"),
-        "_l",
-        "_r",
-        _height(F.col("_l"), slab["a"]).alias("al"),
-        _height(F.col("_r"), slab["a"]).alias("ar"),
-        _height(F.col("_l"), slab["b"]).alias("bl"),
-        _height(F.col("_r"), slab["b"]).alias("br"),
+    """Pairs of slabs of one bucket that share an x-range (l, r), with the heights at its ends.
+
+    ``dl`` and ``dr`` are the heights of a above b at both ends.
+    """
+    left = a.selectExpr("bx", "by", f"{key_a} AS ka", *[f"{c} AS {c}_a" for c in SLAB])
+    right = b.selectExpr("bx", "by", f"{key_b} AS kb", *[f"{c} AS {c}_b" for c in SLAB])
+    return (
+        left.join(right, ["bx", "by"])
+        .filter("x1_a < x2_b AND x1_b < x2_a")
+        .selectExpr("*", "greatest(x1_a, x1_b) AS l", "least(x2_a, x2_b) AS r")
+        .selectExpr(
+            "ka",
+            "kb",
+            "bx",
+            "by",
+            "s_a * s_b AS s",
+            "l",
+            "r",
+            f"{_height('l', tail='_a')} AS al",
+            f"{_height('r', tail='_a')} AS ar",
+            f"{_height('l', tail='_b')} AS bl",
+            f"{_height('r', tail='_b')} AS br",
+        )
+        .selectExpr("*", "al - bl AS dl", "ar - br AS dr")
     )
 
 
@@ -108,21 +105,17 @@ def slab_overlap_area(
     a: DataFrame, key_a: str, b: DataFrame, key_b: str, name: str = "area_m2"
 ) -> DataFrame:
     """(key_a, key_b, area) of every pair with positive common area, from two slab sets."""
-    pairs = _slab_pairs(a, key_a, b, key_b)
-    dl, dr = F.col("al") - F.col("bl"), F.col("ar") - F.col("br")
-    width = F.col("_r") - F.col("_l")
-    # Area of the part of a above b, removed from the area below a.
-    peak = F.greatest(dl, dr)
+    # Area below a, less the part of it that lies above b.
     above = (
-        F.when((dl >= 0) & (dr >= 0), width * (dl + dr) / 2)
-        .when((dl <= 0) & (dr <= 0), F.lit(0.0))
-        .otherwise(width * peak * peak / (F.abs(dl) + F.abs(dr)) / 2)
+        "CASE WHEN dl >= 0 AND dr >= 0 THEN (r - l) * (dl + dr) / 2 "
+        "WHEN dl <= 0 AND dr <= 0 THEN 0D "
+        "ELSE (r - l) * greatest(dl, dr) * greatest(dl, dr) / (abs(dl) + abs(dr)) / 2 END"
     )
-    term = F.col("s") * (width * (F.col("al") + F.col("ar")) / 2 - above)
     return (
-        pairs.groupBy(F.col("_ka").alias(key_a), F.col("_kb").alias(key_b))
-        .agg(F.sum(term).alias(name))
-        .filter(F.col(name) > MIN_OVERLAP_M2)
+        _slab_pairs(a, key_a, b, key_b)
+        .groupBy(F.col("ka").alias(key_a), F.col("kb").alias(key_b))
+        .agg(F.expr(f"sum(s * ((r - l) * (al + ar) / 2 - {above}))").alias(name))
+        .filter(f"{name} > {num(MIN_OVERLAP_M2)}")
     )
 
 
@@ -145,33 +138,31 @@ def clip_slabs(a: DataFrame, key: str, b: DataFrame, key_b: str) -> DataFrame:
     The region below two slabs is the region below the lower of the two, so the result is again a
     slab set: one slab where the two do not cross, two where they do.
     """
-    pairs = _slab_pairs(a, key, b, key_b)
-    dl, dr = F.col("al") - F.col("bl"), F.col("ar") - F.col("br")
-    crossing = ((dl < 0) & (dr > 0)) | ((dl > 0) & (dr < 0))
-    cut = pairs.withColumn(
-        "_x", F.when(crossing, F.col("_l") + (F.col("_r") - F.col("_l")) * dl / (dl - dr))
-    )
-    share = (F.col("_x") - F.col("_l")) / (F.col("_r") - F.col("_l"))
-    cut = cut.withColumn("_y", F.col("al") + (F.col("ar") - F.col("al")) * share)
-
-    def slab(x1, y1, x2, y2) -> Column:
-        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-
-    left, right = F.least("al", "bl"), F.least("ar", "br")
-    whole = F.array(slab(F.col("_l"), left, F.col("_r"), right))
-    halves = F.array(
-        slab(F.col("_l"), left, F.col("_x"), F.col("_y")),
-        slab(F.col("_x"), F.col("_y"), F.col("_r"), right),
+    halves = (
+        "array(named_struct('x1', l, 'y1', zl, 'x2', x, 'y2', y), "
+        "named_struct('x1', x, 'y1', y, 'x2', r, 'y2', zr))"
     )
-    pieces = F.when(F.col("_x").isNull(), whole).otherwise(halves)
     return (
-        cut.select(F.col("_ka").alias(key), "bx", "by", "s", F.explode(pieces).alias("p"))
-        .select(key, "bx", "by", "s", "p.x1", "p.y1", "p.x2", "p.y2")
-        .filter(F.col("x2") > F.col("x1"))
+        _slab_pairs(a, key, b, key_b)
+        .selectExpr(
+            "*",
+            "if(dl * dr < 0, dl / (dl - dr), NULL) AS t",
+            "least(al, bl) AS zl",
+            "least(ar, br) AS zr",
+        )
+        .selectExpr("*", "l + (r - l) * t AS x", "al + (ar - al) * t AS y")
+        .selectExpr(
+            f"ka AS {key}",
+            "bx",
+            "by",
+            "s",
+            f"inline(if(t IS NULL, array(named_struct('x1', l, 'y1', zl, 'x2', r, 'y2', zr)), {halves}))",
+        )
+        .filter("x2 > x1")
         # Slabs along a common inner border cancel; merging equals keeps the sets small.
         .groupBy(key, "bx", "by", "x1", "y1", "x2", "y2")
         .agg(F.sum("s").alias("s"))
-        .filter(F.col("s") != 0)
+        .filter("s != 0")
         .select(key, "bx", "by", *SLAB)
     )
 
@@ -195,43 +186,35 @@ def slab_trapezoids(slabs: DataFrame, key: str, side: float) -> DataFrame:
     and the running sign from the top tells which gaps are inside. This is the geometry form of a
     clipped polygon. Windows span one strip of one polygon in one bucket.
     """
-    ends = (
-        slabs.select(key, "bx", "by", F.explode(F.array("x1", "x2")).alias("xa"))
+    bucket = f"{key}, bx, by"
+    strips = (
+        slabs.selectExpr(key, "bx", "by", "explode(array(x1, x2)) AS xa")
         .distinct()
+        .selectExpr("*", f"lead(xa) OVER (PARTITION BY {bucket} ORDER BY xa) AS xb")
+        .filter("xb IS NOT NULL")
     )
-    strip_order = Window.partitionBy(key, "bx", "by").orderBy("xa")
-    strips = ends.withColumn("xb", F.lead("xa").over(strip_order)).filter(F.col("xb").isNotNull())
-    slab = {c: F.col(c) for c in SLAB}
-    pieces = (
+    line = f"OVER (PARTITION BY {bucket}, xa ORDER BY ya + yb DESC"
+    h = num(side)
+
+    def corner(x: str, y: str) -> str:
+        return f"named_struct('x', bx * {h} + {x}, 'y', by * {h} + {y})"
+
+    ring = ", ".join(corner(x, y) for x, y in (("xa", "za"), ("xb", "zb"), ("xb", "yb"), ("xa", "ya")))
+    return (
         strips.join(slabs, [key, "bx", "by"])
-        .filter((F.col("x1") <= F.col("xa")) & (F.col("x2") >= F.col("xb")))
-        .select(
-            key,
-            "bx",
-            "by",
-            "xa",
-            "xb",
-            "s",
-            _height(F.col("xa"), slab).alias("ya"),
-            _height(F.col("xb"), slab).alias("yb"),
+        .filter("x1 <= xa AND x2 >= xb")
+        .selectExpr(
+            key, "bx", "by", "xa", "xb", "s", f"{_height('xa')} AS ya", f"{_height('xb')} AS yb"
         )
-    )
-    order = Window.partitionBy(key, "bx", "by", "xa").orderBy((F.col("ya") + F.col("yb")).desc())
-    gaps = (
-        pieces.withColumn("w", F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("za", F.coalesce(F.lead("ya").over(order), F.lit(0.0)))
-        .withColumn("zb", F.coalesce(F.lead("yb").over(order), F.lit(0.0)))
-        .filter((F.col("w") > 0.5) & (F.col("ya") + F.col("yb") > F.col("za") + F.col("zb")))
-    )
-    size = F.lit(float(side))
-
-    def corner(x: str, y: str) -> Column:
-        return F.struct(
-            (F.col("bx") * size + F.col(x)).alias("x"), (F.col("by") * size + F.col(y)).alias("y")
+        .selectExpr(
+            "*",
+            f"sum(s) {line} ROWS UNBOUNDED PRECEDING) AS w",
+            f"coalesce(lead(ya) {line}), 0D) AS za",
+            f"coalesce(lead(yb) {line}), 0D) AS zb",
         )
-
-    ring = F.array(corner("xa", "za"), corner("xb", "zb"), corner("xb", "yb"), corner("xa", "ya"))
-    return gaps.select(key, "bx", "by", ring.alias("ring"))
+        .filter("w > 0.5D AND ya + yb > za + zb")
+        .selectExpr(key, "bx", "by", f"array({ring}) AS ring")
+    )
 
 
 def _clip_ring(ring: list[tuple[float, float]], corners: list[tuple[float, float]]):
@@ -260,7 +243,7 @@ def clip_rings_to_cell(pairs: DataFrame, key: str, cell: str = "cell", rings: st
     ``pairs`` has one row per (polygon, cell). Cells are convex, so each ring is cut on its own;
     bridges along the cell side cancel in signed sums. Arrow batches, no shuffle.
     """
-    prepared = pairs.select(key, cell, rings, hex_boundary(F.col(cell)).alias("_corners"))
+    prepared = pairs.selectExpr(key, cell, rings, f"{hex_boundary(cell)} AS _corners")
     types = dict(prepared.dtypes)
     schema = f"{key} {types[key]}, {cell} bigint, rings array<array<struct<x:double,y:double>>>"
 

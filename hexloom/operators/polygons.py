@@ -7,9 +7,11 @@ sums over edges give areas, and every further operator is a keyed join plus an a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexloom.functions.numeric import num
+
 EDGE = ("x1", "y1", "x2", "y2")
 #: Overlaps below this many square metres count as mere contact.
 MIN_OVERLAP_M2 = 1e-6
@@ -35,45 +37,28 @@ def edges(polygons: DataFrame, key: str, rings: str = "rings", keep: tuple = ())
     polygon's first vertex as a local origin for sums that would otherwise cancel badly.
     """
 
-    def ring_edges(ring: Column) -> Column:
-        return F.transform(
-            ring,
-            lambda p, i: F.struct(
-                p["x"].alias("x1"),
-                p["y"].alias("y1"),
-                F.get(ring, (i + 1) % F.size(ring))["x"].alias("x2"),
-                F.get(ring, (i + 1) % F.size(ring))["y"].alias("y2"),
-            ),
-        )
-
-    origin = F.get(F.get(F.col(rings), F.lit(0)), F.lit(0))
-    exploded = polygons.select(
-        key, *keep, origin.alias("_o"), F.posexplode(rings).alias("ring", "_pts")
-    ).withColumn("_edges", ring_edges(F.col("_pts")))
-    turn = F.aggregate(
-        "_edges",
-        F.lit(0.0),
-        lambda acc, e: acc + (e["x1"] - e["x2"]) * (e["y1"] + e["y2"] - F.col("_o")["y"] * 2),
+    corner = "get(r, (i + 1) % size(r))"
+    ring_edges = (
+        f"transform({rings}, r -> transform(r, (p, i) -> named_struct("
+        f"'x1', double(p.x), 'y1', double(p.y), 'x2', double({corner}.x), 'y2', double({corner}.y))))"
     )
-    flip = (F.col("ring") == 0) != (F.col("_turn") >= 0)
-    flat = exploded.withColumn("_turn", turn).select(
-        key, *keep, "_o", "ring", flip.alias("_flip"), F.explode("_edges").alias("_e")
+    first = f"get(get({rings}, 0), 0)"
+    exploded = polygons.selectExpr(
+        key, *keep, f"double({first}.x) AS ox", f"double({first}.y) AS oy",
+        f"posexplode({ring_edges}) AS (ring, _edges)",
+    )
+    turn = "aggregate(_edges, 0D, (acc, e) -> acc + (e.x1 - e.x2) * (e.y1 + e.y2 - 2 * oy))"
+    return (
+        exploded.selectExpr(
+            key, *keep, "ring", "ox", "oy", f"(ring = 0) != ({turn} >= 0) AS _flip", "explode(_edges) AS _e"
+        )
+        .selectExpr(
+            key, *keep, "ring", "ox", "oy",
+            "if(_flip, _e.x2, _e.x1) AS x1", "if(_flip, _e.y2, _e.y1) AS y1",
+            "if(_flip, _e.x1, _e.x2) AS x2", "if(_flip, _e.y1, _e.y2) AS y2",
+        )
+        .filter("x1 != x2 OR y1 != y2")
     )
-
-    def pick(forward: str, backward: str) -> Column:
-        return F.when(F.col("_flip"), F.col("_e")[backward]).otherwise(F.col("_e")[forward])
-
-    return flat.select(
-        key,
-        *keep,
-        "ring",
-        F.col("_o")["x"].alias("ox"),
-        F.col("_o")["y"].alias("oy"),
-        pick("x1", "x2").alias("x1"),
-        pick("y1", "y2").alias("y1"),
-        pick("x2", "x1").alias("x2"),
-        pick("y2", "y1").alias("y2"),
-    ).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
 def with_origin(edge_table: DataFrame, key: str) -> DataFrame:
@@ -84,27 +69,27 @@ def with_origin(edge_table: DataFrame, key: str) -> DataFrame:
 
 def polygon_area(edge_table: DataFrame, key: str) -> DataFrame:
     """(key, area_m2) as a signed sum over edges; holes subtract themselves."""
-    term = (F.col("x1") - F.col("x2")) * (F.col("y1") - F.col("oy") + F.col("y2") - F.col("oy")) / 2
-    return edge_table.groupBy(key).agg(F.sum(term).alias("area_m2"))
+    return edge_table.groupBy(key).agg(
+        F.expr("sum((x1 - x2) * ((y1 - oy) + (y2 - oy)) / 2)").alias("area_m2")
+    )
 
 
 def polygon_centroid(edge_table: DataFrame, key: str) -> DataFrame:
     """(key, x, y) area-weighted centroid."""
-    ax, ay = F.col("x1") - F.col("ox"), F.col("y1") - F.col("oy")
-    bx, by = F.col("x2") - F.col("ox"), F.col("y2") - F.col("oy")
-    cross = ax * by - bx * ay
-    sums = edge_table.groupBy(key).agg(
-        F.sum(cross).alias("_c"),
-        F.sum((ax + bx) * cross).alias("_sx"),
-        F.sum((ay + by) * cross).alias("_sy"),
-        F.min("ox").alias("_ox"),
-        F.min("oy").alias("_oy"),
+    local = edge_table.selectExpr(
+        key, "ox", "oy", "x1 - ox AS ax", "y1 - oy AS ay", "x2 - ox AS bx", "y2 - oy AS by"
+    ).selectExpr("*", "ax * by - bx * ay AS c")
+    sums = local.groupBy(key).agg(
+        *[
+            F.expr(e)
+            for e in (
+                "sum(c) AS c", "sum((ax + bx) * c) AS sx", "sum((ay + by) * c) AS sy",
+                "min(ox) AS ox", "min(oy) AS oy",
+            )
+        ]
     )
-    weight = F.nullif(F.col("_c") * 3, F.lit(0.0))
-    return sums.select(
-        key,
-        (F.col("_ox") + F.col("_sx") / weight).alias("x"),
-        (F.col("_oy") + F.col("_sy") / weight).alias("y"),
+    return sums.selectExpr(
+        key, "ox + try_divide(sx, c * 3) AS x", "oy + try_divide(sy, c * 3) AS y"
     )
 
 
@@ -115,35 +100,24 @@ def dissolve(edge_table: DataFrame, key: str) -> DataFrame:
     not. Each undirected edge is one group, so the shuffle spreads over all edges however large a
     single outline is.
     """
-    forward = (F.col("x1") < F.col("x2")) | (
-        (F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2"))
-    )
-    lo = {c: F.when(forward, F.col(c)).otherwise(F.col(o)) for c, o in zip(EDGE, ("x2", "y2", "x1", "y1"))}
+    turned = ("x2", "y2", "x1", "y1")
     net = (
-        edge_table.select(
-            key, *[lo[c].alias(c) for c in EDGE], F.when(forward, 1).otherwise(-1).alias("_d")
+        edge_table.selectExpr(key, *EDGE, "x1 < x2 OR (x1 = x2 AND y1 < y2) AS f")
+        .selectExpr(
+            key, *[f"if(f, {c}, {o}) AS {c}" for c, o in zip(EDGE, turned)], "if(f, 1, -1) AS d"
         )
         .groupBy(key, *EDGE)
-        .agg(F.sum("_d").alias("_d"))
-        .filter(F.col("_d") != 0)
-    )
-    keep = F.col("_d") > 0
-    return net.select(
-        key,
-        *[
-            F.when(keep, F.col(c)).otherwise(F.col(o)).alias(c)
-            for c, o in zip(EDGE, ("x2", "y2", "x1", "y1"))
-        ],
+        .agg(F.sum("d").alias("d"))
+        .filter("d != 0")
     )
+    return net.selectExpr(key, *[f"if(d > 0, {c}, {o}) AS {c}" for c, o in zip(EDGE, turned)])
 
 
 def outline_length(edge_table: DataFrame, key: str) -> DataFrame:
     """(key, edge_count, length_m) of an edge table."""
-    length = F.sqrt(
-        F.pow(F.col("x2") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2.0))
-    )
     return edge_table.groupBy(key).agg(
-        F.count(F.lit(1)).alias("edge_count"), F.sum(length).alias("length_m")
+        F.expr("count(1) AS edge_count"),
+        F.expr("sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS length_m"),
     )
 
 
@@ -152,17 +126,12 @@ def coverage_check(edge_table: DataFrame, key: str) -> DataFrame:
 
     Slivers and T-junctions leave open vertices or stray edges; a clean outline has none.
     """
-    ends = edge_table.select(
+    ends = edge_table.selectExpr(
         key,
-        F.explode(
-            F.array(
-                F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(1).alias("d")),
-                F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), F.lit(-1).alias("d")),
-            )
-        ).alias("v"),
+        "inline(array(named_struct('x', x1, 'y', y1, 'd', 1), named_struct('x', x2, 'y', y2, 'd', -1)))",
     )
-    balance = ends.groupBy(key, "v.x", "v.y").agg(F.sum("v.d").alias("d"))
-    return balance.groupBy(key).agg(F.count_if(F.col("d") != 0).alias("open_vertices"))
+    balance = ends.groupBy(key, "x", "y").agg(F.sum("d").alias("d"))
+    return balance.groupBy(key).agg(F.expr("count_if(d != 0) AS open_vertices"))
 
 
 def scan_spans(edge_table: DataFrame, key: str, step: float) -> DataFrame:
@@ -172,27 +141,28 @@ def scan_spans(edge_table: DataFrame, key: str, step: float) -> DataFrame:
     directions from the left is the winding number, and spans with a non-zero sum are inside. The
     window groups are single lines of single polygons, so a huge polygon spreads over its lines.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first, last = F.floor(low / F.lit(step)) + 1, F.floor(high / F.lit(step))
-    hits = (
-        edge_table.withColumn("_a", first)
-        .withColumn("_z", last)
-        .filter(F.col("_a") <= F.col("_z"))
-        .select(key, *EDGE, F.explode(F.sequence("_a", "_z")).alias("k"))
-    )
-    line_y = F.col("k") * F.lit(step)
-    x = F.col("x1") + (line_y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (
-        F.col("y2") - F.col("y1")
-    )
-    crossings = hits.select(
-        key, "k", x.alias("xa"), F.when(F.col("y2") < F.col("y1"), 1).otherwise(-1).alias("d")
-    )
-    line = Window.partitionBy(key, "k").orderBy("xa")
+    h = num(step)
+    line = f"OVER (PARTITION BY {key}, k ORDER BY xa"
     return (
-        crossings.withColumn("w", F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("xb", F.lead("xa").over(line))
-        .filter((F.col("w") != 0) & (F.col("xb") > F.col("xa")))
-        .select(key, "k", "xa", "xb", F.col("w").cast("double").alias("w"))
+        edge_table.selectExpr(
+            key, *EDGE, f"floor(least(y1, y2) / {h}) + 1 AS a", f"floor(greatest(y1, y2) / {h}) AS z"
+        )
+        .filter("a <= z")
+        .selectExpr(key, *EDGE, "explode(sequence(a, z)) AS k")
+        .selectExpr(
+            key,
+            "k",
+            f"x1 + (k * {h} - y1) * (x2 - x1) / (y2 - y1) AS xa",
+            "if(y2 < y1, 1, -1) AS d",
+        )
+        .selectExpr(
+            key,
+            "k",
+            "xa",
+            f"lead(xa) {line}) AS xb",
+            f"double(sum(d) {line} ROWS UNBOUNDED PRECEDING)) AS w",
+        )
+        .filter("w != 0 AND xb > xa")
     )
 
 
@@ -205,96 +175,80 @@ def cut_to_grid(edge_table: DataFrame, key: str, side: float) -> DataFrame:
     No slab needs anything outside its bucket, so area, containment and overlap become joins on the
     bucket alone, and work grows with outline length plus covered buckets, not with edge products.
     """
-    size = F.lit(float(side))
-
+    h = num(side)
     # Edge parts, first by bucket column, then by bucket row.
-    right = F.col("x1") < F.col("x2")
-    sloped = edge_table.filter(F.col("x1") != F.col("x2")).select(
-        key,
-        F.when(right, -1.0).otherwise(1.0).alias("s"),
-        *[
-            F.when(right, F.col(a)).otherwise(F.col(b)).alias(n)
-            for n, a, b in (("xl", "x1", "x2"), ("yl", "y1", "y2"), ("xr", "x2", "x1"), ("yr", "y2", "y1"))
-        ],
-    )
-    columns = sloped.withColumn(
-        "bx", F.explode(F.sequence(F.floor(F.col("xl") / size), F.ceil(F.col("xr") / size) - 1))
-    )
-    slope = (F.col("yr") - F.col("yl")) / (F.col("xr") - F.col("xl"))
-    columns = columns.select(
-        key,
-        "s",
-        "bx",
-        F.greatest("xl", F.col("bx") * size).alias("_l"),
-        F.least("xr", (F.col("bx") + 1) * size).alias("_r"),
-        "xl", "yl", "xr", "yr",
-        slope.alias("_m"),
-    ).select(
-        key,
-        "s",
-        "bx",
-        (F.col("_l") - F.col("bx") * size).alias("xa"),
-        (F.col("_r") - F.col("bx") * size).alias("xb"),
-        F.when(F.col("_l") == F.col("xl"), F.col("yl"))
-        .otherwise(F.col("yl") + F.col("_m") * (F.col("_l") - F.col("xl")))
-        .alias("ya"),
-        F.when(F.col("_r") == F.col("xr"), F.col("yr"))
-        .otherwise(F.col("yl") + F.col("_m") * (F.col("_r") - F.col("xl")))
-        .alias("yb"),
-    )
-    rows = columns.withColumn(
-        "by",
-        F.explode(
-            F.sequence(
-                F.floor(F.least("ya", "yb") / size), F.floor(F.greatest("ya", "yb") / size)
-            )
-        ),
-    )
-    base = F.col("by") * size
-    rise = F.nullif(F.col("yb") - F.col("ya"), F.lit(0.0))
-
-    def clamp(t: Column) -> Column:
-        return F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-
-    at_bottom = clamp((base - F.col("ya")) / rise)
-    at_top = clamp((base + size - F.col("ya")) / rise)
-    local = rows.select(
-        key, "s", "bx", "by", "xa", "xb",
-        (F.col("ya") - base).alias("ya"),
-        (F.col("yb") - base).alias("yb"),
-        F.coalesce(F.least(at_bottom, at_top), F.lit(0.0)).alias("t1"),
-        F.when(rise.isNull(), F.lit(1.0)).otherwise(F.greatest(at_bottom, at_top)).alias("t2"),
+    columns = (
+        edge_table.filter("x1 != x2")
+        .selectExpr(
+            key,
+            "if(x1 < x2, -1D, 1D) AS s",
+            "least(x1, x2) AS xl",
+            "if(x1 < x2, y1, y2) AS yl",
+            "greatest(x1, x2) AS xr",
+            "if(x1 < x2, y2, y1) AS yr",
+        )
+        .selectExpr(
+            "*",
+            "(yr - yl) / (xr - xl) AS m",
+            f"explode(sequence(floor(xl / {h}), ceil(xr / {h}) - 1)) AS bx",
+        )
+        .selectExpr("*", f"greatest(xl, bx * {h}) AS l", f"least(xr, (bx + 1) * {h}) AS r")
+        .selectExpr(
+            key,
+            "s",
+            "bx",
+            f"l - bx * {h} AS xa",
+            f"r - bx * {h} AS xb",
+            "if(l = xl, yl, yl + m * (l - xl)) AS ya",
+            "if(r = xr, yr, yl + m * (r - xl)) AS yb",
+        )
     )
-    width, height = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
-
-    def in_bucket(y: Column) -> Column:
-        return F.least(F.greatest(y, F.lit(0.0)), size)
 
-    local = local.select(
-        key, "bx", "by", "s",
-        (F.col("xa") + width * F.col("t1")).alias("x1"),
-        in_bucket(F.col("ya") + height * F.col("t1")).alias("y1"),
-        (F.col("xa") + width * F.col("t2")).alias("x2"),
-        in_bucket(F.col("ya") + height * F.col("t2")).alias("y2"),
-    )
+    def clamp(value: str, top: str) -> str:
+        return f"least(greatest({value}, 0D), {top})"
 
-    lids = scan_spans(edge_table, key, side).withColumn(
-        "bx", F.explode(F.sequence(F.floor(F.col("xa") / size), F.ceil(F.col("xb") / size) - 1))
+    local = (
+        columns.selectExpr(
+            "*",
+            f"explode(sequence(floor(least(ya, yb) / {h}), floor(greatest(ya, yb) / {h}))) AS by",
+        )
+        .selectExpr(
+            key, "s", "bx", "by", "xa", "xb", f"ya - by * {h} AS ya", f"yb - by * {h} AS yb"
+        )
+        .selectExpr(
+            "*",
+            f"if(ya = yb, 0D, {clamp('-ya / (yb - ya)', '1D')}) AS p",
+            f"if(ya = yb, 1D, {clamp(f'({h} - ya) / (yb - ya)', '1D')}) AS q",
+        )
+        .selectExpr("*", "least(p, q) AS t", "greatest(p, q) AS u")
+        .selectExpr(
+            key,
+            "bx",
+            "by",
+            "s",
+            "xa + (xb - xa) * t AS x1",
+            f"{clamp('ya + (yb - ya) * t', h)} AS y1",
+            "xa + (xb - xa) * u AS x2",
+            f"{clamp('ya + (yb - ya) * u', h)} AS y2",
+        )
     )
-    lids = lids.select(
-        key,
-        "bx",
-        (F.col("k") - 1).alias("by"),
-        F.col("w").alias("s"),
-        F.greatest(F.col("xa") - F.col("bx") * size, F.lit(0.0)).alias("x1"),
-        size.alias("y1"),
-        F.least(F.col("xb") - F.col("bx") * size, size).alias("x2"),
-        size.alias("y2"),
+    lids = (
+        scan_spans(edge_table, key, side)
+        .selectExpr("*", f"explode(sequence(floor(xa / {h}), ceil(xb / {h}) - 1)) AS bx")
+        .selectExpr(
+            key,
+            "bx",
+            "k - 1 AS by",
+            "w AS s",
+            f"greatest(xa - bx * {h}, 0D) AS x1",
+            f"{h} AS y1",
+            f"least(xb - bx * {h}, {h}) AS x2",
+            f"{h} AS y2",
+        )
     )
-    return local.unionByName(lids).filter(F.col("x2") > F.col("x1"))
+    return local.unionByName(lids).filter("x2 > x1")
 
 
 def slab_area(slabs: DataFrame, key: str, name: str = "area_m2") -> DataFrame:
     """(key, area) of slab sets."""
-    term = F.col("s") * (F.col("x2") - F.col("x1")) * (F.col("y1") + F.col("y2")) / 2
-    return slabs.groupBy(key).agg(F.sum(term).alias(name))
+    return slabs.groupBy(key).agg(F.expr("sum(s * (x2 - x1) * (y1 + y2) / 2)").alias(name))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NULL_KEY = "\u0000null"
-_ANY_KEY = "\u0000any"
+from hexloom.functions.numeric import num
+
+# Key texts no trimmed category can have.
+_NULL_KEY = " null "
+_ANY_KEY = " any "
 
 
 def _sites(points: DataFrame, x: str, y: str, source: str, category: str) -> DataFrame:
@@ -19,19 +22,15 @@ def _sites(points: DataFrame, x: str, y: str, source: str, category: str) -> Dat
     ).distinct()
 
 
-def _near_cells(side: float, radius: float) -> Column:
+def _near_cells(x: str, y: str, side: float, radius: float) -> str:
     """Grid cells a point must be known in: its own and those within ``radius`` of it."""
 
-    def reach(c: str) -> Column:
-        low = F.floor((F.col(c) - F.lit(radius)) / F.lit(side))
-        high = F.floor((F.col(c) + F.lit(radius)) / F.lit(side))
-        return F.sequence(low, high)
+    def reach(c: str) -> str:
+        return f"sequence(floor(({c} - {num(radius)}) / {num(side)}), floor(({c} + {num(radius)}) / {num(side)}))"
 
-    return F.flatten(
-        F.transform(
-            reach("_x"),
-            lambda cx: F.transform(reach("_y"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))),
-        )
+    return (
+        f"flatten(transform({reach(x)}, a -> "
+        f"transform({reach(y)}, b -> named_struct('cx', a, 'cy', b))))"
     )
 
 
@@ -55,24 +54,19 @@ def duplicate_sites(
     sites = _sites(points, x, y, source, category)
 
     # A site with a category meets equal categories and missing ones; one without meets anything.
-    probe_keys = F.when(F.col("_cat").isNull(), F.array(F.lit(_ANY_KEY))).otherwise(
-        F.array(F.col("_cat"), F.lit(_NULL_KEY))
-    )
-    offer_keys = F.array(F.coalesce(F.col("_cat"), F.lit(_NULL_KEY)), F.lit(_ANY_KEY))
-
-    probes = sites.select(
+    probes = sites.selectExpr(
         "*",
-        F.floor(F.col("_x") / F.lit(side)).alias("cx"),
-        F.floor(F.col("_y") / F.lit(side)).alias("cy"),
-        F.explode(probe_keys).alias("_key"),
+        f"floor(_x / {num(side)}) AS cx",
+        f"floor(_y / {num(side)}) AS cy",
+        f"explode(if(_cat IS NULL, array('{_ANY_KEY}'), array(_cat, '{_NULL_KEY}'))) AS _key",
+    )
+    offers = sites.selectExpr(
+        "_x AS _ox",
+        "_y AS _oy",
+        "_source AS _osource",
+        f"explode(array(coalesce(_cat, '{_NULL_KEY}'), '{_ANY_KEY}')) AS _key",
     )
-    offers = sites.select(
-        F.col("_x").alias("_ox"),
-        F.col("_y").alias("_oy"),
-        F.col("_source").alias("_osource"),
-        F.explode(offer_keys).alias("_key"),
-        F.explode(_near_cells(side, radius)).alias("_cell"),
-    ).select("_ox", "_oy", "_osource", "_key", "_cell.cx", "_cell.cy")
+    offers = offers.selectExpr("*", f"inline({_near_cells('_ox', '_oy', side, radius)})")
 
     keys = ["cx", "cy", "_key"]
     sources = offers.groupBy(*keys).agg(
@@ -80,16 +74,12 @@ def duplicate_sites(
     )
     hopeful = (
         probes.join(sources, keys)
-        .filter((F.col("_lo") != F.col("_source")) | (F.col("_hi") != F.col("_source")))
+        .filter("_lo != _source OR _hi != _source")
         .drop("_lo", "_hi")
     )
-    dx, dy = F.col("p._x") - F.col("o._ox"), F.col("p._y") - F.col("o._oy")
-    match = (
-        (F.col("p.cx") == F.col("o.cx"))
-        & (F.col("p.cy") == F.col("o.cy"))
-        & (F.col("p._key") == F.col("o._key"))
-        & (F.col("p._source") != F.col("o._osource"))
-        & (F.sqrt(dx * dx + dy * dy) <= F.lit(radius))
+    match = F.expr(
+        "p.cx = o.cx AND p.cy = o.cy AND p._key = o._key AND p._source != o._osource AND "
+        f"sqrt((p._x - o._ox) * (p._x - o._ox) + (p._y - o._oy) * (p._y - o._oy)) <= {num(radius)}"
     )
     return (
         hopeful.alias("p")

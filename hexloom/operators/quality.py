@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.numeric import round_to
+from hexloom.functions.numeric import num, percent
 
 #: A new count below this part of the old one is a broken response, not an update.
 SUSPICIOUS_DROP = 0.10
@@ -55,19 +55,12 @@ def profile_table(df: DataFrame, columns: Sequence[str], high_null_pct: float =
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
     )
-    pct = {c: F.col(c) * 100.0 / F.nullif(F.col("_rows"), F.lit(0)) for c in columns}
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col("_rows").alias("rows"),
-                round_to(pct[c], 1).alias("null_pct"),
-                (round_to(pct[c], 1) > high_null_pct).alias("high_null"),
-            )
-            for c in columns
-        ]
+    rows = ", ".join(
+        f"struct('{c}' AS column, _rows AS rows, {percent(c, '_rows')} AS null_pct, "
+        f"{percent(c, '_rows')} > {num(high_null_pct)} AS high_null)"
+        for c in columns
     )
-    return totals.select(F.inline(rows))
+    return totals.selectExpr(f"inline(array({rows}))")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.numeric import nearest_int
+from hexloom.functions.numeric import nearest_int, num
 
 DECILES = tuple(i / 10 for i in range(11))
 
@@ -19,62 +19,51 @@ def rank_values(df: DataFrame, key: str, value: str, fractions: Sequence[float])
     thousand per key) locates each wanted rank; only the few buckets that hold one are then ordered,
     so a key with all the rows still spreads over its buckets.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = (
+        df.filter(f"{value} IS NOT NULL")
+        .groupBy(key, F.col(value).alias("v"))
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr("*", "floor(signum(v) * log1p(abs(v) * 16D) * 64D) AS b")
     )
-    counts = counts.withColumn(
-        "b", F.floor(F.signum("v") * F.log1p(F.abs("v") * F.lit(16.0)) * F.lit(64.0))
+    coarse = (
+        counts.groupBy(key, "b")
+        .agg(F.sum("n").alias("bn"))
+        .selectExpr(
+            key,
+            "b",
+            "bn",
+            f"sum(bn) OVER (PARTITION BY {key} ORDER BY b ROWS UNBOUNDED PRECEDING) AS hi",
+            f"sum(bn) OVER (PARTITION BY {key}) AS total",
+        )
     )
-    coarse = counts.groupBy(key, "b").agg(F.sum("n").alias("n"))
-    by_bucket = Window.partitionBy(key).orderBy("b")
-    coarse = coarse.select(
-        key,
-        "b",
-        F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"),
-        F.col("n").alias("_bn"),
-        F.sum("n").over(Window.partitionBy(key)).alias("total"),
-    ).withColumn("_lo", F.col("_hi") - F.col("_bn"))
-
     # Zero-based ranks each fraction needs: both neighbours for interpolation, one for discrete.
-    wanted = F.array(
-        *[F.struct(F.lit(float(f)).alias("f"), F.lit(kind).alias("kind")) for f in fractions for kind in ("low", "high", "disc")]
-    )
-    position = F.col("w.f") * (F.col("total") - 1)
-    rank = (
-        F.when(F.col("w.kind") == "low", F.floor(position))
-        .when(F.col("w.kind") == "high", F.ceil(position))
-        .otherwise(F.greatest(F.ceil(F.col("w.f") * F.col("total")) - 1, F.lit(0)))
+    wanted = ", ".join(num(f) for f in fractions)
+    ranks = (
+        "array(struct('low' AS kind, floor(f * (total - 1)) AS rank), "
+        "struct('high' AS kind, ceil(f * (total - 1)) AS rank), "
+        "struct('disc' AS kind, greatest(ceil(f * total) - 1, 0L) AS rank))"
     )
     targets = (
-        coarse.withColumn("w", F.explode(wanted))
-        .withColumn("rank", rank)
-        .filter((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-        .select(key, "b", "_lo", "total", "w.f", "w.kind", "rank")
+        coarse.selectExpr("*", f"explode(array({wanted})) AS f")
+        .selectExpr(key, "b", "hi", "bn", "total", "f", f"inline({ranks})")
+        .filter("rank >= hi - bn AND rank < hi")
+        .selectExpr(key, "b", "total", "f", "kind", "rank - (hi - bn) AS offset")
     )
     needed = targets.select(key, "b").distinct()
-    inside = Window.partitionBy(key, "b").orderBy("v")
-    fine = (
-        counts.join(needed, [key, "b"], "left_semi")
-        .withColumn("_to", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_to") - F.col("n"))
-    )
-    offset = F.col("rank") - F.col("_lo")
-    found = fine.join(targets, [key, "b"]).filter(
-        (offset >= F.col("_from")) & (offset < F.col("_to"))
+    running = f"sum(n) OVER (PARTITION BY {key}, b ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto"
+    fine = counts.join(needed, [key, "b"], "left_semi").selectExpr("*", running)
+    picked = (
+        fine.join(targets, [key, "b"])
+        .filter("offset >= upto - n AND offset < upto")
+        .groupBy(key, "f")
+        .agg(
+            *[F.expr(f"max(CASE WHEN kind = '{k}' THEN v END) AS {k}") for k in ("low", "high", "disc")],
+            F.expr("max(total) AS total"),
+        )
     )
-    picked = found.groupBy(key, "f").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("low", "high", "disc")],
-        F.max("total").alias("total"),
-    )
-    position = F.col("f") * (F.col("total") - 1)
-    part = position - F.floor(position)
-    return picked.select(
-        key,
-        F.col("f").alias("fraction"),
-        F.when(F.col("low") == F.col("high"), F.col("low"))
-        .otherwise(F.col("low") + (F.col("high") - F.col("low")) * part)
-        .alias("cont"),
-        F.col("disc"),
+    part = "(f * (total - 1) - floor(f * (total - 1)))"
+    return picked.selectExpr(
+        key, "f AS fraction", f"if(low = high, low, low + (high - low) * {part}) AS cont", "disc"
     )
 
 
@@ -89,14 +78,13 @@ def density_quantiles(
 
     Several levels go through in one pass; rows dominated by forest stay out.
     """
-    usable = marts.filter(F.col(cover) <= max_cover)
-    ranks = rank_values(usable, key, value, sorted({*DECILES, 0.95}))
-    decile = F.when(
-        F.col("fraction") != 0.95, F.struct(F.col("fraction"), F.col("cont"))
-    )
-    return ranks.groupBy(key).agg(
-        nearest_int(F.max(F.when(F.col("fraction") == 0.5, F.col("disc")))).alias("p50"),
-        nearest_int(F.max(F.when(F.col("fraction") == 0.95, F.col("disc")))).alias("p95"),
+    usable = marts.filter(f"{cover} <= {num(max_cover)}")
+    return rank_values(usable, key, value, sorted({*DECILES, 0.95})).groupBy(key).agg(
+        F.expr(f"{nearest_int('max(CASE WHEN fraction = 0.5D THEN disc END)')} AS p50"),
+        F.expr(f"{nearest_int('max(CASE WHEN fraction = 0.95D THEN disc END)')} AS p95"),
         # Eleven entries at most.
-        F.transform(F.array_sort(F.collect_list(decile)), lambda d: d["cont"]).alias("quantiles"),
+        F.expr(
+            "transform(array_sort(collect_list(CASE WHEN fraction != 0.95D "
+            "THEN struct(fraction, cont) END)), d -> d.cont) AS quantiles"
+        ),
     )

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from hexloom.functions.projection import tile_x, tile_y
 from hexloom.operators.histogram import top_k_per_group
@@ -15,9 +14,8 @@ TILE = ("z", "tx", "ty")
 
 def tile_assign(features: DataFrame, zoom_min: int, zoom_max: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Point features once per zoom with their tile (z, tx, ty)."""
-    zooms = features.withColumn("z", F.explode(F.sequence(F.lit(zoom_min), F.lit(zoom_max))))
-    return zooms.withColumn("tx", tile_x(F.col(lon), F.col("z"))).withColumn(
-        "ty", tile_y(F.col(lat), F.col("z"))
+    return features.selectExpr("*", f"explode(sequence({zoom_min}, {zoom_max})) AS z").selectExpr(
+        "*", f"{tile_x(lon, 'z')} AS tx", f"{tile_y(lat, 'z')} AS ty"
     )
 
 
@@ -25,14 +23,15 @@ def tile_assign_boxes(
     features: DataFrame, zoom_min: int, zoom_max: int, box: Sequence[str] = ("west", "south", "east", "north")
 ) -> DataFrame:
     """Extended features once per zoom and per tile their bounding box touches."""
-    west, south, east, north = (F.col(c) for c in box)
-    zooms = features.withColumn("z", F.explode(F.sequence(F.lit(zoom_min), F.lit(zoom_max))))
-    z = F.col("z")
-    columns = zooms.withColumn("tx", F.explode(F.sequence(tile_x(west, z), tile_x(east, z))))
-    return columns.withColumn("ty", F.explode(F.sequence(tile_y(north, z), tile_y(south, z))))
+    west, south, east, north = box
+    return (
+        features.selectExpr("*", f"explode(sequence({zoom_min}, {zoom_max})) AS z")
+        .selectExpr("*", f"explode(sequence({tile_x(west, 'z')}, {tile_x(east, 'z')})) AS tx")
+        .selectExpr("*", f"explode(sequence({tile_y(north, 'z')}, {tile_y(south, 'z')})) AS ty")
+    )
 
 
-def tile_thin(tiles: DataFrame, cap: int, order: Sequence[Column]) -> DataFrame:
+def tile_thin(tiles: DataFrame, cap: int, order: str) -> DataFrame:
     """At most ``cap`` features per tile, first in a stable order.
 
     The rank filter is pushed below the shuffle, so a low-zoom tile that covers everything receives
@@ -43,7 +42,7 @@ def tile_thin(tiles: DataFrame, cap: int, order: Sequence[Column]) -> DataFrame:
 
 def tile_join(layers: DataFrame, archives: dict[str, str], layer: str = "layer") -> DataFrame:
     """Name the archive each layer belongs to; layers without one drop out."""
-    pairs = F.create_map(*[F.lit(item) for pair in archives.items() for item in pair])
-    return layers.withColumn("archive", F.try_element_at(pairs, F.col(layer))).filter(
-        F.col("archive").isNotNull()
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in archives.items())
+    return layers.selectExpr("*", f"try_element_at(map({pairs}), {layer}) AS archive").filter(
+        "archive IS NOT NULL"
     )

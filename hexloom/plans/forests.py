@@ -30,7 +30,7 @@ def stand_shapes(
     traps = slab_trapezoids(slabs, stand_key, side)
     # One list per stand: it is the geometry value of that one feature.
     parts = traps.groupBy(stand_key).agg(F.array_sort(F.collect_list(F.array("ring"))).alias("parts"))
-    return parts.select(stand_key, multipolygon_wkt(F.col("parts")).alias("geometry"))
+    return parts.selectExpr(stand_key, f"{multipolygon_wkt('parts')} AS geometry")
 
 
 def forest_outline(

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions.hexgrid import cell_res, cell_string, hex_boundary, hex_cell
-from hexloom.functions.measures import area_metrics
-from hexloom.functions.numeric import ratio, round_to
+from hexloom.functions.measures import (
+    area_metrics,
+    ascending_stops,
+    clamp_top,
+    density_rank,
+    suppress_artefacts,
+)
+from hexloom.functions.numeric import percent, ratio, round_to
 from hexloom.functions.text import normalize_genus, normalize_species
 from hexloom.functions.wkt import polygon_wkt
 from hexloom.functions.projection import utm33_to_lonlat
@@ -49,25 +55,33 @@ METRICS = ["berlin_area_km2", "forest_area_km2", "non_forest_area_km2", "forest_
 
 def normalized_points(points: DataFrame) -> DataFrame:
     """Only what marts need: place, source, normalised genus and species."""
-    return points.select(
+    return points.filter("x IS NOT NULL AND y IS NOT NULL").selectExpr(
         "x",
         "y",
         "source",
-        normalize_genus(F.col("genus_latin"), F.col("species_latin")).alias("genus"),
-        normalize_species(F.col("species_latin")).alias("species"),
+        f"{normalize_genus('genus_latin', 'species_latin')} AS genus",
+        f"{normalize_species('species_latin')} AS species",
+    )
+
+
+def located_points(points: DataFrame, resolutions: Sequence[int]) -> DataFrame:
+    """Normalised points once per resolution with their cell."""
+    ids = ", ".join(hex_cell("x", "y", res) for res in resolutions)
+    return normalized_points(points).selectExpr(
+        f"explode(array({ids})) AS cell", "genus", "species", "source"
     )
 
 
 def stand_genera(stands: DataFrame, lookup: DataFrame, stand_key: str = "stand_id") -> DataFrame:
     """(stand, genus, mix): known codes of each stand with their summed share as a fraction."""
     slots = unpivot_slots(stands, [stand_key], SLOTS)
-    named = lookup.filter(F.col("genus_latin") != "").select(
-        F.col("ba_code").alias("code"), F.lower("genus_latin").alias("genus")
+    named = lookup.filter("genus_latin != ''").selectExpr(
+        "ba_code AS code", "lower(genus_latin) AS genus"
     )
     return (
         slots.join(named, "code")
         .groupBy(stand_key, "genus")
-        .agg(F.sum(F.col("share") / 100.0).alias("mix"))
+        .agg(F.expr("sum(share / 100D) AS mix"))
     )
 
 
@@ -76,9 +90,7 @@ def forest_stats(
 ) -> tuple[DataFrame, DataFrame]:
     """Forest area and area-weighted genus mixture per region from (region, stand, area) rows."""
     totals = overlaps.groupBy(*keys).agg(F.sum("area_m2").alias("forest_area_m2"))
-    weighted = overlaps.join(genera, stand_key).select(
-        *keys, "genus", (F.col("area_m2") * F.col("mix")).alias("weight")
-    )
+    weighted = overlaps.join(genera, stand_key).selectExpr(*keys, "genus", "area_m2 * mix AS weight")
     return totals, weighted_histogram(weighted, keys, "genus", "weight")
 
 
@@ -99,7 +111,7 @@ def forest_cells(
         inside = hex_cover(boundary, boundary_key, res, "center").select("cell").distinct()
         core = hex_cover(stand_edges, stand_key, res, "center").select("cell").distinct()
         core = core.join(inside, "cell", "left_semi")
-        parts.append(hex_disk(core, "cell", 1, "_n").select(F.col("_n").alias("cell")))
+        parts.append(hex_disk(core, "cell", 1, "n").selectExpr("n AS cell"))
     return union_cells(*parts)
 
 
@@ -124,11 +136,7 @@ def hex_mart(
     """
     if drop_duplicates:
         points = points.filter(~F.col("is_potential_duplicate"))
-    cell_ids = F.array(*[hex_cell(F.col("x"), F.col("y"), res) for res in resolutions])
-    located = normalized_points(points).select(
-        F.explode(cell_ids).alias("cell"), "genus", "species", "source"
-    )
-    profile = settle(point_profile(located, ["cell"], sources), "profile")
+    profile = settle(point_profile(located_points(points, resolutions), ["cell"], sources), "profile")
 
     stand_edges = edges(stands, stand_key)
     cells = union_cells(
@@ -149,36 +157,31 @@ def hex_mart(
         inside.join(profile, "cell", "left")
         .join(totals, "cell", "left")
         .join(mixture, "cell", "left")
-        .filter((F.coalesce("tree_count", F.lit(0)) > 0) | (F.coalesce("forest_area_m2", F.lit(0.0)) > 0))
+        .filter("coalesce(tree_count, 0) > 0 OR coalesce(forest_area_m2, 0D) > 0")
     )
-    metrics = area_metrics(F.col("berlin_area_m2"), F.col("forest_area_m2"), F.col("tree_count"))
-    counts = ["tree_count", "genus_count", "species_count", *[f"source_{s}" for s in sources]]
-    filled = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts}
-    columns: list[Column | str] = [
-        cell_string(F.col("cell")).alias("h3_index"),
-        cell_res(F.col("cell")).alias("res"),
-        filled["tree_count"],
+    metrics = area_metrics("berlin_area_m2", "forest_area_m2", "tree_count")
+    corner = utm33_to_lonlat("c.x", "c.y")
+    ring = f"transform({hex_boundary('cell')}, c -> {corner})"
+    rounded = (
+        f"transform({ring}, d -> named_struct('x', {round_to('d.lon', 7, signed=True)}, "
+        f"'y', {round_to('d.lat', 7, signed=True)}))"
+    )
+    return joined.selectExpr(
+        f"{cell_string('cell')} AS h3_index",
+        f"{cell_res('cell')} AS res",
+        "coalesce(tree_count, 0) AS tree_count",
         "dominant_genus",
-        filled["genus_count"],
+        "coalesce(genus_count, 0) AS genus_count",
         "dominant_species",
-        filled["species_count"],
+        "coalesce(species_count, 0) AS species_count",
         "dominant_species_pct",
-        *[filled[f"source_{s}"] for s in sources],
+        *[f"coalesce(source_{s}, 0) AS source_{s}" for s in sources],
         *HISTOGRAM,
-        *[metrics[m].alias(m) for m in METRICS],
+        *[f"{metrics[m]} AS {m}" for m in METRICS],
         *MIXTURE,
-        metrics["tree_density_km2"].alias("tree_density_km2"),
-        polygon_wkt(F.array(_lonlat_ring(hex_boundary(F.col("cell"))))).alias("geometry"),
-    ]
-    return joined.select(*columns)
-
-
-def _lonlat_ring(ring: Column) -> Column:
-    def to_lonlat(p: Column) -> Column:
-        lon, lat = utm33_to_lonlat(p["x"], p["y"])
-        return F.struct(round_to(lon, 7).alias("x"), round_to(lat, 7).alias("y"))
-
-    return F.transform(ring, to_lonlat)
+        f"{metrics['tree_density_km2']} AS tree_density_km2",
+        f"{polygon_wkt(f'array({rounded})')} AS geometry",
+    )
 
 
 def area_mart(
@@ -217,9 +220,9 @@ def area_mart(
         .join(totals, area_key, "left")
         .join(mixture, area_key, "left")
     )
-    metrics = area_metrics(F.col("area_m2"), F.col("forest_area_m2"), F.col("tree_count"))
-    return joined.select(
-        F.col(area_key).alias("area_id"),
+    metrics = area_metrics("area_m2", "forest_area_m2", "tree_count")
+    return joined.selectExpr(
+        f"{area_key} AS area_id",
         "area_name",
         "tree_count",
         "dominant_genus",
@@ -229,9 +232,9 @@ def area_mart(
         "dominant_species_pct",
         *[f"source_{s}" for s in sources],
         *HISTOGRAM,
-        *[metrics[m].alias(m) for m in METRICS],
+        *[f"{metrics[m]} AS {m}" for m in METRICS],
         *MIXTURE,
-        metrics["tree_density_km2"].alias("tree_density_km2"),
+        f"{metrics['tree_density_km2']} AS tree_density_km2",
     )
 
 
@@ -271,32 +274,26 @@ def city_summary(
     overlaps = slab_area(clipped, stand_key).filter(F.col("area_m2") > 1e-6)
     _, mixture = forest_stats(overlaps, [], stand_genera(stands, lookup, stand_key), stand_key)
     area_sums = districts.agg(
-        *[round_to(F.sum(m), 2).alias(m) for m in METRICS if m != "forest_cover_pct"]
+        *[F.expr(f"{round_to(f'sum({m})', 2)} AS {m}") for m in METRICS if m != "forest_cover_pct"]
     )
-    ranges = density_quantiles(levels)
+    ranges = density_quantiles(levels).selectExpr("*", "to_json(quantiles) AS q")
     ranges = ranges.agg(
         *[
-            F.max(F.when(F.col("level") == level, value)).alias(f"density_{level}_{name}")
+            F.expr(f"max(CASE WHEN level = '{level}' THEN {value} END) AS density_{level}_{name}")
             for level in level_names
-            for name, value in (
-                ("p50", F.col("p50")),
-                ("p95", F.col("p95")),
-                ("quantiles", F.to_json("quantiles")),
-            )
+            for name, value in (("p50", "p50"), ("p95", "p95"), ("quantiles", "q"))
         ]
     )
-    parts = [p.withColumn("_city", F.lit(1)) for p in (totals, area_sums, histogram, mixture, ranges)]
+    parts = [p.selectExpr("*", "1 AS _city") for p in (totals, area_sums, histogram, mixture, ranges)]
     row = reduce(lambda a, b: a.join(b, "_city", "left"), parts)
-    cover = round_to(ratio(F.col("forest_area_km2"), F.col("berlin_area_km2")) * 100, 1)
-    density = round_to(ratio(F.col("tree_count"), F.col("non_forest_area_km2")), 1)
-    return row.select(
+    return row.selectExpr(
         "tree_count",
         "genus_count",
         "berlin_area_km2",
         "forest_area_km2",
         "non_forest_area_km2",
-        cover.alias("forest_cover_pct"),
-        density.alias("tree_density_km2"),
+        f"{percent('forest_area_km2', 'berlin_area_km2')} AS forest_cover_pct",
+        f"{round_to(ratio('tree_count', 'non_forest_area_km2'), 1)} AS tree_density_km2",
         *HISTOGRAM,
         *MIXTURE,
         *[f"density_{level}_{n}" for level in level_names for n in ("p50", "p95", "quantiles")],
@@ -305,46 +302,30 @@ def city_summary(
 
 def nest_summary(summary: DataFrame, level_names: Sequence[str]) -> DataFrame:
     """Wide city row to nested arrays: genera, forest genera and density ranges per level."""
-    genera = F.array(
-        *[
-            F.struct(
-                F.col(f"tree_genus_{i}").alias("genus"),
-                F.col(f"tree_genus_{i}_count").alias("count"),
-                F.col(f"tree_genus_{i}_share").alias("share"),
-            )
-            for i in range(1, 11)
-        ]
+    genera = ", ".join(
+        f"struct(tree_genus_{i} AS genus, tree_genus_{i}_count AS count, tree_genus_{i}_share AS share)"
+        for i in range(1, 11)
     )
-    forest = F.array(
-        *[
-            F.struct(
-                F.col(f"forest_genus_{i}").alias("genus"), F.col(f"forest_genus_{i}_share").alias("share")
-            )
-            for i in range(1, 6)
-        ]
+    forest = ", ".join(
+        f"struct(forest_genus_{i} AS genus, forest_genus_{i}_share AS share)" for i in range(1, 6)
     )
-    ranges = F.struct(
-        *[
-            F.struct(
-                F.col(f"density_{level}_p50").alias("p50"),
-                F.col(f"density_{level}_p95").alias("p95"),
-                F.from_json(f"density_{level}_quantiles", "array<double>").alias("quantiles"),
-            ).alias(level)
-            for level in level_names
-        ]
+    ranges = ", ".join(
+        f"struct(density_{level}_p50 AS p50, density_{level}_p95 AS p95, "
+        f"from_json(density_{level}_quantiles, 'array<double>') AS quantiles) AS {level}"
+        for level in level_names
     )
-    named = lambda g: g["genus"].isNotNull() & (g["genus"] != "")
-    return summary.select(
+    named = "g -> g.genus IS NOT NULL AND g.genus != ''"
+    return summary.selectExpr(
         "tree_count",
         "genus_count",
         *METRICS,
         "tree_density_km2",
-        F.filter(genera, named).alias("top_genera"),
-        F.col("tree_genus_other_count").alias("top_genera_other_count"),
-        F.col("tree_genus_other_share").alias("top_genera_other_share"),
-        F.filter(forest, named).alias("forest_genera"),
-        F.coalesce("forest_genus_other_share", F.lit(0.0)).alias("forest_genus_other_share"),
-        ranges.alias("density_ranges"),
+        f"filter(array({genera}), {named}) AS top_genera",
+        "tree_genus_other_count AS top_genera_other_count",
+        "tree_genus_other_share AS top_genera_other_share",
+        f"filter(array({forest}), {named}) AS forest_genera",
+        "coalesce(forest_genus_other_share, 0D) AS forest_genus_other_share",
+        f"struct({ranges}) AS density_ranges",
     )
 
 
@@ -353,18 +334,13 @@ def ranked_mart(mart: DataFrame, ranges: DataFrame, key: str = "level") -> DataF
 
     ``ranges`` has one row per level, so its stops are prepared once and joined on the level.
     """
-    from hexloom.functions.measures import (
-        ascending_stops,
-        clamp_top,
-        density_rank,
-        suppress_artefacts,
+    stops = ranges.selectExpr(
+        key, "p95", f"{ascending_stops(clamp_top('quantiles', 'p95'))} AS stops"
     )
-
-    stops = ranges.select(
-        key, "p95", ascending_stops(clamp_top(F.col("quantiles"), F.col("p95"))).alias("stops")
+    value = suppress_artefacts("tree_density_km2", "forest_cover_pct", "p95")
+    return (
+        mart.join(stops, key, "left")
+        .selectExpr("*", f"{value} AS shown_density")
+        .selectExpr("*", f"{density_rank('shown_density', 'stops', 'p95')} AS rank")
+        .drop("stops")
     )
-    joined = mart.join(stops, key, "left")
-    value = suppress_artefacts(F.col("tree_density_km2"), F.col("forest_cover_pct"), F.col("p95"))
-    return joined.withColumn("shown_density", value).withColumn(
-        "rank", density_rank(F.col("shown_density"), F.col("stops"), F.col("p95"))
-    ).drop("stops")

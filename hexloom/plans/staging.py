@@ -35,22 +35,17 @@ def stage_points(raw: DataFrame, source: str) -> DataFrame:
     """Rename, trim and tag one raw inventory; rows without coordinates are dropped."""
     layout = LAYOUTS[source]
     texts = [
-        (F.trim(F.col(c).cast("string")) if c else F.lit(None).cast("string")).alias(name)
+        f"trim(cast({c} as string)) AS {name}" if c else f"cast(NULL as string) AS {name}"
         for name, c in layout.items()
     ]
-    if layout is _OPERATOR:
-        year = F.lit(None).cast("int")
-        age = F.nullif(F.col("standalter"), F.lit(0))
-    else:
-        year = safe_int(F.col("pflanzjahr"))
-        age = F.col("standalter")
-    return raw.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+    cadastre = layout is _CADASTRE
+    return raw.filter("x IS NOT NULL AND y IS NOT NULL").selectExpr(
         *texts,
-        year.alias("planting_year"),
-        age.cast("double").alias("tree_age"),
+        f"{safe_int('pflanzjahr') if cadastre else 'cast(NULL as int)'} AS planting_year",
+        f"double({'standalter' if cadastre else 'nullif(standalter, 0)'}) AS tree_age",
         "x",
         "y",
-        F.lit(source).alias("source"),
+        f"'{source}' AS source",
     )
 
 
@@ -60,7 +55,7 @@ def unify_sources(staged: dict[str, DataFrame]) -> DataFrame:
     merged = frames[0]
     for frame in frames[1:]:
         merged = merged.unionByName(frame)
-    return merged.withColumn("tree_uuid", surrogate_key(F.col("source"), F.col("tree_id")))
+    return merged.selectExpr("*", f"{surrogate_key('source', 'tree_id')} AS tree_uuid")
 
 
 def unified_points(raw: dict[str, DataFrame], radius: float = 2.0) -> DataFrame:
@@ -86,8 +81,8 @@ def district_outlines(neighbourhood_edges: DataFrame, code: str = "bezirk_code")
 
 def district_names(codes: DataFrame, code: str = "bezirk_code") -> DataFrame:
     """District codes with their names."""
-    return codes.select(code).distinct().withColumn(
-        "bezirk_name", label_codes(F.col(code), DISTRICT_NAMES)
+    return codes.select(code).distinct().selectExpr(
+        code, f"{label_codes(code, DISTRICT_NAMES)} AS bezirk_name"
     )
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from hexloom.functions.projection import lonlat_to_utm33
 from hexloom.sources.fixed_values import SOURCE_CATALOGUE, STAND_CODES
 
 LOOKUP_SCHEMA = "ba_code string, deuts string, genus_latin string, notes string"
@@ -65,14 +65,11 @@ def cap_rows(df: DataFrame, n: int | None) -> DataFrame:
 
 def reproject(df: DataFrame, crs: str = "crs", x: str = "x", y: str = "y") -> DataFrame:
     """Bring points to EPSG:25833: rows marked EPSG:4326 are converted, all others kept."""
-    from hexloom.functions.projection import lonlat_to_utm33
-
-    degrees = F.coalesce(F.col(crs), F.lit("EPSG:25833")) == "EPSG:4326"
-    east, north = lonlat_to_utm33(F.col(x), F.col(y))
-    return (
-        df.withColumn("_e", F.when(degrees, east).otherwise(F.col(x)))
-        .withColumn("_n", F.when(degrees, north).otherwise(F.col(y)))
-        .drop(x, y)
-        .withColumnsRenamed({"_e": x, "_n": y})
-        .withColumn(crs, F.lit("EPSG:25833"))
+    others = [c for c in df.columns if c not in (x, y, crs)]
+    degrees = f"coalesce({crs}, 'EPSG:25833') = 'EPSG:4326'"
+    placed = df.selectExpr(
+        *others,
+        f"if({degrees}, {lonlat_to_utm33(x, y)}, named_struct('x', {x}, 'y', {y})) AS _p",
+        f"'EPSG:25833' AS {crs}",
     )
+    return placed.selectExpr(*others, f"_p.x AS {x}", f"_p.y AS {y}", crs)

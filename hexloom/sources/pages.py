@@ -48,14 +48,14 @@ def ingest_feature_pages(
     properties: str,
     geometry_type: str = "Point",
     stream: bool = False,
+    lines: bool = False,
 ) -> DataFrame:
-    """Rows of all landed pages; one page file is one parse unit.
+    """Rows of all landed pages.
 
-    With ``stream`` the folder is a file stream: see ``streaming.landing`` for the resumable run.
+    A page file holds one document, which is one parse unit; with ``lines`` a file holds one page
+    per line and can be split. With ``stream`` the folder is a file stream: see
+    ``streaming.landing`` for the resumable run.
     """
-    schema = page_schema(properties, geometry_type)
-    if stream:
-        pages = spark.readStream.schema(schema).option("multiLine", True).json(path)
-    else:
-        pages = spark.read.schema(schema).json(path, multiLine=True)
-    return _flatten(pages, geometry_type)
+    reader = spark.readStream if stream else spark.read
+    pages = reader.schema(page_schema(properties, geometry_type)).option("multiLine", not lines)
+    return _flatten(pages.json(path), geometry_type)

@@ -18,13 +18,14 @@ def land_pages(
     checkpoint: str,
     properties: str,
     geometry_type: str = "Point",
+    lines: bool = False,
 ) -> StreamingQuery:
     """Append all pages not yet read to ``table`` and stop.
 
     The checkpoint remembers finished files, so a run after a failure continues where it ended and a
     run without new files does nothing.
     """
-    rows = ingest_feature_pages(spark, pages, properties, geometry_type, stream=True)
+    rows = ingest_feature_pages(spark, pages, properties, geometry_type, True, lines)
     return (
         rows.writeStream.format("parquet")
         .option("path", table)

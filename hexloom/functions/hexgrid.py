@@ -59,7 +59,7 @@ def hex_cell(x: str, y: str, res: int) -> str:
     the closer of the two wins. Kept short on purpose: long expressions outgrow the JIT compiler.
     """
     size = edge_length(res)
-    u, v = f"({x} / {num(SQRT3 * size)})", f"({y} / {num(3.0 * size)})"
+    u, v = f"(({x}) / {num(SQRT3 * size)})", f"(({y}) / {num(3.0 * size)})"
     even_i, even_j = f"floor({u} + 0.5D)", f"floor({v} + 0.5D)"
     odd_i, odd_j = f"floor({u})", f"floor({v})"
 

@@ -40,7 +40,7 @@ DELTA = (
 
 def utm33_to_lonlat(x: str, y: str) -> str:
     """Metres to struct(lon, lat) in degrees."""
-    xi, eta = f"({y} / {num(_K0 * RECTIFYING)})", f"(({x} - {num(_E0)}) / {num(_K0 * RECTIFYING)})"
+    xi, eta = f"(({y}) / {num(_K0 * RECTIFYING)})", f"((({x}) - {num(_E0)}) / {num(_K0 * RECTIFYING)})"
     xi1, eta1 = xi, eta
     for j, b in enumerate(BETA, start=1):
         xi1 += f" - {num(b)} * sin({xi} * {2 * j}) * cosh({eta} * {2 * j})"
@@ -54,7 +54,7 @@ def utm33_to_lonlat(x: str, y: str) -> str:
 
 def lonlat_to_utm33(lon: str, lat: str) -> str:
     """Longitude and latitude in degrees to struct(x, y) in metres."""
-    angle = f"named_struct('s', sin(radians({lat})), 'lam', radians({lon} - {num(_LON0)}))"
+    angle = f"named_struct('s', sin(radians({lat})), 'lam', radians(({lon}) - {num(_LON0)}))"
     tangent = (
         f"named_struct('t', sinh(atanh(a.s) - {num(_ECC)} * atanh({num(_ECC)} * a.s)), 'lam', a.lam)"
     )
@@ -75,7 +75,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 def tile_x(lon: str, zoom: str) -> str:
     """Web-mercator tile column at ``zoom``."""
-    return f"floor(({lon} + 180D) / 360D * pow(2D, {zoom}))"
+    return f"floor((({lon}) + 180D) / 360D * pow(2D, {zoom}))"
 
 
 def tile_y(lat: str, zoom: str) -> str:

@@ -15,7 +15,7 @@ from hexloom.functions.hexgrid import (
 )
 from hexloom.functions.numeric import num
 from hexloom.operators.overlay import polygon_overlap_area
-from hexloom.operators.polygons import edges, scan_spans
+from hexloom.operators.polygons import EDGE, edges, scan_spans
 
 
 def hex_disk(cells: DataFrame, cell: str = "cell", k: int = 1, out: str = "neighbor") -> DataFrame:
@@ -48,13 +48,13 @@ def hex_cover(
     size = edge_length(res)
     pitch = num(SQRT3 * size)
     inside = (
-        scan_spans(edge_table, key, 1.5 * size)
+        scan_spans(edge_table.withColumnRenamed(key, "_key"), "_key", 1.5 * size)
         .selectExpr(
-            key, "k", f"ceil(xa / {pitch} - k / 2D) AS a", f"ceil(xb / {pitch} - k / 2D) - 1 AS z"
+            "_key", "k", f"ceil(xa / {pitch} - k / 2D) AS a", f"ceil(xb / {pitch} - k / 2D) - 1 AS z"
         )
         .filter("a <= z")
-        .selectExpr(key, "k", "explode(sequence(a, z)) AS q")
-        .selectExpr(key, f"{pack_cell(res, 'q', 'k')} AS cell")
+        .selectExpr("_key", "k", "explode(sequence(a, z)) AS q")
+        .selectExpr(f"_key AS {key}", f"{pack_cell(res, 'q', 'k')} AS cell")
     )
     if mode == "center":
         return inside
@@ -80,22 +80,23 @@ def _outline_cells(edge_table: DataFrame, key: str, res: int) -> DataFrame:
 
     return (
         edge_table.selectExpr(
-            "*",
+            f"{key} AS _key",
+            *EDGE,
             f"explode(sequence(ceil((least(y1, y2) - {a}) / {step}), "
             f"floor((greatest(y1, y2) + {a}) / {step}))) AS r",
         )
         .selectExpr(
-            key, "r", "x1", "x2", f"{x_at(f'(r * {step} - {a})')} AS u", f"{x_at(f'(r * {step} + {a})')} AS v"
+            "_key", "r", "x1", "x2", f"{x_at(f'(r * {step} - {a})')} AS u", f"{x_at(f'(r * {step} + {a})')} AS v"
         )
         .selectExpr(
-            key,
+            "_key",
             "r",
             f"ceil(coalesce(least(u, v), least(x1, x2)) / {pitch} - r / 2D - 0.5D) AS a",
             f"floor(coalesce(greatest(u, v), greatest(x1, x2)) / {pitch} - r / 2D + 0.5D) AS z",
         )
         .filter("a <= z")
-        .selectExpr(key, "r", "explode(sequence(a, z)) AS q")
-        .selectExpr(key, f"{pack_cell(res, 'q', 'r')} AS cell")
+        .selectExpr("_key", "r", "explode(sequence(a, z)) AS q")
+        .selectExpr(f"_key AS {key}", f"{pack_cell(res, 'q', 'r')} AS cell")
     )
 
 

@@ -184,6 +184,7 @@ def point_profile(
     mix = [f"source_{s}" for s in sources]
     by_genus = cube.groupBy(*keys, "genus").agg(
         F.sum("_n").alias("_n"),
+        F.expr(f"count_if({_named('genus')}) AS _named"),
         *[F.expr(f"sum(if(source = '{s}', _n, 0)) AS source_{s}") for s in sources],
     )
     by_species = cube.groupBy(*keys, "species").agg(F.sum("_n").alias("_n"))
@@ -198,7 +199,9 @@ def point_profile(
         F.expr("count(species) AS species_count"),
         F.expr("max(CASE WHEN species IS NOT NULL THEN _n END) AS _max_species"),
     )
-    named = by_genus.filter(_named("genus")).select(*keys, "genus", "_n")
+    # A filter on the genus itself would sink below the counts and cost a second pass over the
+    # points; one on an aggregate stays up here.
+    named = by_genus.filter("_named > 0").select(*keys, "genus", "_n")
     histogram = _wide_counts(named, keys, "genus", "_n", k, "tree_genus")
     joined = totals.join(species, keys, "left").join(histogram, keys, "left")
     result = joined.selectExpr(

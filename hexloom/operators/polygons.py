@@ -77,9 +77,9 @@ def polygon_area(edge_table: DataFrame, key: str) -> DataFrame:
 def polygon_centroid(edge_table: DataFrame, key: str) -> DataFrame:
     """(key, x, y) area-weighted centroid."""
     local = edge_table.selectExpr(
-        key, "ox", "oy", "x1 - ox AS ax", "y1 - oy AS ay", "x2 - ox AS bx", "y2 - oy AS by"
+        f"{key} AS _key", "ox", "oy", "x1 - ox AS ax", "y1 - oy AS ay", "x2 - ox AS bx", "y2 - oy AS by"
     ).selectExpr("*", "ax * by - bx * ay AS c")
-    sums = local.groupBy(key).agg(
+    sums = local.groupBy("_key").agg(
         *[
             F.expr(e)
             for e in (
@@ -89,7 +89,7 @@ def polygon_centroid(edge_table: DataFrame, key: str) -> DataFrame:
         ]
     )
     return sums.selectExpr(
-        key, "ox + try_divide(sx, c * 3) AS x", "oy + try_divide(sy, c * 3) AS y"
+        f"_key AS {key}", "ox + try_divide(sx, c * 3) AS x", "oy + try_divide(sy, c * 3) AS y"
     )
 
 
@@ -142,9 +142,11 @@ def scan_spans(edge_table: DataFrame, key: str, step: float) -> DataFrame:
     window groups are single lines of single polygons, so a huge polygon spreads over its lines.
     """
     h = num(step)
+    own, key = key, "_key"  # no clash between the caller's key name and working columns
     line = f"OVER (PARTITION BY {key}, k ORDER BY xa"
     return (
-        edge_table.selectExpr(
+        edge_table.withColumnRenamed(own, key)
+        .selectExpr(
             key, *EDGE, f"floor(least(y1, y2) / {h}) + 1 AS a", f"floor(greatest(y1, y2) / {h}) AS z"
         )
         .filter("a <= z")
@@ -163,6 +165,7 @@ def scan_spans(edge_table: DataFrame, key: str, step: float) -> DataFrame:
             f"double(sum(d) {line} ROWS UNBOUNDED PRECEDING)) AS w",
         )
         .filter("w != 0 AND xb > xa")
+        .withColumnRenamed(key, own)
     )
 
 
@@ -176,6 +179,8 @@ def cut_to_grid(edge_table: DataFrame, key: str, side: float) -> DataFrame:
     bucket alone, and work grows with outline length plus covered buckets, not with edge products.
     """
     h = num(side)
+    own, key = key, "_key"
+    edge_table = edge_table.withColumnRenamed(own, key)
     # Edge parts, first by bucket column, then by bucket row.
     columns = (
         edge_table.filter("x1 != x2")
@@ -246,7 +251,7 @@ def cut_to_grid(edge_table: DataFrame, key: str, side: float) -> DataFrame:
             f"{h} AS y2",
         )
     )
-    return local.unionByName(lids).filter("x2 > x1")
+    return local.unionByName(lids).filter("x2 > x1").withColumnRenamed(key, own)
 
 
 def slab_area(slabs: DataFrame, key: str, name: str = "area_m2") -> DataFrame:

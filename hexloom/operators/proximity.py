@@ -14,12 +14,13 @@ _ANY_KEY = " any "
 
 def _sites(points: DataFrame, x: str, y: str, source: str, category: str) -> DataFrame:
     """Distinct (place, source, category): copies of a point collapse before any pairing."""
-    return points.select(
-        F.col(x).alias("_x"),
-        F.col(y).alias("_y"),
-        F.col(source).alias("_source"),
-        F.lower(F.trim(F.col(category))).alias("_cat"),
-    ).distinct()
+    return (
+        points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL AND {source} IS NOT NULL")
+        .selectExpr(
+            f"{x} AS _x", f"{y} AS _y", f"{source} AS _source", f"lower(trim({category})) AS _cat"
+        )
+        .distinct()
+    )
 
 
 def _near_cells(x: str, y: str, side: float, radius: float) -> str:
@@ -56,8 +57,9 @@ def duplicate_sites(
     # A site with a category meets equal categories and missing ones; one without meets anything.
     probes = sites.selectExpr(
         "*",
-        f"floor(_x / {num(side)}) AS cx",
-        f"floor(_y / {num(side)}) AS cy",
+        # Declared non-null, so that no null test sinks into the scan and sites are built once.
+        f"coalesce(floor(_x / {num(side)}), 0L) AS cx",
+        f"coalesce(floor(_y / {num(side)}), 0L) AS cy",
         f"explode(if(_cat IS NULL, array('{_ANY_KEY}'), array(_cat, '{_NULL_KEY}'))) AS _key",
     )
     offers = sites.selectExpr(
@@ -68,15 +70,14 @@ def duplicate_sites(
     )
     offers = offers.selectExpr("*", f"inline({_near_cells('_ox', '_oy', side, radius)})")
 
-    keys = ["cx", "cy", "_key"]
-    sources = offers.groupBy(*keys).agg(
+    sources = offers.groupBy("cx", "cy", "_key").agg(
         F.min("_osource").alias("_lo"), F.max("_osource").alias("_hi")
     )
-    hopeful = (
-        probes.join(sources, keys)
-        .filter("_lo != _source OR _hi != _source")
-        .drop("_lo", "_hi")
+    # A semi join, because an inner one would be reordered behind the pair test.
+    several = F.expr(
+        "p.cx = s.cx AND p.cy = s.cy AND p._key = s._key AND (s._lo != p._source OR s._hi != p._source)"
     )
+    hopeful = probes.alias("p").join(sources.alias("s"), several, "left_semi")
     match = F.expr(
         "p.cx = o.cx AND p.cy = o.cy AND p._key = o._key AND p._source != o._osource AND "
         f"sqrt((p._x - o._ox) * (p._x - o._ox) + (p._y - o._oy) * (p._y - o._oy)) <= {num(radius)}"

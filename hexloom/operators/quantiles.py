@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.numeric import nearest_int, num
+from hexloom.functions.numeric import nearest_int, num, round_to
 
 DECILES = tuple(i / 10 for i in range(11))
 
@@ -82,9 +82,9 @@ def density_quantiles(
     return rank_values(usable, key, value, sorted({*DECILES, 0.95})).groupBy(key).agg(
         F.expr(f"{nearest_int('max(CASE WHEN fraction = 0.5D THEN disc END)')} AS p50"),
         F.expr(f"{nearest_int('max(CASE WHEN fraction = 0.95D THEN disc END)')} AS p95"),
-        # Eleven entries at most.
+        # Eleven entries at most. Densities carry one decimal, so six drop only binary noise.
         F.expr(
             "transform(array_sort(collect_list(CASE WHEN fraction != 0.95D "
-            "THEN struct(fraction, cont) END)), d -> d.cont) AS quantiles"
+            f"THEN struct(fraction, cont) END)), d -> {round_to('d.cont', 6)}) AS quantiles"
         ),
     )

@@ -22,7 +22,6 @@ from hexloom.functions.wkt import polygon_wkt
 from hexloom.functions.projection import utm33_to_lonlat
 from hexloom.operators.cells import hex_cover, hex_disk, hex_edges, union_cells
 from hexloom.operators.histogram import (
-    category_histogram,
     point_profile,
     unpivot_slots,
     weighted_histogram,
@@ -265,11 +264,7 @@ def city_summary(
     ``mart_levels``. Counts include points outside the boundary. The parts are single rows joined on
     a constant key.
     """
-    located = normalized_points(points)
-    totals = located.groupBy("genus").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("tree_count"), F.count("genus").alias("genus_count")
-    )
-    histogram = category_histogram(located, [], "genus")
+    profile = point_profile(normalized_points(points), [], ())
     clipped = clip_to_boundary(edges(stands, stand_key), stand_key, boundary, boundary_key, side)
     overlaps = slab_area(clipped, stand_key).filter(F.col("area_m2") > 1e-6)
     _, mixture = forest_stats(overlaps, [], stand_genera(stands, lookup, stand_key), stand_key)
@@ -284,7 +279,7 @@ def city_summary(
             for name, value in (("p50", "p50"), ("p95", "p95"), ("quantiles", "q"))
         ]
     )
-    parts = [p.selectExpr("*", "1 AS _city") for p in (totals, area_sums, histogram, mixture, ranges)]
+    parts = [p.selectExpr("*", "1 AS _city") for p in (profile, area_sums, mixture, ranges)]
     row = reduce(lambda a, b: a.join(b, "_city", "left"), parts)
     return row.selectExpr(
         "tree_count",

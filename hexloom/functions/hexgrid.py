@@ -7,6 +7,7 @@ and one pass can aggregate several resolutions by the id alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from hexloom.functions.numeric import num
 
@@ -23,10 +24,14 @@ def edge_length(res: int) -> float:
     return EDGE_RES12 * 7.0 ** ((12 - res) / 2.0)
 
 
+def origin_cell(res: int) -> int:
+    """Packed id of the cell q = r = 0; q and r are added onto it."""
+    return (res << 56) + (_OFFSET << 28) + _OFFSET
+
+
 def pack_cell(res: int, q: str, r: str) -> str:
-    """(res, q, r) to one long: q and r are added onto the packed id of the origin cell."""
-    origin = (res << 56) + (_OFFSET << 28) + _OFFSET
-    return f"({origin}L + ({q}) * {1 << 28}L + ({r}))"
+    """(res, q, r) to one long."""
+    return f"({origin_cell(res)}L + ({q}) * {1 << 28}L + ({r}))"
 
 
 def cell_res(cell: str) -> str:
@@ -52,25 +57,53 @@ def cell_string(cell: str) -> str:
     return f"lower(hex({cell}))"
 
 
-def hex_cell(x: str, y: str, res: int) -> str:
-    """Cell holding a point.
-
-    Centres form two interleaved rectangular lattices; the nearest one of each is a rounding, and
-    the closer of the two wins. Kept short on purpose: long expressions outgrow the JIT compiler.
-    """
+def _grid(res: int) -> tuple[str, str, str]:
+    """Column pitch, double row pitch and origin id of a resolution."""
     size = edge_length(res)
-    u, v = f"(({x}) / {num(SQRT3 * size)})", f"(({y}) / {num(3.0 * size)})"
+    return num(SQRT3 * size), num(3.0 * size), f"{origin_cell(res)}L"
+
+
+def _nearest(x: str, y: str, pitch: str, rows: str, origin: str) -> str:
+    """Centres form two interleaved rectangular lattices; the nearest one of each is a rounding, and
+    the closer of the two wins."""
+    u, v = f"(({x}) / {pitch})", f"(({y}) / {rows})"
     even_i, even_j = f"floor({u} + 0.5D)", f"floor({v} + 0.5D)"
     odd_i, odd_j = f"floor({u})", f"floor({v})"
 
     def distance(du: str, dv: str) -> str:
         return f"(({du}) * ({du}) + ({dv}) * ({dv}) * 3D)"
 
-    even = pack_cell(res, f"{even_i} - {even_j}", f"2 * {even_j}")
-    odd = pack_cell(res, f"{odd_i} - {odd_j}", f"2 * {odd_j} + 1")
+    def cell(i: str, j: str, odd: int) -> str:
+        # q = i - j and r = 2j + odd
+        return f"({origin} + ({i} - {j}) * {1 << 28}L + 2 * {j} + {odd})"
+
     to_even = distance(f"{u} - {even_i}", f"{v} - {even_j}")
     to_odd = distance(f"{u} - {odd_i} - 0.5D", f"{v} - {odd_j} - 0.5D")
-    return f"CASE WHEN {to_even} <= {to_odd} THEN {even} ELSE {odd} END"
+    return (
+        f"CASE WHEN {to_even} <= {to_odd} THEN {cell(even_i, even_j, 0)} "
+        f"ELSE {cell(odd_i, odd_j, 1)} END"
+    )
+
+
+def hex_cell(x: str, y: str, res: int) -> str:
+    """Cell holding a point at one resolution."""
+    return _nearest(x, y, *_grid(res))
+
+
+def hex_grids(resolutions: Sequence[int]) -> str:
+    """Array of grid parameters, to be exploded with ``inline`` ahead of ``hex_cell_any``.
+
+    One expression then serves all resolutions; one per resolution would outgrow the JIT compiler.
+    """
+    grids = (_grid(res) for res in resolutions)
+    return "array(" + ", ".join(
+        f"named_struct('pitch', {p}, 'rows', {r}, 'origin', {o})" for p, r, o in grids
+    ) + ")"
+
+
+def hex_cell_any(x: str, y: str) -> str:
+    """Cell holding a point on the grid given by the columns of ``hex_grids``."""
+    return _nearest(x, y, "pitch", "rows", "origin")
 
 
 def hex_center(cell: str) -> str:

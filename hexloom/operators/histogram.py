@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions.numeric import percent, ratio, round_to
+from hexloom.session import settle
 
 _ONE = "_one"
 
@@ -173,38 +174,38 @@ def point_profile(
 ) -> DataFrame:
     """All point statistics of a mart in one pass over the points.
 
-    ``points`` needs ``genus``, ``species`` and ``source``. The points are read and shuffled once,
-    as counts per (keys, genus, species, source); totals, source mix, dominant values, distinct
-    counts and the histogram are re-aggregated from those counts.
+    ``points`` needs ``genus``, ``species`` and ``source``. Every point yields one row for its genus
+    and one for its species; counts per (keys, kind, value) are combined on the map side and
+    shuffled once, then settle. Totals, source mix, dominant values, distinct counts and the
+    histogram all read those counts and never the points again.
     """
     points, keys = _keyed(points, keys)
-    cube = points.groupBy(*keys, "genus", F.expr("nullif(species, '') AS species"), "source").agg(
-        F.expr("count(1) AS _n")
+    values = (
+        "inline(array(struct(true AS g, genus AS v), struct(false AS g, nullif(species, '') AS v)))"
     )
     mix = [f"source_{s}" for s in sources]
-    by_genus = cube.groupBy(*keys, "genus").agg(
-        F.sum("_n").alias("_n"),
-        F.expr(f"count_if({_named('genus')}) AS _named"),
-        *[F.expr(f"sum(if(source = '{s}', _n, 0)) AS source_{s}") for s in sources],
+    counts = (
+        points.selectExpr(*keys, "source", values)
+        .groupBy(*keys, "g", "v")
+        .agg(
+            F.expr("count(1) AS n"),
+            *[F.expr(f"count_if(source = '{s}') AS source_{s}") for s in sources],
+        )
     )
-    by_species = cube.groupBy(*keys, "species").agg(F.sum("_n").alias("_n"))
-    totals = by_genus.groupBy(*keys).agg(
-        F.expr("sum(_n) AS tree_count"),
-        F.expr(f"{_best('genus', '_n')} AS dominant_genus"),
-        F.expr("count(genus) AS genus_count"),
-        *[F.sum(m).alias(m) for m in mix],
+    counts = settle(counts, "counts")
+    best = "min(CASE WHEN {} AND v IS NOT NULL THEN struct(-n AS n, v) END).v"
+    totals = counts.groupBy(*keys).agg(
+        F.expr("sum(if(g, n, 0)) AS tree_count"),
+        F.expr(f"{best.format('g')} AS dominant_genus"),
+        F.expr("count_if(g AND v IS NOT NULL) AS genus_count"),
+        F.expr(f"{best.format('NOT g')} AS dominant_species"),
+        F.expr("count_if(NOT g AND v IS NOT NULL) AS species_count"),
+        F.expr("max(CASE WHEN NOT g AND v IS NOT NULL THEN n END) AS _max_species"),
+        *[F.expr(f"sum(if(g, {m}, 0)) AS {m}") for m in mix],
     )
-    species = by_species.groupBy(*keys).agg(
-        F.expr(f"{_best('species', '_n')} AS dominant_species"),
-        F.expr("count(species) AS species_count"),
-        F.expr("max(CASE WHEN species IS NOT NULL THEN _n END) AS _max_species"),
-    )
-    # A filter on the genus itself would sink below the counts and cost a second pass over the
-    # points; one on an aggregate stays up here.
-    named = by_genus.filter("_named > 0").select(*keys, "genus", "_n")
-    histogram = _wide_counts(named, keys, "genus", "_n", k, "tree_genus")
-    joined = totals.join(species, keys, "left").join(histogram, keys, "left")
-    result = joined.selectExpr(
+    named = counts.filter(f"g AND {_named('v')}").selectExpr(*keys, "v AS genus", "n")
+    histogram = _wide_counts(named, keys, "genus", "n", k, "tree_genus")
+    result = totals.join(histogram, keys, "left").selectExpr(
         *keys,
         "tree_count",
         "dominant_genus",

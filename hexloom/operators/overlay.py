@@ -23,22 +23,8 @@ def _height(x: str, slab: str = "", tail: str = "") -> str:
 
 
 def polygon_cover(edge_table: DataFrame, key: str, side: float) -> DataFrame:
-    """One row per (bucket, polygon): ``slabs`` and whether the polygon fills the bucket.
-
-    An array holds one polygon's slabs in one bucket, so it never exceeds that polygon's own detail.
-    """
-    h = num(side)
-    return (
-        cut_to_grid(edge_table, key, side)
-        .groupBy("bx", "by", key)
-        .agg(
-            F.expr("collect_list(struct(s, x1, y1, x2, y2)) AS slabs"),
-            F.expr(
-                f"count(1) = 1 AND min(s) > 0 AND min(x1) = 0 AND max(x2) = {h} "
-                f"AND min(least(y1, y2)) = {h} AS full"
-            ),
-        )
-    )
+    """Disjoint pieces of each polygon per bucket, as ``slab_trapezoids`` gives them."""
+    return slab_trapezoids(cut_to_grid(edge_table, key, side), key)
 
 
 def points_in_polygons(
@@ -62,14 +48,14 @@ def points_in_polygons(
     h = num(side)
     located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
     px, py = f"({x} - bx * {h})", f"({y} - by * {h})"
-    winding = (
-        f"aggregate(slabs, 0D, (acc, p) -> acc + CASE WHEN p.x1 <= {px} AND {px} < p.x2 "
-        f"AND {py} < {_height(px, 'p.')} THEN p.s ELSE 0D END)"
-    )
+    # Pieces are disjoint, so a point meets one at most and needs no regrouping.
     return (
         located.join(cover, ["bx", "by"])
-        .filter(f"full OR {winding} > 0.5D")
-        .drop("bx", "by", "slabs", "full")
+        .filter(
+            f"{px} >= xa AND {px} < xb AND {py} < {_height(px, 'top.')} "
+            f"AND (low IS NULL OR {py} >= {_height(px, 'low.')})"
+        )
+        .drop("bx", "by", "xa", "xb", "top", "low")
     )
 
 
@@ -179,12 +165,13 @@ def clip_to_boundary(
     )
 
 
-def slab_trapezoids(slabs: DataFrame, key: str, side: float) -> DataFrame:
-    """Disjoint trapezoids that make up each slab set: (key, bx, by, ring).
+def slab_trapezoids(slabs: DataFrame, key: str) -> DataFrame:
+    """Disjoint pieces that make up each slab set: (key, bx, by, xa, xb, top, low).
 
     Slab ends split a bucket into vertical strips; inside a strip the slabs are ordered by height
-    and the running sign from the top tells which gaps are inside. This is the geometry form of a
-    clipped polygon. Windows span one strip of one polygon in one bucket.
+    and the running sign from the top tells which gaps are inside. A piece spans xa to xb between
+    the lines ``top`` and ``low`` (the bucket floor where NULL). Windows span one strip of one
+    polygon in one bucket.
     """
     bucket = f"{key}, bx, by"
     strips = (
@@ -193,30 +180,37 @@ def slab_trapezoids(slabs: DataFrame, key: str, side: float) -> DataFrame:
         .selectExpr("*", f"lead(xa) OVER (PARTITION BY {bucket} ORDER BY xa) AS xb")
         .filter("xb IS NOT NULL")
     )
-    line = f"OVER (PARTITION BY {bucket}, xa ORDER BY ya + yb DESC"
-    h = num(side)
-
-    def corner(x: str, y: str) -> str:
-        return f"named_struct('x', bx * {h} + {x}, 'y', by * {h} + {y})"
-
-    ring = ", ".join(corner(x, y) for x, y in (("xa", "za"), ("xb", "zb"), ("xb", "yb"), ("xa", "ya")))
+    line = f"OVER (PARTITION BY {bucket}, xa ORDER BY h DESC"
     return (
         strips.join(slabs, [key, "bx", "by"])
         .filter("x1 <= xa AND x2 >= xb")
         .selectExpr(
-            key, "bx", "by", "xa", "xb", "s", f"{_height('xa')} AS ya", f"{_height('xb')} AS yb"
+            key, "bx", "by", "xa", "xb", "s", f"{_height('xa')} + {_height('xb')} AS h",
+            "struct(x1, y1, x2, y2) AS top",
         )
         .selectExpr(
             "*",
             f"sum(s) {line} ROWS UNBOUNDED PRECEDING) AS w",
-            f"coalesce(lead(ya) {line}), 0D) AS za",
-            f"coalesce(lead(yb) {line}), 0D) AS zb",
+            f"lead(top) {line}) AS low",
+            f"coalesce(lead(h) {line}), 0D) AS h_low",
         )
-        .filter("w > 0.5D AND ya + yb > za + zb")
-        .selectExpr(key, "bx", "by", f"array({ring}) AS ring")
+        .filter("w > 0.5D AND h > h_low")
+        .select(key, "bx", "by", "xa", "xb", "top", "low")
     )
 
 
+def trapezoid_rings(pieces: DataFrame, key: str, side: float) -> DataFrame:
+    """(key, ring) of each piece: the geometry form of a clipped polygon."""
+    h = num(side)
+
+    def corner(x: str, slab: str) -> str:
+        height = f"if({slab} IS NULL, 0D, {_height(x, slab + '.')})"
+        return f"named_struct('x', bx * {h} + {x}, 'y', by * {h} + {height})"
+
+    ring = ", ".join(corner(x, s) for x, s in (("xa", "low"), ("xb", "low"), ("xb", "top"), ("xa", "top")))
+    return pieces.selectExpr(key, f"array({ring}) AS ring")
+
+
 def _clip_ring(ring: list[tuple[float, float]], corners: list[tuple[float, float]]):
     """One ring cut to a counter-clockwise convex polygon, side by side."""
     for i, (ax, ay) in enumerate(corners):
@@ -271,4 +265,5 @@ __all__ = [
     "slab_area",
     "slab_overlap_area",
     "slab_trapezoids",
+    "trapezoid_rings",
 ]

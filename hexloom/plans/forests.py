@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions.wkt import multipolygon_wkt
 from hexloom.operators.cells import hex_cover, hex_edges, morph_close
-from hexloom.operators.overlay import clip_to_boundary, slab_trapezoids
+from hexloom.operators.overlay import clip_to_boundary, slab_trapezoids, trapezoid_rings
 from hexloom.operators.polygons import MIN_OVERLAP_M2, dissolve, edges, slab_area
 
 
@@ -27,7 +27,7 @@ def stand_shapes(
 ) -> DataFrame:
     """(stand, geometry): the clipped shape of each stand as MULTIPOLYGON text of trapezoids."""
     slabs = clip_to_boundary(edges(stands, stand_key), stand_key, boundary, boundary_key, side)
-    traps = slab_trapezoids(slabs, stand_key, side)
+    traps = trapezoid_rings(slab_trapezoids(slabs, stand_key), stand_key, side)
     # One list per stand: it is the geometry value of that one feature.
     parts = traps.groupBy(stand_key).agg(F.array_sort(F.collect_list(F.array("ring"))).alias("parts"))
     return parts.selectExpr(stand_key, f"{multipolygon_wkt('parts')} AS geometry")

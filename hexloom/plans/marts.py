@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.hexgrid import cell_res, cell_string, hex_boundary, hex_cell
+from hexloom.functions.hexgrid import cell_res, cell_string, hex_boundary, hex_cell_any, hex_grids
 from hexloom.functions.measures import (
     area_metrics,
     ascending_stops,
@@ -65,9 +65,10 @@ def normalized_points(points: DataFrame) -> DataFrame:
 
 def located_points(points: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     """Normalised points once per resolution with their cell."""
-    ids = ", ".join(hex_cell("x", "y", res) for res in resolutions)
-    return normalized_points(points).selectExpr(
-        f"explode(array({ids})) AS cell", "genus", "species", "source"
+    return (
+        normalized_points(points)
+        .selectExpr("*", f"inline({hex_grids(resolutions)})")
+        .selectExpr(f"{hex_cell_any('x', 'y')} AS cell", "genus", "species", "source")
     )
 
 

@@ -201,7 +201,7 @@ def clip_to_boundary(spark, sf):
 def clipped_shapes(spark, sf):
     """Geometry of the clipped stands; the trapezoids are disjoint, so their areas add up."""
     slabs = O.clip_to_boundary(stand_edges(spark, sf), "stand_id", city(spark, sf), "city_id", SIDE)
-    traps = O.slab_trapezoids(slabs, "stand_id", SIDE)
+    traps = O.trapezoid_rings(O.slab_trapezoids(slabs, "stand_id"), "stand_id", SIDE)
     area = (
         "aggregate(sequence(0, 3), 0D, (acc, i) -> acc + (ring[i].x - ring[(i + 1) % 4].x) * "
         "(ring[i].y + ring[(i + 1) % 4].y - 2 * ring[0].y) / 2)"

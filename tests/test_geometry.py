@@ -99,7 +99,7 @@ def test_clip_and_trapezoids(spark):
         slabs = O.clip_to_boundary(a, "id", b, "b", side)
         area = as_dict(P.slab_area(slabs, "id"), "id", "area_m2")
         assert area == pytest.approx({"A1": 20.176966, "A2": 19.686025}, abs=1e-5)
-        traps = O.slab_trapezoids(slabs, "id", side).selectExpr("uuid() AS t", "id", "array(ring) AS rings")
+        traps = O.trapezoid_rings(O.slab_trapezoids(slabs, "id"), "id", side).selectExpr("uuid() AS t", "id", "array(ring) AS rings")
         parts = P.edges(traps, "t", keep=("id",)).groupBy("id").agg(
             F.expr("sum((x1 - x2) * (y1 + y2 - 2 * oy) / 2) AS area_m2")
         )

@@ -60,10 +60,7 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after counting that it stays under ``max_rows``.
 
-    The count stops at ``max_rows + 1`` rows. A larger side is returned unmarked, and the join
-    falls back to a shuffle whose hot keys adaptive execution splits. Pass a settled frame, else
-    the branch is computed twice.
+    Pass a settled frame: its count comes from file footers. A larger side is returned unmarked, and
+    the join falls back to a shuffle whose hot keys adaptive execution splits.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if df.count() <= max_rows else df

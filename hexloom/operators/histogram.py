@@ -124,7 +124,7 @@ def dominant_share(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
     sums = counts.groupBy(*keys).agg(
         F.expr(f"max(CASE WHEN {_named(value)} THEN _n END) AS _max"), F.sum("_n").alias("_all")
     )
-    return sums.selectExpr(*keys, f"{percent('_max', '_all')} AS {out}")
+    return sums.selectExpr(*keys, f"{round_to(ratio('100 * _max', '_all'), 1)} AS {out}")
 
 
 def source_mix(df: DataFrame, keys: Sequence[str], source: str, values: Sequence[str]) -> DataFrame:
@@ -212,7 +212,7 @@ def point_profile(
         "genus_count",
         "dominant_species",
         "species_count",
-        f"{percent('_max_species', 'tree_count')} AS dominant_species_pct",
+        f"{round_to(ratio('100 * _max_species', 'tree_count'), 1)} AS dominant_species_pct",
         *mix,
         *[c for c in histogram.columns if c not in keys],
     )

@@ -40,6 +40,13 @@ def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.drop(_ONE) if keys == [_ONE] else df
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Attach the per-key ``value``; without keys it is a single value, read as a scalar."""
+    if keys == [_ONE]:
+        return left.withColumn(value, right.select(value).scalar())
+    return left.join(right, keys)
+
+
 def _named(category: str) -> str:
     return f"{category} IS NOT NULL AND {category} != ''"
 
@@ -53,7 +60,8 @@ def _wide_counts(counts: DataFrame, keys: list[str], category: str, n: str, k: i
     """Wide histogram from counts per (keys, category)."""
     totals = counts.groupBy(*keys).agg(F.sum(n).alias("_total"))
     ranked = top_k_per_group(counts, keys, f"{n} DESC, {category}", k)
-    wide = ranked.groupBy(*keys).agg(_slots(category, n), F.sum(n).alias("_top")).join(totals, keys)
+    wide = ranked.groupBy(*keys).agg(_slots(category, n), F.sum(n).alias("_top"))
+    wide = _join(wide, totals, keys, "_total")
     columns = [*keys]
     for i in range(k):
         slot, name = f"get(_slots, {i})", f"{prefix}_{i + 1}"
@@ -94,7 +102,7 @@ def weighted_histogram(
     weights = df.groupBy(*keys, category).agg(F.expr(f"{round_to(f'sum({weight})', 6)} AS _w"))
     totals = weights.groupBy(*keys).agg(F.expr(f"{round_to('sum(_w)', 6)} AS _total"))
     ranked = top_k_per_group(weights, keys, f"_w DESC, {category}", k)
-    wide = ranked.groupBy(*keys).agg(_slots(category, "_w")).join(totals, keys)
+    wide = _join(ranked.groupBy(*keys).agg(_slots(category, "_w")), totals, keys, "_total")
     columns = [*keys]
     for i in range(k):
         slot, name = f"get(_slots, {i})", f"{prefix}_{i + 1}"

@@ -102,21 +102,14 @@ def source_drift(
 
 def advance_baseline(drift: DataFrame, baseline: DataFrame, now: Column | None = None) -> DataFrame:
     """The next baseline: accepted counts move on, and nothing moves while any source failed."""
-    failed = drift.agg(
-        F.coalesce(F.bool_or(F.col("status").isin("error", "suspicious")), F.lit(False)).alias("_failed")
-    )
+    failed = drift.agg(F.expr("coalesce(bool_or(status IN ('error', 'suspicious')), false)")).scalar()
     stamp = now if now is not None else F.current_timestamp()
-    # One aggregate row; the key is constant on both sides.
-    rows = (
-        drift.withColumn("_j", F.lit(1))
-        .join(failed.withColumn("_j", F.lit(1)), "_j")
-        .join(baseline, "source", "left")
-    )
-    moves = ~F.col("_failed") & F.col("status").isin("ok", "changed")
-    return rows.filter(F.col("count").isNotNull() | moves).select(
+    moves = ~failed & F.col("status").isin("ok", "changed")
+    rows = drift.join(baseline, "source", "left").withColumn("_moves", moves)
+    return rows.filter("count IS NOT NULL OR _moves").select(
         "source",
-        F.when(moves, F.col("new_count")).otherwise(F.col("count")).alias("count"),
-        F.when(moves, stamp).otherwise(F.col("last_checked")).alias("last_checked"),
+        F.expr("if(_moves, new_count, count) AS count"),
+        F.when(F.col("_moves"), stamp).otherwise(F.col("last_checked")).alias("last_checked"),
     )
 
 

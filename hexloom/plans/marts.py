@@ -262,8 +262,7 @@ def city_summary(
     """One row for the city: totals, histogram, mixture, area sums and density quantiles per level.
 
     ``districts`` is the district mart (its rounded areas are summed), ``levels`` the rows of
-    ``mart_levels``. Counts include points outside the boundary. The parts are single rows joined on
-    a constant key.
+    ``mart_levels``. Counts include points outside the boundary.
     """
     profile = point_profile(normalized_points(points), [], ())
     clipped = clip_to_boundary(edges(stands, stand_key), stand_key, boundary, boundary_key, side)
@@ -280,8 +279,11 @@ def city_summary(
             for name, value in (("p50", "p50"), ("p95", "p95"), ("quantiles", "q"))
         ]
     )
-    parts = [p.selectExpr("*", "1 AS _city") for p in (profile, area_sums, mixture, ranges)]
-    row = reduce(lambda a, b: a.join(b, "_city", "left"), parts)
+    # Each part is one row with columns of its own; stacking them needs no join.
+    parts = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), (profile, area_sums, mixture, ranges)
+    )
+    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     return row.selectExpr(
         "tree_count",
         "genus_count",

@@ -23,6 +23,7 @@ from hexloom.operators import quality as Q
 from hexloom.operators import quantiles as U
 from hexloom.operators import tiles as T
 from hexloom.plans import forests as W
+from hexloom.plans import layers as L
 from hexloom.plans import marts as M
 from hexloom.plans import staging as S
 from hexloom.session import fresh_path, settle
@@ -181,7 +182,7 @@ def points_in_areas(spark, sf):
 def points_in_stands(spark, sf):
     """Concave, overlapping polygons: a point may lie in several."""
     inside = O.points_in_polygons(
-        M.normalized_points(D.points_d(spark, sf)), stand_edges(spark, sf), "stand_id", 100.0
+        M.normalized_points(D.points_d(spark, sf)), stand_edges(spark, sf), "stand_id", 50.0
     )
     return inside.groupBy("stand_id").agg(F.count(F.lit(1)).alias("tree_count"))
 
@@ -541,6 +542,29 @@ def export_layers(spark, sf):
     )
 
 
+def export_map(spark, sf):
+    """Points, cells, cell centres, area centroids and the border, written and read back."""
+    points = S.unify_sources(
+        {s: S.stage_points(df, s) for s, df in D.raw_inventories(spark, sf).items()}
+    )
+    cells, centres = L.hex_layers(_hex_mart(spark, sf, [RES]), RES)
+    hoods = L.area_centroids(
+        D.areas(spark, sf).selectExpr("area_id", "area_name"), area_edges(spark, sf), "area_id", "admin_ortsteile_centroids"
+    )
+    path = fresh_path(spark, "map")
+    write_layers([L.point_layer(points), cells, centres, hoods, L.border_layer(city(spark, sf))], path)
+    return (
+        spark.read.parquet(path)
+        .groupBy("archive", "layer")
+        .agg(
+            F.expr("count(1) AS features"),
+            F.expr("count(DISTINCT geometry) AS shapes"),
+            F.expr("min(split_part(geometry, ' ', 1)) AS kind"),
+            F.expr("sum(tree_count) AS tree_count"),
+        )
+    )
+
+
 def lookup_join(spark, sf):
     """The code lookup written as CSV and read back with forced text columns."""
     path = fresh_path(spark, "lookup")
@@ -655,6 +679,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tile_assign_boxes,
         tile_thin,
         export_layers,
+        export_map,
         ingest_pages,
         ingest_pages_stream,
     )

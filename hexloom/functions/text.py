@@ -7,13 +7,16 @@ from hexloom.sources.fixed_values import MISSING_GENUS
 
 def normalize_genus(genus: str, species: str) -> str:
     """Lower-case genus; blank or unknown falls back to the first word of the species."""
-    own = f"nullif(nullif(lower(trim({genus})), ''), '{MISSING_GENUS}')"
-    return f"coalesce({own}, nullif(lower(split_part(trim({species}), ' ', 1)), ''))"
+    own, words = f"lower(trim({genus}))", f"lower(trim({species}))"
+    return (
+        f"CASE WHEN {own} NOT IN ('', '{MISSING_GENUS}') THEN {own} "
+        f"WHEN {words} != '' THEN split_part({words}, ' ', 1) END"
+    )
 
 
 def normalize_species(species: str) -> str:
-    """Lower-case species without the quoted cultivar; '' when absent."""
-    return f"lower(trim(split_part(coalesce(trim({species}), ''), '\\'', 1)))"
+    """Lower-case species up to the quoted cultivar; '' when absent."""
+    return f"coalesce(rtrim(split_part(lower(trim({species})), '\\'', 1)), '')"
 
 
 def surrogate_key(source: str, identifier: str) -> str:

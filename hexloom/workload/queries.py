@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.functions.hexgrid import cell_string, hex_boundary, hex_cell, hex_center
+from hexloom.functions.hexgrid import cell_string, hex_boundary, hex_center
 from hexloom.functions.measures import cover_band
-from hexloom.functions.numeric import nearest_int, ratio, round_to
-from hexloom.functions.projection import lonlat_to_utm33, utm33_to_lonlat
+from hexloom.functions.numeric import round_to
+from hexloom.functions.projection import utm33_to_lonlat
 from hexloom.functions.text import normalize_genus, normalize_species
 from hexloom.functions.wkt import point_wkt, polygon_wkt
 from hexloom.operators import cells as C

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hexloom.functions.hexgrid import hex_boundary
 from hexloom.functions.numeric import num
 from hexloom.operators.polygons import MIN_OVERLAP_M2, cut_to_grid, slab_area
-from hexloom.session import BROADCAST_ROWS, broadcast_if_small, settle
+from hexloom.session import settle
 
 SLAB = ("s", "x1", "y1", "x2", "y2")
 
@@ -34,17 +34,14 @@ def points_in_polygons(
     side: float,
     x: str = "x",
     y: str = "y",
-    max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Points with the key of each polygon holding them; points outside every polygon drop out.
 
     Half-open rule on outlines: lower and left edges belong to the polygon, upper and right ones do
-    not, so a coverage never claims a point twice. The cover is settled and counted; while small it
-    is broadcast and the points are never shuffled, beyond that the join shuffles on the bucket.
+    not, so a coverage never claims a point twice. The cover is settled, so Spark knows its bytes and
+    broadcasts it below its own threshold; beyond that the join shuffles on the bucket.
     """
-    cover = broadcast_if_small(
-        settle(polygon_cover(edge_table, key, side), "cover"), max_broadcast_rows
-    )
+    cover = settle(polygon_cover(edge_table, key, side), "cover")
     h = num(side)
     located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
     px, py = f"({x} - bx * {h})", f"({y} - by * {h})"

@@ -1,15 +1,15 @@
-"""Session defaults, lineage cuts and size-checked broadcasts."""
+"""Session defaults, the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Row limit under which a side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Folders written by this process, for ``release``.
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "hexloom", master: str | None = None, **conf) -> SparkSession:
@@ -30,20 +30,26 @@ def build_session(app: str = "hexloom", master: str | None = None, **conf) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees; a temporary one only where none is configured."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process (``local`` masters) and the setting is absent, a
+    folder of this application is used instead. On any other master its absence is an error, as
+    files in a machine's own folder would be missed by the other machines.
+    """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and context.getCheckpointDir() is not None:
-        configured = context.getCheckpointDir()
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="hexloom-")
-        context.setCheckpointDir(configured)
-    return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"hexloom-{context.applicationId}")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, never used before."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -57,10 +63,10 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it stays under ``max_rows``.
-
-    Pass a settled frame: its count comes from file footers. A larger side is returned unmarked, and
-    the join falls back to a shuffle whose hot keys adaptive execution splits.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
+def release(spark: SparkSession) -> int:
+    """Delete all that ``settle`` and ``fresh_path`` wrote so far; frames built on it end with it."""
+    jvm, count = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return count

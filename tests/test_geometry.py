@@ -76,9 +76,11 @@ def test_points_in_polygons_against_even_odd(spark, side):
     frame = spark.createDataFrame(points, "p long, x double, y double")
     edges = P.edges(polygons(spark, **shapes), "id")
     expected = {(p, name) for p, x, y in points for name, rings in shapes.items() if inside(rings, x, y)}
-    for limit in (10_000, 0):  # broadcast and shuffled
-        got = O.points_in_polygons(frame, edges, "id", side, max_broadcast_rows=limit)
-        assert {(r["p"], r["id"]) for r in got.collect()} == expected
+    for limit in ("10m", "-1"):  # broadcast and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = O.points_in_polygons(frame, edges, "id", side).collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {(r["p"], r["id"]) for r in got} == expected
 
 
 def test_points_on_shared_edges_belong_to_one_square(spark):

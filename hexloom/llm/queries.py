@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hexloom.llm import language_id, packing, secrets, trie_bpe
 from hexloom.llm.common import table
 from hexloom.llm.exact_dedup import exact_groups
 from hexloom.llm.near_dedup import near_components
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -17,9 +22,29 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_trie_bpe": op3_trie_bpe,
+    "op4_packing": op4_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -13,16 +13,14 @@ the input take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm.common import remainder, small_batches, whole_text
-from hexloom.llm.ngrams import blocks, inverse_frequency, letters_table, weighted
+from hexloom.llm.ngrams import MEASURED, blocks, dense, frequencies, inverse_frequency, letters_table, measure, weighted
 from hexloom.session import settle
 
 DIMS, ORDERS = 4096, (2, 3)
@@ -39,27 +37,6 @@ class Model:
     floors: np.ndarray  # of each row: the least cosine that isn't rejected
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task one row of document frequencies; one row of counts for each sampled text."""
-    table, total, documents = letters_table(), np.zeros(DIMS, np.int64), 0
-    names = ["lang", "documents", "dims", "values"]
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    for batch in batches:
-        texts, languages, sampled = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        at = 0
-        for block in blocks(texts, table, ORDERS, DIMS):
-            total += (block > 0).sum(axis=0)
-            documents += len(block)
-            rows = [(languages[at + i], i) for i in range(len(block)) if sampled[at + i]]
-            at += len(block)
-            if rows:
-                where = [np.flatnonzero(block[i]) for _, i in rows]
-                data = [[r[0] for r in rows], [0] * len(rows), where, [block[i][w].astype(np.int64) for (_, i), w in zip(rows, where, strict=True)]]
-                yield pa.record_batch([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], names=names)
-    data = [[None], [documents], [np.flatnonzero(total)], [total[total > 0]]]
-    yield pa.record_batch([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], names=names)
-
-
 def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means from evenly spaced members."""
     k = min(k, len(vectors))
@@ -79,23 +56,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     share = sample / len(sizes)
     rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / n))])
-    chosen = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20)).alias("chosen")
-    kinds = "lang string, documents long, dims array<int>, values array<bigint>"
-    measured = settle(usable.select("text", "lang", chosen).mapInArrow(_measure, kinds), "language")
-    # One row per task adds up to one row per dimension before it reaches the driver.
-    per_dim = measured.filter("lang IS NULL").selectExpr("inline(arrays_zip(dims, values))").groupBy("dims").agg(F.sum("values"))
-    frequency = np.zeros(DIMS)
-    for dim, n in per_dim.collect():
-        frequency[dim] = n
-    documents = measured.filter("lang IS NULL").agg(F.sum("documents")).first()[0] or 0
-    idf = inverse_frequency(documents, frequency)
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(rates, F.col("lang")) * (1 << 20)
+    tagged = usable.select("text", F.when(chosen, F.col("lang")).alias("tag"))
+    measured = settle(tagged.mapInArrow(measure(letters_table(), ORDERS, DIMS), MEASURED), "language")
+    idf = inverse_frequency(*frequencies(measured, DIMS))
     centroids, languages, floors = [], [], []
     for lang in sorted(sizes):
-        rows = measured.filter(F.col("lang") == lang).select("dims", "values").orderBy(F.xxhash64("dims", "values")).collect()
-        block = np.zeros((len(rows), DIMS), np.float32)
-        for i, (dims, values) in enumerate(rows):
-            block[i, dims] = values
-        if not len(rows):
+        block = dense(measured.filter(F.col("tag") == lang).orderBy(F.xxhash64("dims", "values")), DIMS)
+        if not len(block):
             continue
         vectors = weighted(block, idf)
         own = _clusters(vectors, CENTROIDS)

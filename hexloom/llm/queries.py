@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hexloom.llm import language_id, packing, secrets, trie_bpe
+from hexloom.llm import ann, language_id, packing, passages, quality, secrets, suffix_tree_lm, trie_bpe
 from hexloom.llm.common import table
 from hexloom.llm.exact_dedup import exact_groups
 from hexloom.llm.near_dedup import near_components
@@ -26,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -34,17 +38,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "{id} % 20 = 0")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label")
+    return quality.qualities(table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_trie_bpe": op3_trie_bpe,
     "op4_packing": op4_packing,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_ann_forest": op9_ann_forest,
+    "op10_quality": op10_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

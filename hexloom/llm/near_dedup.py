@@ -7,7 +7,8 @@ closely, and pairs that it places six deviations below the threshold leave befor
 
 Work stays linear in groups of copies. Documents with the same set are one class, of which only the
 representative goes on. In a bucket, members are first compared with two of its members only and
-joined into components; the remaining pairs of a bucket are compared only between members that are
+joined into components; in further rounds members meet a few random ones of other components, which
+soon joins large groups. The remaining pairs of a bucket are compared only between members that are
 still in different components, in blocks, and only survivors of the screen leave the join.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text under five
@@ -38,6 +39,8 @@ SKETCH_BITS = 256
 PERCENT = 75
 #: Members of a large bucket compared with each other at a time.
 BLOCK = 256
+#: Rounds of random meetings before what is left of a bucket is compared as a whole.
+ROUNDS = 3
 
 _SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<bigint>"
 
@@ -181,15 +184,34 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     links = settle(_confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs), "links")
     found = components(links, "a", "b")
 
-    # Buckets whose members are still in different components: compare across components, block by block.
-    labelled = met.filter("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = settle(
-        labelled.selectExpr("band", "bucket", "rep", "members", "c1", "c2", "coalesce(component, rep) AS label"), "labelled"
-    )
-    mixed = settle(
-        labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("members").alias("members")).filter("lo != hi"),
-        "mixed",
-    )
+    # Buckets whose members are still in different components. First, in rounds, every member meets up to
+    # four random members of other components, which joins what belongs to a large group.
+    for turn in range(ROUNDS + 1):
+        labelled = met.filter("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        labelled = settle(
+            labelled.selectExpr("band", "bucket", "rep", "members", "c1", "c2", "coalesce(component, rep) AS label"), "labelled"
+        )
+        mixed = settle(
+            labelled.groupBy("band", "bucket").agg(
+                F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("members").alias("members"),
+                F.expr(f"min_by(struct(rep, label), xxhash64(rep, band, bucket, {turn}))").alias("centre"),
+            ).filter("lo != hi"),
+            "mixed",
+        )
+        if turn == ROUNDS:
+            break
+        open_rows = join_groups(labelled.select("band", "bucket", "rep", "label"), mixed, ["band", "bucket"], "members")
+        drawn = open_rows.filter("label != centre.label").groupBy("rep", F.expr("band % 4 AS draw")).agg(
+            F.expr("min_by(centre.rep, xxhash64(centre.rep, rep))").alias("other")
+        )
+        drawn = settle(drawn.selectExpr("greatest(rep, other) AS a", "least(rep, other) AS b").distinct(), "drawn")
+        if drawn.isEmpty():
+            break
+        links = settle(links.unionByName(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs)), "links")
+        found = components(links, "a", "b")
+
+    # Then the pairs of a bucket that are still apart, block by block.
+    mixed = mixed.drop("centre")
     open_rows = join_groups(labelled.drop("members"), mixed.drop("lo", "hi"), ["band", "bucket"], "members")
     open_rows = open_rows.filter("rep != c1 AND rep != c2").join(sketches, "rep").selectExpr(
         "band", "bucket", "rep", "label", "s0", "s1", "s2", "s3",

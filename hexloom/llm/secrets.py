@@ -26,7 +26,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm import bloom
 from hexloom.llm.common import whole_text
 from hexloom.session import settle
 
@@ -208,25 +207,24 @@ def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return scan(docs, id, text).selectExpr("doc_id", *counts, f"sha2({_digest('base')}, 256) AS base_sha256", f"{_digest('found')} AS spans")
 
 
-def mask(docs: DataFrame, id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+def mask(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with every found secret replaced by ``MASK``; only texts that hold one are moved.
 
-    Texts are matched to their spans by id and digest, so repeated ids don't mix. A text is rebuilt from
-    the pieces between its merged spans; ``length`` becomes that of the new text where it changed.
+    Equal texts have equal spans, so texts are matched to them by digest, whatever their ids. A text is
+    rebuilt from the pieces between its merged spans; ``length`` becomes that of a changed text.
     """
-    named = docs.select(F.col(id), F.sha2(whole_text(text), 256).alias("__digest"), F.col(text))
-    hits = scan(named.select(F.struct(id, "__digest").alias("key"), text), "key", text).filter("size(found) > 0")
+    named = docs.select(F.sha2(whole_text(text), 256).alias("__digest"), F.col(text))
+    hits = scan(named, "__digest", text).filter("size(found) > 0")
     # Overlapping spans melt into one; they are sorted, so each either extends the last one or follows it.
     merged = """aggregate(found, cast(array() as array<struct<start: int, end: int>>), (a, s) ->
         if(size(a) > 0 AND s.start < element_at(a, -1).end,
            concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, s.end) AS end))),
            concat(a, array(struct(s.start AS start, s.end AS end)))))"""
-    hits = settle(hits.selectExpr("key.__digest AS __of", f"{merged} AS __spans").dropDuplicates(["__of"]), "hits")
-    keys, segments = bloom.build(hits, "__of", hits.count())
-    digest = docs.withColumn("__digest", F.sha2(whole_text(text), 256))
-    flagged = bloom.possibly(digest, "__digest", settle(keys, "filter"), segments, "__maybe")
-    untouched = flagged.filter("NOT __maybe").select(*docs.columns)
-    touched = flagged.filter("__maybe").join(hits, F.expr("__digest = __of"), "left")
+    hits = settle(hits.selectExpr("doc_id AS __of", f"{merged} AS __spans").dropDuplicates(["__of"]), "hits")
+    # Without one of these a text can hold no span, and stays where it is.
+    likely = F.coalesce(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(ASSIGN[:-2] + "{%d,})" % ASSIGN_LENGTH), F.lit(False))
+    untouched = docs.filter(~likely)
+    touched = docs.filter(likely).withColumn("__digest", F.sha2(whole_text(text), 256)).join(hits, F.expr("__digest = __of"), "left")
     pieces = f"""concat(array(substring({text}, 1, __spans[0].start)),
         transform(__spans, (s, i) -> concat('{MASK}', substring({text}, s.end + 1,
             if(i + 1 < size(__spans), __spans[least(i + 1, size(__spans) - 1)].start, length({text})) - s.end))))"""

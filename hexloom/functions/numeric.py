@@ -15,12 +15,16 @@ def num(value: float) -> str:
 def round_to(value: str, digits: int, signed: bool = False) -> str:
     """Round half away from zero on the binary value; stays in generated code, no decimals.
 
-    ``signed`` is needed only where clearly negative values can occur.
+    ``signed`` is needed only where clearly negative values can occur. From 2^52 steps on a double has no
+    digits left to round, and ``floor``, which gives a 64-bit integer, would stop at its largest value;
+    such values, infinities and NaN stay as they are.
     """
     scale = num(10.0**digits)
-    if not signed:
-        return f"(floor(({value}) * {scale} + 0.5D) / {scale})"
-    return f"(signum({value}) * (floor(abs({value}) * {scale} + 0.5D) / {scale}) + 0.0D)"
+    if signed:
+        rounded = f"signum({value}) * (floor(abs({value}) * {scale} + 0.5D) / {scale}) + 0.0D"
+    else:
+        rounded = f"floor(({value}) * {scale} + 0.5D) / {scale}"
+    return f"if(abs({value}) * {scale} < {num(2.0**52)}, {rounded}, cast({value} as double))"
 
 
 def nearest_int(value: str) -> str:

@@ -73,13 +73,22 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+#: Latitude at which the square web-mercator map ends.
+_EDGE = num(math.degrees(math.atan(math.sinh(math.pi))))
+
+
+def _in_grid(place: str, zoom: str) -> str:
+    """Tile number of a place from 0 to 1; the far edge belongs to the last tile."""
+    return f"greatest(least(floor(({place}) * pow(2D, {zoom})), cast(pow(2D, {zoom}) as bigint) - 1L), 0L)"
+
+
 def tile_x(lon: str, zoom: str) -> str:
-    """Web-mercator tile column at ``zoom``."""
-    return f"floor((({lon}) + 180D) / 360D * pow(2D, {zoom}))"
+    """Web-mercator tile column at ``zoom``, within the map."""
+    return _in_grid(f"(({lon}) + 180D) / 360D", zoom)
 
 
 def tile_y(lat: str, zoom: str) -> str:
-    """Web-mercator tile row at ``zoom``, counted from the north."""
-    tangent = f"tan(radians({lat}))"
+    """Web-mercator tile row at ``zoom``, counted from the north, within the map."""
+    tangent = f"tan(radians(greatest(least({lat}, {_EDGE}), -{_EDGE})))"
     height = f"ln({tangent} + sqrt({tangent} * {tangent} + 1D)) / {num(math.pi)}"
-    return f"floor((1D - {height}) / 2D * pow(2D, {zoom}))"
+    return _in_grid(f"(1D - {height}) / 2D", zoom)

@@ -5,18 +5,23 @@ from __future__ import annotations
 from hexloom.sources.fixed_values import MISSING_GENUS
 
 
-def normalize_genus(genus: str, species: str) -> str:
-    """Lower-case genus; blank or unknown falls back to the first word of the species."""
-    own, words = f"lower(trim({genus}))", f"lower(trim({species}))"
-    return (
-        f"CASE WHEN {own} NOT IN ('', '{MISSING_GENUS}') THEN {own} "
-        f"WHEN {words} != '' THEN split_part({words}, ' ', 1) END"
-    )
+def _clean(name: str) -> str:
+    return f"lower(trim({name}))"
+
+
+def normalize_genus(genus: str, species: str, missing: tuple[str, ...] = ("", MISSING_GENUS)) -> str:
+    """Lower-case genus; one of the ``missing`` words falls back to the first word of the species, if any.
+
+    The words are a parameter, since inventories differ in what they write for an unknown genus.
+    """
+    absent = ", ".join(f"'{word}'" for word in missing)
+    first = f"nullif(split_part({_clean(species)}, ' ', 1), '')"
+    return f"if(coalesce({_clean(genus)}, '') IN ({absent}), {first}, {_clean(genus)})"
 
 
 def normalize_species(species: str) -> str:
     """Lower-case species up to the quoted cultivar; '' when absent."""
-    return f"coalesce(rtrim(split_part(lower(trim({species})), '\\'', 1)), '')"
+    return f"coalesce(rtrim(split_part({_clean(species)}, '\\'', 1)), '')"
 
 
 def surrogate_key(source: str, identifier: str) -> str:

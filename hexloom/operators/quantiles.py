@@ -17,10 +17,10 @@ def rank_values(df: DataFrame, key: str, value: str, fractions: Sequence[float])
 
     Equal values collapse to counts first. A coarse monotone bucket of the value (at most some ten
     thousand per key) locates each wanted rank; only the few buckets that hold one are then ordered,
-    so a key with all the rows still spreads over its buckets.
+    so a key with all the rows still spreads over its buckets. NULL and NaN take no part.
     """
     counts = (
-        df.filter(f"{value} IS NOT NULL")
+        df.filter(f"{value} IS NOT NULL AND NOT isnan({value})")
         .groupBy(key, F.col(value).alias("v"))
         .agg(F.expr("count(1) AS n"))
         .selectExpr("*", "floor(signum(v) * log1p(abs(v) * 16D) * 64D) AS b")

@@ -41,8 +41,7 @@ def tile_thin(tiles: DataFrame, cap: int, order: str) -> DataFrame:
 
 
 def tile_join(layers: DataFrame, archives: dict[str, str], layer: str = "layer") -> DataFrame:
-    """Name the archive each layer belongs to; layers without one drop out."""
+    """Name the archive each layer belongs to; a layer without one is an error."""
     pairs = ", ".join(f"'{k}', '{v}'" for k, v in archives.items())
-    return layers.selectExpr("*", f"try_element_at(map({pairs}), {layer}) AS archive").filter(
-        "archive IS NOT NULL"
-    )
+    unknown = f"raise_error(concat('no archive for layer ', coalesce({layer}, 'NULL')))"
+    return layers.selectExpr("*", f"coalesce(try_element_at(map({pairs}), {layer}), {unknown}) AS archive")

@@ -54,8 +54,8 @@ def ingest_feature_pages(
 
     A page file holds one document, which is one parse unit; with ``lines`` a file holds one page
     per line and can be split. With ``stream`` the folder is a file stream: see
-    ``streaming.landing`` for the resumable run.
+    ``streaming.landing`` for the resumable run. A page that can't be read fails the run; none is skipped.
     """
     reader = spark.readStream if stream else spark.read
-    pages = reader.schema(page_schema(properties, geometry_type)).option("multiLine", not lines)
+    pages = reader.schema(page_schema(properties, geometry_type)).option("multiLine", not lines).option("mode", "FAILFAST")
     return _flatten(pages.json(path), geometry_type)

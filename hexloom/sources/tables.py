@@ -58,11 +58,6 @@ def materialize(df: DataFrame, mode: str, name: str, path: str | None = None) ->
     return kept
 
 
-def cap_rows(df: DataFrame, n: int | None) -> DataFrame:
-    """The ``max features`` switch of a trial load; None loads everything."""
-    return df if n is None else df.limit(n)
-
-
 def reproject(df: DataFrame, crs: str = "crs", x: str = "x", y: str = "y") -> DataFrame:
     """Bring points to EPSG:25833: rows marked EPSG:4326 are converted, all others kept."""
     others = [c for c in df.columns if c not in (x, y, crs)]

@@ -7,7 +7,8 @@ from hexloom.operators import tiles as T
 from hexloom.plans.marts import nest_summary
 from hexloom.sources.export import export_layer, write_layers
 from hexloom.sources.pages import ingest_feature_pages
-from hexloom.sources.tables import cap_rows, load_lookup, load_table, materialize, reproject, source_catalogue
+from hexloom.session import shared_dir
+from hexloom.sources.tables import load_lookup, load_table, materialize, reproject, source_catalogue
 from hexloom.streaming.landing import land_pages, running_counts
 
 PAGE = {
@@ -92,7 +93,6 @@ def test_tables_and_lookup(spark, tmp_path, sf):
     assert rows == {"01": "Quercus", "Blö": ""}
     assert load_lookup(spark).count() == 53 and source_catalogue(spark).count() == 5
     frame = spark.range(10)
-    assert cap_rows(frame, 3).count() == 3 and cap_rows(frame, None).count() == 10
     for mode, path in (("view", None), ("cache", None), ("table", str(tmp_path / "t"))):
         assert materialize(frame, mode, f"m_{mode}", path).count() == spark.table(f"m_{mode}").count() == 10
     with pytest.raises(ValueError):
@@ -108,7 +108,9 @@ def test_reproject_only_marked_rows(spark):
 
 def test_export_and_tiles(spark, tmp_path):
     frame = spark.createDataFrame([(i, "POINT (0 0)") for i in range(5)], "id int, geometry string")
-    write_layers([export_layer(frame, "trees", ["id"]), export_layer(frame, "unknown")], str(tmp_path / "out"))
+    write_layers([export_layer(frame, "trees", ["id"])], str(tmp_path / "out"))
+    with pytest.raises(Exception, match="no archive for layer unknown"):
+        write_layers([export_layer(frame, "unknown")], str(tmp_path / "lost"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["archive"], r["layer"]) for r in out.collect()} == {("trees", "trees")} and out.count() == 5
     points = spark.createDataFrame([(i, 13.4 + i * 1e-6, 52.5) for i in range(9)], "id int, lon double, lat double")
@@ -131,3 +133,35 @@ def test_nest_summary_drops_empty_slots(spark):
     row = nest_summary(spark.sql("SELECT " + ", ".join(columns)), ["res9"]).first()
     assert [g["genus"] for g in row["top_genera"]] == ["acer"] and row["forest_genera"] == []
     assert row["density_ranges"]["res9"]["quantiles"] == [1.0, 2.5]
+
+
+def test_unreadable_page_fails(spark, tmp_path):
+    page = '{"type": "FeatureCollection", "features": []}'
+    (tmp_path / "a.json").write_text(page)
+    (tmp_path / "b.json").write_text(page[:30])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest_feature_pages(spark, str(tmp_path), "id string").collect()
+
+
+def test_tiles_at_the_edge_of_the_map(spark):
+    frame = spark.createDataFrame([(180.0, 90.0), (-180.0, -90.0)], "lon double, lat double")
+    tiles = [(r["tx"], r["ty"]) for r in T.tile_assign(frame, 3, 3).orderBy("lon").collect()]
+    assert tiles == [(0, 7), (7, 0)]
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

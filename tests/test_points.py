@@ -29,6 +29,9 @@ def test_safe_int(spark):
 
 def test_rounding(spark):
     assert one(spark, round_to("2.25D", 1)) == 2.3
+    for large in (1e14, 1e18, 9.3e12):
+        assert one(spark, round_to(f"{large!r}D", 6)) == large
+    assert one(spark, round_to("double('Infinity')", 6)) == float("inf") and one(spark, round_to("cast(NULL as double)", 6)) is None
     assert one(spark, round_to("-2.25D", 1, signed=True)) == -2.3
     assert [one(spark, nearest_int(v)) for v in ("2.5D", "3.5D", "2.7D")] == [2, 4, 3]
 

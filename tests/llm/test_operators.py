@@ -91,6 +91,60 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+def grown_by_hand(texts, root):
+    """log10 probability of a next word after a tuple of words, by the definition of the tree."""
+    counts, totals = Counter(), Counter()
+    for t in texts:
+        whole = ["\0", *t, "\0"]
+        for k in (1, 2):
+            for i in range(len(whole) - k):
+                counts[tuple(whole[i : i + k + 1])] += 1
+                totals[tuple(whole[i : i + k])] += 1
+    branches = {}
+    for string, n in counts.items():
+        if n >= suffix_tree_lm.LEAST:
+            branches.setdefault(string[:-1], {})[string[-1]] = n
+
+    def p(context, word):
+        if not context:
+            return root(word)
+        own, total = branches.get(context, {}), totals[context]
+        if own:
+            s, less = sum(own.values()), {w: p(context[1:], w) for w in own}
+            g = sum(n * math.log(n / total / less[w]) for w, n in own.items())
+            if total > s:
+                g += (total - s) * math.log((total - s) / total / max(1 - sum(less.values()), 1e-12))
+            if 2 * g > len(own) + suffix_tree_lm.DEVIATIONS * math.sqrt(2 * len(own)):
+                rest = total - s + len(own)
+                return (own.get(word, 0) + rest * p(context[1:], word)) / (total + len(own))
+        return p(context[1:], word)
+
+    return p
+
+
+@pytest.mark.parametrize("common", [1e-6, 0.02, 1.0])
+def test_suffix_tree_against_the_definition(spark, monkeypatch, common):
+    """Whether values are broadcast, joined or both; texts with repeats, of which a seventh isn't learnt."""
+    monkeypatch.setattr(suffix_tree_lm, "COMMON", common)
+    draw = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{min(int(z), 40)}" for z in draw.zipf(1.4, int(draw.integers(0, 30)))) for i in range(150)}
+    texts |= {200 + i: "a fixed phrase that comes again" for i in range(12)}
+    learnt = [t.split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in learnt for w in [*t, "\0"])
+    size = sum(counts.values()) + len(counts) + 1
+    p = grown_by_hand(learnt, lambda w: (counts[w] + 1) / size)
+    rows = suffix_tree_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        whole = ["\0", *texts[r["doc_id"]].split(), "\0"]
+        expected = sum(math.log10(p(tuple(whole[max(i - 2, 0) : i]), whole[i])) for i in range(1, len(whole)))
+        assert r["score"] == pytest.approx(expected)
+    for context in [("\0",), ("w1",), ("w1", "w2"), ("a", "fixed"), ("nothing",)]:
+        assert sum(p(context, w) for w in [*counts, "unseen"]) == pytest.approx(1)
+    held = [r for r in rows if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_trie_bpe_against_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -126,6 +126,7 @@ def grown_by_hand(texts, root):
 def test_suffix_tree_against_the_definition(spark, monkeypatch, common):
     """Whether values are broadcast, joined or both; texts with repeats, of which a seventh isn't learnt."""
     monkeypatch.setattr(suffix_tree_lm, "COMMON", common)
+    monkeypatch.setattr(suffix_tree_lm, "HOT", 2 * common)
     draw = np.random.default_rng(5)
     texts = {i: " ".join(f"w{min(int(z), 40)}" for z in draw.zipf(1.4, int(draw.integers(0, 30)))) for i in range(150)}
     texts |= {200 + i: "a fixed phrase that comes again" for i in range(12)}

@@ -38,6 +38,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a settled frame once whatever was made from it is settled, too."""
+    files, jvm = settled.inputFiles(), settled.sparkSession.sparkContext._jvm
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(settled.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; bytes know no other spaces or cases."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

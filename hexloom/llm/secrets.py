@@ -3,8 +3,10 @@
 Three patterns give the base spans. A battery of randomness tests adds spans of kind ``random``:
 
 * candidates are runs of at least ``MIN_LENGTH`` characters of the base64 alphabets; each gets the
-  smallest encoding that holds it (hex, base32, base62, base64). Runs of letters alone are ordinary
-  words; they aren't tested but show what text looks like;
+  smallest encoding that holds it (hex, base32 and base36 in either case, base62, base64 in two forms).
+  In tokens of one case signs may part groups, as in a UUID, and are left out of the tests: what is left
+  of a random token is random, too. Runs of letters alone are ordinary words; they aren't tested but
+  show what text looks like;
 * against randomness: a chi-squared test of even use of the encoding's alphabet, a runs test about
   its middle and a serial correlation test of the symbol numbers, summed into one deviate. A candidate
   that it rejects has structure and is no secret;
@@ -26,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import whole_text
+from hexloom.llm.common import LOWER, UPPER, whole_text
 from hexloom.session import settle
 
 #: Fixed values of the contract.
@@ -86,22 +88,40 @@ def _with_spans(df: DataFrame, matches: str, into: str) -> DataFrame:
     )
 
 
+_LETTERS = UPPER + LOWER
+#: Symbols of each encoding, numbered in this order.
 _SYMBOLS = {
     "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "upper_hex": "0123456789ABCDEF",
+    "base32": UPPER + "234567",
+    "lower_base32": LOWER + "234567",
+    "upper_base36": UPPER + "0123456789",
+    "lower_base36": LOWER + "0123456789",
+    "base62": _LETTERS + "0123456789",
+    "base64": _LETTERS + "0123456789+/",
+    "url64": _LETTERS + "0123456789-_",
+    "all": _LETTERS + "0123456789+/-_",
 }
 
 
-def _inferred(token: str) -> str:
-    """Encoding of a token; null for digits alone and for words with signs in between."""
+def _core(token: str) -> str:
+    """What is tested of a token: all of it in mixed case, else what is left without signs, which may just part groups."""
+    return f"if({token} RLIKE '[A-Z]' AND {token} RLIKE '[a-z]', {token}, translate({token}, '+/_-', ''))"
+
+
+def _inferred(token: str, core: str) -> str:
+    """Tightest encoding of a token; null for digits alone and for words with signs in between."""
     return f"""CASE WHEN {token} RLIKE '^[A-Za-z]+$' THEN 'text'
         WHEN NOT {token} RLIKE '[0-9]' OR NOT {token} RLIKE '[A-Za-z]' THEN NULL
-        WHEN {token} RLIKE '^[0-9a-f]+$' THEN 'hex'
-        WHEN {token} RLIKE '^[A-Z2-7]+$' THEN 'base32'
-        WHEN {token} RLIKE '^[A-Za-z0-9]+$' THEN 'base62'
-        WHEN {token} RLIKE '[A-Z]' AND {token} RLIKE '[a-z]' THEN 'base64' END"""
+        WHEN {core} RLIKE '^[0-9a-f]+$' THEN 'hex'
+        WHEN {core} RLIKE '^[0-9A-F]+$' THEN 'upper_hex'
+        WHEN {core} RLIKE '^[A-Z2-7]+$' THEN 'base32'
+        WHEN {core} RLIKE '^[a-z2-7]+$' THEN 'lower_base32'
+        WHEN {core} RLIKE '^[A-Z0-9]+$' THEN 'upper_base36'
+        WHEN {core} RLIKE '^[a-z0-9]+$' THEN 'lower_base36'
+        WHEN {core} RLIKE '^[A-Za-z0-9]+$' THEN 'base62'
+        WHEN {core} RLIKE '^[A-Za-z0-9+/]+$' THEN 'base64'
+        WHEN {core} RLIKE '^[A-Za-z0-9_-]+$' THEN 'url64' ELSE 'all' END"""
 
 
 def _measured(tokens: DataFrame) -> DataFrame:
@@ -111,10 +131,11 @@ def _measured(tokens: DataFrame) -> DataFrame:
     runs = f"aggregate(sequence(1, n - 1), 1D, (a, i) -> a + if({side.format(i='i')} != {side.format(i='i - 1')}, 1, 0))"
     chi = "(((k * (2D * equal + n) / n - n) - (k - 1)) / sqrt(2D * (k - 1)))"
     return (
-        tokens.withColumn("encoding", F.expr(_inferred("w")))
+        tokens.withColumn("core", F.expr(_core("w")))
+        .withColumn("encoding", F.expr(_inferred("w", "core")))
         .filter("encoding IS NOT NULL")
         .withColumn("letters", F.expr(letters))
-        .withColumn("c", F.expr("transform(filter(split(if(encoding = 'text', lower(w), w), ''), x -> x != ''), x -> instr(letters, x) - 1)"))
+        .withColumn("c", F.expr("transform(filter(split(if(encoding = 'text', lower(core), core), ''), x -> x != ''), x -> instr(letters, x) - 1)"))
         .withColumns({"n": F.size("c"), "k": F.length("letters")})
         .withColumn("equal", F.expr("(aggregate(array_distinct(c), 0D, (a, x) -> a + pow(size(filter(c, y -> y = x)), 2)) - n) / 2D"))
         .withColumn("mean", F.expr("aggregate(c, 0D, (a, x) -> a + x) / n"))

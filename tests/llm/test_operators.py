@@ -9,10 +9,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from hexloom.llm import ann, language_id, near_dedup, packing, passages, quality, secrets, suffix_tree_lm, trie_bpe
 from hexloom.llm.components import components
 from hexloom.llm.exact_dedup import drop_repeats, exact_groups
+from hexloom.session import settle
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, maybe int, rep int, kept string"
@@ -76,6 +78,43 @@ def test_secret_spans(spark, docs, empty):
     assert got[1]["n_assign"] == 0 and got[2]["n_hex"] == 700 and got[2]["spans"].split(",")[-1] == "hex:11883:11899"
 
 
+ALPHABETS = {
+    "hex": "0123456789abcdef", "upper_hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower_base32": "abcdefghijklmnopqrstuvwxyz234567",
+    "upper_base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "lower_base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "lower_url": "abcdefghijklmnopqrstuvwxyz0123456789-_", "upper_url": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "url64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+}
+
+
+def test_random_tokens_of_every_alphabet(spark):
+    """Hardly any uniformly random token has structure, and one planted in prose for each alphabet and length is found."""
+    rng = np.random.default_rng(5)
+    sizes = (16, 20, 24, 32, 48, 64, 128)
+    draw = lambda symbols, n: "".join(symbols[i] for i in rng.integers(0, len(symbols), n))
+    uuid = lambda: re.sub("(.{8})(.{4})(.{4})(.{4})(.{12})", r"\1-\2-\3-\4-\5", draw(ALPHABETS["hex"], 32))
+    rows = [(f"{name} {n}", draw(symbols, n)) for name, symbols in ALPHABETS.items() for n in sizes for _ in range(20)]
+    rows += [("uuid 36", uuid()) for _ in range(20)]
+    tokens = spark.createDataFrame([(i, 0, len(w), w, kind) for i, (kind, w) in enumerate(rows)], "row long, start int, end int, w string, kind string").repartition(4)
+    usable = Counter(kind for kind, w in rows if re.search("[0-9]", w) and re.search("[A-Za-z]", w))
+    tested = secrets._measured(tokens.drop("kind")).filter("encoding != 'text'")
+    tested = settle(tested, "tested")
+    passed = {r["kind"]: r["n"] for r in tested.filter(f"deviate <= {secrets.STRUCTURE}").join(tokens.select("row", "kind"), "row").groupBy("kind").agg(F.expr("count(1) AS n")).collect()}
+    for kind, n in usable.items():
+        assert passed.get(kind, 0) >= 0.9 * n, kind
+
+    # Of each sort the token that changes most often between letters and digits, as few others differ from text when short.
+    changes = lambda w: len(re.findall("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", w))
+    planted = dict(sorted(rows, key=lambda r: changes(r[1])))
+    plain = ["some-kebab-case-name-of-2024", "articles/about/the-first-10-things", "SOME_CONSTANT_NAME_NO_12", "internationalisation2"]
+    texts = [*(f"before {w} behind" for w in planted.values()), *plain]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    missed = [kind for i, (kind, w) in enumerate(planted.items()) if f"random:7:{7 + len(w)}" not in got[i]]
+    assert not missed
+    assert not any(got[i] for i in range(len(planted), len(texts)))
+
+
 def test_suffix_tree(docs, empty):
     got = suffix_tree_lm.score(docs).collect()
     tokens = {i: (t or "").encode().lower().split() for i, t, _ in ROWS}

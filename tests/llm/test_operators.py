@@ -232,6 +232,25 @@ def test_passages(spark, docs, empty):
     assert {1, 2, 3} <= {r["doc_id"] for r in passages.repeated_passages(docs).collect()}
 
 
+def test_passages_with_inserted_and_deleted_words(spark):
+    """Sides that are too short to be passages of their own still make one."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    rows, kinds = [], ("inserted", "deleted", "five inserted")
+    for k, kind in enumerate(kinds * 4):
+        own = draw(70 if kind == kinds[2] else 60)
+        half = len(own) // 2
+        other = own[:half] + (own[half + 1 :] if kind == kinds[1] else draw(5 if kind == kinds[2] else 1) + own[half:])
+        rows += [(2 * k, " ".join(draw(80) + own + draw(80))), (2 * k + 1, " ".join(draw(33) + other + draw(90)))]
+    got = {(r["doc_id"], r["with_doc"]): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, kind in enumerate(kinds * 4):
+        size = 70 if kind == kinds[2] else 60
+        r, back = got[2 * k, 2 * k + 1], got[2 * k + 1, 2 * k]
+        assert (r["start_word"], r["end_word"], r["with_start"]) == (80, 80 + size, 33), kind
+        assert back["end_word"] - back["start_word"] == size + (1, -1, 5)[k % 3] and back["with_start"] == 80
+    assert len(got) == len(rows)
+
+
 def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in language_id.languages(docs).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[6]["lang_pred"] == "und" and got[4]["score"] == 0

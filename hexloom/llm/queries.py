@@ -27,7 +27,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), depth=None)
 
 
 def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

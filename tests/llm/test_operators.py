@@ -185,6 +185,27 @@ def test_suffix_tree_against_the_definition(spark, monkeypatch, common):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_suffix_tree_keeps_long_contexts(spark):
+    """Only the word three places back tells what comes: a context of two words can't."""
+    texts = {i: f"{'xy'[i % 2]} middle of {'pq'[i % 2]}" for i in range(200)}
+    texts |= {1000 + i: f"{'vw'[i % 2]} three {'rs'[i % 2]}" for i in range(200)}
+    wrong = {i: f"{'yx'[i % 2]} middle of {'pq'[i % 2]}" for i in range(200)}
+    both = spark.createDataFrame([*texts.items(), *((3000 + i, t) for i, t in wrong.items() if i < 10 and zlib.crc32(str(3000 + i).encode()) % 7 == 2)], "doc_id long, text string")
+    mixed = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(both, depth=None).collect()}
+    assert len(mixed) > len(texts) and all(mixed[i] < mixed[0] - 1 for i in mixed if i >= 3000)
+
+
+def test_hashes_of_long_strings_depend_on_every_word():
+    draw = np.random.default_rng(3).integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for length in (3, 4, 5, 9, 17, 24):
+        for place in range(length):
+            x = np.repeat(draw[:length][None], 2000, axis=0)
+            x[:, place] = draw[2000:]
+            for k in range(2, length + 1):
+                x = suffix_tree_lm._longer(x[:, :-1], x[:, 1:], k)
+            assert len(np.unique(x)) == 2000, (length, place)
+
+
 def test_trie_bpe_against_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -3,7 +3,10 @@
 Document frequencies come from all learning documents; the centroids from a sample of at most
 ``SAMPLE`` of them in expectation, drawn evenly over the languages by a hash of the id. Spherical
 k-means splits each language into ``CENTROIDS`` clusters. A text is rejected when its cosine to the
-best centroid is under half of the smallest cosine that a sample text of that language has to its own.
+best centroid is under ``MARGIN`` of the ``QUANTILE`` of those that all learning texts of that language
+and of like length (by powers of two) have to theirs. A length that has fewer than ``LEAST`` of them takes
+the floor of the nearest shorter one that has, else that of the nearest longer one, less by the root of
+the ratio; a language without any takes it from all lengths together.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0 and rejected; so
 is every text when there is nothing to learn from. Of equal cosines the first language by name wins.
@@ -26,6 +29,9 @@ from hexloom.session import settle
 DIMS, ORDERS = 4096, (2, 3)
 SAMPLE = 4000
 CENTROIDS = 4
+QUANTILE, MARGIN, LEAST = 0.01, 0.8, 20
+#: Powers of two told apart in the length of a text.
+LENGTHS = 16
 UNKNOWN = "und"
 
 
@@ -34,7 +40,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     languages: list[str]  # of each row, in order
-    floors: np.ndarray  # of each row: the least cosine that isn't rejected
+    floors: np.ndarray  # of each row and power of two in the length: the least cosine that isn't rejected
 
 
 def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -60,17 +66,39 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     tagged = usable.select("text", F.when(chosen, F.col("lang")).alias("tag"))
     measured = settle(tagged.mapInArrow(measure(letters_table(), ORDERS, DIMS), MEASURED), "language")
     idf = inverse_frequency(*frequencies(measured, DIMS))
-    centroids, languages, floors = [], [], []
+    centroids, languages = [], []
     for lang in sorted(sizes):
         block = dense(measured.filter(F.col("tag") == lang).orderBy(F.xxhash64("dims", "values")), DIMS)
         if not len(block):
             continue
         vectors = weighted(block, idf)
         own = _clusters(vectors, CENTROIDS)
-        floors += [0.5 * (vectors @ own.T).max(axis=1).min()] * len(own)
         centroids.append(own)
         languages += [lang] * len(own)
-    return Model(idf, np.concatenate(centroids), languages, np.array(floors)) if centroids else None
+    if not centroids:
+        return None
+    model = Model(idf, np.concatenate(centroids), languages, np.full((len(languages), LENGTHS), -1.0))
+    model.floors = _floors(identify(usable, model), languages)
+    return model
+
+
+def _floors(found: DataFrame, languages: list[str]) -> np.ndarray:
+    """Floors from the cosines of all learning rows to the centroids of their own language."""
+    size = F.least(F.floor(F.log2(F.length("text"))), F.lit(LENGTHS - 1)).cast("int")
+    right = found.filter("language.lang_pred = lang").select("lang", size.alias("size"), "language.score")
+    low = right.groupBy("lang", "size").agg(F.count("score").alias("n"), F.expr(f"percentile_approx(score, {QUANTILE}, 10000)").alias("low"))
+    out = {lang: np.zeros(LENGTHS) for lang in languages}
+    rows: dict[str, list] = {}
+    for r in low.orderBy("lang", "size").collect():
+        rows.setdefault(r["lang"], []).append(r)
+    for lang, own in rows.items():
+        known = {r["size"]: r["low"] for r in own if r["n"] >= LEAST}
+        if not known:
+            known = {own[0]["size"]: min(r["low"] for r in own)}
+        for k in range(LENGTHS):
+            below = [c for c in known if c <= k]
+            out[lang][k] = MARGIN * (known[max(below)] if below else known[min(known)] * 2 ** ((k - min(known)) / 2))
+    return np.stack([out[lang] for lang in languages])
 
 
 def _predict(model: Model | None, texts: list[str | None], lettered: list[bool]) -> tuple[list, list, list]:
@@ -83,7 +111,8 @@ def _predict(model: Model | None, texts: list[str | None], lettered: list[bool])
         score = near[np.arange(len(best)), best]
         names += [model.languages[b] for b in best]
         scores += np.clip(score, 0, 1).astype(float).tolist()
-        rejected += (score < model.floors[best]).tolist()
+        sizes = [min(max(len(t or ""), 1).bit_length(), LENGTHS) - 1 for t in texts[len(rejected) : len(rejected) + len(best)]]
+        rejected += (score < model.floors[best, sizes]).tolist()
     return (
         [n if ok else UNKNOWN for n, ok in zip(names, lettered, strict=True)],
         [s if ok else 0.0 for s, ok in zip(scores, lettered, strict=True)],

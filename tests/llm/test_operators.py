@@ -285,6 +285,25 @@ def test_language_held_out(spark, sf):
     assert found.filter("lang = lang_pred").count() >= 0.97 * found.count()
 
 
+def test_language_rejects_what_it_never_learnt(spark):
+    """Foreign and garbage texts go; nearly all held-out ones stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learn(language_id.split(table))
+    draw = np.random.default_rng(9)
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах.",
+        *("".join(draw.choice([*"bcdfghjklmnpqrstvwxz "], n)) for n in (100, 300, 1000)),
+    ]
+    got = language_id.identify(spark.createDataFrame([*enumerate(strange)], "doc_id long, text string"), model).select("doc_id", "language.*").collect()
+    assert [r["doc_id"] for r in got if not r["rejected"]] == []
+    held = language_id.identify(table, model).filter("crc32(string(doc_id)) % 3 = 1 AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    gone = held.selectExpr("avg(int(language.rejected))").first()[0]
+    assert gone < 0.02
+
+
 def test_quality_held_out(spark, sf, docs):
     folder = sf.replace("0.001", "0.01")
     table, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))

@@ -10,7 +10,7 @@ kept; an empty table gives an empty result; other columns of the input take no p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm import bloom
@@ -44,14 +44,21 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", max_bi
 
 def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` doesn't keep; unaffected rows aren't shuffled."""
-    dropped = settle(exact_groups(docs, id, text).filter("NOT kept").select(F.col("doc_id").alias("__dropped")), "dropped")
-    return without_ids(docs, dropped, "__dropped", id)
+    dropped = exact_groups(docs, id, text).filter("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__of"))
+    # An id may stand on several texts, of which only some repeat.
+    return without_ids(docs, settle(dropped.distinct(), "dropped"), "__dropped", id, F.sha2(lower_az(whole_text(text)), 256))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, column: str, id: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``dropped`` (settled, non-null): a filter passes all others straight on."""
+def without_ids(docs: DataFrame, dropped: DataFrame, column: str, id: str = "doc_id", digest: Column | None = None) -> DataFrame:
+    """``docs`` without the ids in ``dropped`` (settled, non-null): a filter passes all others straight on.
+
+    With a digest, only rows go whose digest stands beside their id as ``__of``.
+    """
     ids, segments = bloom.build(dropped, column, dropped.count())
     flagged = bloom.possibly(docs, id, settle(ids, "filter"), segments, "__maybe")
     passed = flagged.filter("NOT __maybe").drop("__maybe")
     doubtful = flagged.filter("__maybe").drop("__maybe")
-    return passed.unionByName(doubtful.join(dropped, doubtful[id] == dropped[column], "left_anti"))
+    if digest is None:
+        return passed.unionByName(doubtful.join(dropped, doubtful[id] == dropped[column], "left_anti"))
+    doubtful = doubtful.withColumn("__digest", digest)
+    return passed.unionByName(doubtful.join(dropped, (doubtful[id] == dropped[column]) & (F.col("__digest") == F.col("__of")), "left_anti").drop("__digest"))

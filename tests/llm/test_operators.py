@@ -50,6 +50,13 @@ def test_exact_groups(docs, empty):
     assert drop_repeats(docs).columns == docs.columns
 
 
+def test_repeats_go_by_id_and_text(spark):
+    """A text of its own stays, though its id also stands on a text that repeats."""
+    rows = [(1, "repeats"), (1, "of its own"), (2, "Repeats"), (3, "else"), (None, "repeats")]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} - {(None, "repeats")} == {(1, "of its own"), (2, "Repeats"), (3, "else")}
+
+
 def test_near_components(docs, empty):
     got = {r["doc_id"]: r for r in near_dedup.near_components(docs).collect()}
     assert got[1]["component_id"] == got[2]["component_id"] == got[3]["component_id"] == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hexloom.llm import ann, language_id, packing, passages, quality, secrets, suffix_tree_lm, trie_bpe
+from hexloom.llm import ann, language_id, packing, passages, quality, quality_rules, secrets, suffix_tree_lm, trie_bpe
 from hexloom.llm.common import table
 from hexloom.llm.exact_dedup import exact_groups
 from hexloom.llm.near_dedup import near_components
@@ -55,6 +55,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.qualities(table(spark, sf_dir, "documents"), labels)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_ann_forest": op9_ann_forest,
     "op10_quality": op10_quality,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

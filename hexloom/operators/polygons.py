@@ -1,4 +1,4 @@
-"""Polygons as edge tables: area, centroid, dissolve, and the cut into grid buckets.
+"""Polygons as edge tables: area, centroid, length, and the cut into grid buckets.
 
 A polygon row is ``(key, rings)`` with ``rings: array<array<struct<x, y>>>``, outer ring first. The
 edge table ``(key, x1, y1, x2, y2)`` keeps the interior to the left of every edge, so plain signed
@@ -93,26 +93,6 @@ def polygon_centroid(edge_table: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dissolve(edge_table: DataFrame, key: str) -> DataFrame:
-    """Outline edges per key: shared edges run in opposite directions and cancel.
-
-    Exact for coverages whose neighbours share vertices; ``coverage_check`` reports inputs that do
-    not. Each undirected edge is one group, so the shuffle spreads over all edges however large a
-    single outline is.
-    """
-    turned = ("x2", "y2", "x1", "y1")
-    net = (
-        edge_table.selectExpr(key, *EDGE, "x1 < x2 OR (x1 = x2 AND y1 < y2) AS f")
-        .selectExpr(
-            key, *[f"if(f, {c}, {o}) AS {c}" for c, o in zip(EDGE, turned)], "if(f, 1, -1) AS d"
-        )
-        .groupBy(key, *EDGE)
-        .agg(F.sum("d").alias("d"))
-        .filter("d != 0")
-    )
-    return net.selectExpr(key, *[f"if(d > 0, {c}, {o}) AS {c}" for c, o in zip(EDGE, turned)])
-
-
 def outline_length(edge_table: DataFrame, key: str) -> DataFrame:
     """(key, edge_count, length_m) of an edge table."""
     return edge_table.groupBy(key).agg(
@@ -121,19 +101,6 @@ def outline_length(edge_table: DataFrame, key: str) -> DataFrame:
     )
 
 
-def coverage_check(edge_table: DataFrame, key: str) -> DataFrame:
-    """(key, open_vertices) of dissolved outlines: vertices entered and left unequally often.
-
-    Slivers and T-junctions leave open vertices or stray edges; a clean outline has none.
-    """
-    ends = edge_table.selectExpr(
-        key,
-        "inline(array(named_struct('x', x1, 'y', y1, 'd', 1), named_struct('x', x2, 'y', y2, 'd', -1)))",
-    )
-    balance = ends.groupBy(key, "x", "y").agg(F.sum("d").alias("d"))
-    return balance.groupBy(key).agg(F.expr("count_if(d != 0) AS open_vertices"))
-
-
 def scan_spans(edge_table: DataFrame, key: str, step: float) -> DataFrame:
     """Spans of every horizontal line y = k * step inside each polygon: (key, k, xa, xb, w).
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from hexloom.functions.wkt import multipolygon_wkt
 from hexloom.operators.cells import hex_cover, hex_edges, morph_close
+from hexloom.operators.outlines import cancel_shared
 from hexloom.operators.overlay import clip_to_boundary, slab_trapezoids, trapezoid_rings
-from hexloom.operators.polygons import MIN_OVERLAP_M2, dissolve, edges, slab_area
+from hexloom.operators.polygons import MIN_OVERLAP_M2, edges, slab_area
 
 
 def clipped_stands(
@@ -49,5 +50,5 @@ def forest_outline(
     cells = hex_cover(edges(stands, stand_key), stand_key, res, "center").select("cell").distinct()
     inside = hex_cover(boundary, boundary_key, res, "center").select("cell").distinct()
     closed = morph_close(cells, k).join(inside, "cell", "left_semi")
-    outline = dissolve(hex_edges(closed).withColumn("layer", F.lit("forests_union")), "layer")
+    outline = cancel_shared(hex_edges(closed).withColumn("layer", F.lit("forests_union")), "layer")
     return closed, outline

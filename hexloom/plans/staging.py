@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions.numeric import safe_int
 from hexloom.functions.text import label_codes, surrogate_key
-from hexloom.operators.polygons import dissolve
+from hexloom.operators.outlines import dissolve
 from hexloom.operators.proximity import flag_duplicates
 from hexloom.sources.fixed_values import DISTRICT_NAMES
 

@@ -60,6 +60,12 @@ SELECT DISTINCT p_brand AS ba_code,
 FROM {part}
 """
 
+PLOTS = """
+SELECT p_partkey AS plot_id, p_size % 5 AS group_id, CAST((p_partkey - 1) % 40 AS BIGINT) AS col,
+  CAST(floor((p_partkey - 1) / 40) AS BIGINT) AS row
+FROM {part}
+"""
+
 RAW_POINTS = """
 SELECT ' ' || CAST(o_orderkey AS STRING) || ' ' AS id, o_orderstatus,
   o_orderpriority || ' ''Cultivar''' AS art_bot, ' ' || o_orderpriority AS art_dtsch,
@@ -141,3 +147,27 @@ def stands(spark: SparkSession, sf: str) -> DataFrame:
 def lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Stand code to genus."""
     return _derive(spark, sf, LOOKUP, "part")
+
+
+def plots(spark: SparkSession, sf: str, width: int = 100) -> DataFrame:
+    """Slanted plots of random groups in rows; odd ones come in two halves, some others have a hole.
+
+    A half's corners lie in the middle of a whole neighbour's side. Plots wider than 100 overlap the
+    next one of their row.
+    """
+
+    def at(u: float, v: float) -> str:
+        return _corner(f"380000D + 100 * col + 50 * row + {u + 0.5 * v!r}D", f"5810000D + 100 * row + {v}")
+
+    def ring(*corners: tuple[float, float]) -> str:
+        return f"array({', '.join(at(u, v) for u, v in corners)})"
+
+    box = lambda low, high: ring((0, low), (width, low), (width, high), (0, high))
+    hole = ring((40, 40), (60, 40), (40, 70))
+    parts = (
+        f"CASE WHEN plot_id % 2 = 1 THEN array(array({box(0, 50)}), array({box(50, 100)})) "
+        f"WHEN plot_id % 14 = 0 THEN array(array({box(0, 100)}, {hole})) ELSE array(array({box(0, 100)})) END"
+    )
+    return _derive(spark, sf, PLOTS, "part").selectExpr("group_id", f"posexplode({parts}) AS (part, rings)", "plot_id").selectExpr(
+        "concat(plot_id, '-', part) AS plot_id", "group_id", "rings"
+    )

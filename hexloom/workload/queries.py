@@ -16,6 +16,7 @@ from hexloom.functions.text import normalize_genus, normalize_species
 from hexloom.functions.wkt import point_wkt, polygon_wkt
 from hexloom.operators import cells as C
 from hexloom.operators import histogram as H
+from hexloom.operators import outlines as R
 from hexloom.operators import overlay as O
 from hexloom.operators import polygons as P
 from hexloom.operators import proximity as X
@@ -160,14 +161,69 @@ def multipart_area(spark, sf):
 
 def dissolve_regions(spark, sf):
     grouped = P.edges(D.areas(spark, sf), "area_id", keep=("group_id",))
-    return P.dissolve(grouped, "group_id")
+    return R.dissolve(grouped, "group_id")
+
+
+def _plot_edges(spark, sf, width=100):
+    return P.edges(D.plots(spark, sf, width), "plot_id", keep=("group_id",))
+
+
+def _outline_facts(outline, key):
+    """Length, area and what is left of faults in dissolved outlines."""
+    area = P.polygon_area(P.with_origin(outline, key), key)
+    return (
+        P.outline_length(outline, key).join(area, key).join(R.coverage_check(outline, key, 500.0), key)
+        .selectExpr(key, f"{round_to('length_m', 3)} AS length_m", f"{round_to('area_m2', 3)} AS area_m2", "open_vertices", "t_junctions", "crossings")
+    )
+
+
+def dissolve_tjunction(spark, sf):
+    """Union of neighbours whose vertices don't match, slanted and with holes."""
+    return _outline_facts(settle(R.dissolve(_plot_edges(spark, sf), "group_id", 500.0), "outline"), "group_id")
+
+
+def dissolve_overlap(spark, sf):
+    """Union of plots that overlap the next one by a quarter."""
+    return _outline_facts(settle(R.dissolve(_plot_edges(spark, sf, 125), "group_id", 500.0), "outline"), "group_id").drop("length_m")
+
+
+def coverage_faults(spark, sf):
+    """T-junctions of the plots as they come, and the area that overlapping ones cover twice."""
+    plots, wide = _plot_edges(spark, sf), _plot_edges(spark, sf, 125)
+    union = settle(R.dissolve(wide, "group_id", 500.0), "outline")
+    single = P.polygon_area(P.with_origin(union, "group_id"), "group_id")
+    return (
+        R.coverage_check(plots, "group_id", 500.0).join(P.polygon_area(wide, "group_id").withColumnRenamed("area_m2", "whole"), "group_id")
+        .join(single, "group_id").selectExpr("group_id", "open_vertices", "t_junctions", "crossings", f"{round_to('whole - area_m2', 2)} AS overlap_m2")
+    )
+
+
+def outline_rings(spark, sf):
+    """Rings of the dissolved plots: shells and holes with length and signed area."""
+    rings = R.trace(R.dissolve(_plot_edges(spark, sf), "group_id", 500.0), "group_id")
+    return R.ring_facts(rings, "group_id").groupBy(
+        "group_id", F.expr(f"{round_to('length_m', 3)} AS length_m"), F.expr(f"{round_to('area_m2', 3, signed=True)} AS area_m2")
+    ).agg(F.expr("count(1) AS rings"))
+
+
+def outline_shapes(spark, sf):
+    """The same as text, read back: rings, shells and the area within."""
+    shapes = R.outline_shapes(R.dissolve(_plot_edges(spark, sf), "group_id", 500.0), "group_id", 500.0)
+    points = "transform(split(r, ', '), p -> struct(double(split(p, ' ')[0]) - 380000 AS x, double(split(p, ' ')[1]) - 5810000 AS y))"
+    ring_area = "aggregate(sequence(1, size(q) - 1), 0D, (acc, i) -> acc + (q[i - 1].x * q[i].y - q[i].x * q[i - 1].y) / 2)"
+    return shapes.selectExpr(
+        "group_id", "rings", "size(split(geometry, '[(][(]')) - 1 AS shells",
+        "explode(filter(split(substring(geometry, 14), '[()]+'), r -> r RLIKE '[0-9]')) AS r",
+    ).selectExpr("group_id", "rings", "shells", f"{points} AS q").groupBy("group_id", "rings", "shells").agg(
+        F.expr(f"{round_to(f'sum({ring_area})', 2)} AS area_m2")
+    )
 
 
 def outline_check(spark, sf):
     outline = districts(spark, sf)
     return (
         P.outline_length(outline, "bezirk_code")
-        .join(P.coverage_check(outline, "bezirk_code"), "bezirk_code")
+        .join(R.coverage_check(outline, "bezirk_code"), "bezirk_code")
         .join(S.district_names(outline), "bezirk_code")
     )
 
@@ -641,6 +697,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         polygon_centroid,
         multipart_area,
         dissolve_regions,
+        dissolve_tjunction,
+        dissolve_overlap,
+        coverage_faults,
+        outline_rings,
+        outline_shapes,
         outline_check,
         points_in_areas,
         points_in_stands,

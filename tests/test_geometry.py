@@ -7,6 +7,7 @@ from geo import A1, A2, B1, B2, SQUARE, inside, polygons, shift
 from hexloom.functions.hexgrid import edge_length, hex_boundary, hex_cell, hex_center
 from hexloom.functions.projection import lonlat_to_utm33, utm33_to_lonlat
 from hexloom.operators import cells as C
+from hexloom.operators import outlines as R
 from hexloom.operators import overlay as O
 from hexloom.operators import polygons as P
 
@@ -57,15 +58,15 @@ def test_touching_squares_do_not_overlap_and_dissolve(spark):
     other = edges.withColumnRenamed("id", "other")
     pairs = O.polygon_overlap_area(edges, "id", other, "other", 2.0)
     assert {(r["id"], r["other"]) for r in pairs.collect()} == {("a", "a"), ("b", "b")}
-    outline = P.dissolve(edges.withColumn("g", F.lit(1)), "g")
+    outline = R.dissolve(edges.withColumn("g", F.lit(1)), "g")
     assert outline.count() == 6
-    assert P.coverage_check(outline, "g").first()["open_vertices"] == 0
+    assert R.coverage_check(outline, "g").first()["open_vertices"] == 0
     assert P.polygon_area(P.with_origin(outline, "g"), "g").first()["area_m2"] == 2.0
 
 
 def test_coverage_check_reports_open_outlines(spark):
     edges = P.edges(polygons(spark, a=SQUARE), "id").filter("x1 != 1 OR x2 != 1")
-    assert P.coverage_check(edges, "id").first()["open_vertices"] == 2
+    assert R.coverage_check(edges, "id").first()["open_vertices"] == 2
 
 
 @pytest.mark.parametrize("side", [0.7, 3.0, 40.0])
@@ -125,7 +126,7 @@ def test_neighbouring_cells_share_corners_exactly(spark):
         f"{hex_cell('x', 'y', 8)} AS cell"
     )
     patch = C.hex_disk(base, "cell", 2, "n").selectExpr("n AS cell")
-    outline = P.dissolve(C.hex_edges(patch).withColumn("g", F.lit(1)), "g")
+    outline = R.cancel_shared(C.hex_edges(patch).withColumn("g", F.lit(1)), "g")
     assert outline.count() == 30  # a disk of radius two has 6 * 5 border sides
     corners = patch.selectExpr(f"explode({hex_boundary('cell')}) AS p").distinct().count()
     assert corners == 54

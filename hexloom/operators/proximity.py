@@ -46,13 +46,19 @@ def duplicate_sites(
       category;
     * candidates meet on (grid cell, category key) with cells four radii wide; a site is repeated
       into a neighbouring cell only when it lies within the radius of it (2.25 copies on average);
-    * groups that hold a single source are dropped by a min/max aggregate before any pair is looked
-      at, so a dense place known to one source only costs nothing;
+    * a first pass uses cells so small that all their sites are partners of each other: there the
+      least and the largest source of an agreeing category decide without a pair, however many sites
+      a cell holds;
+    * for the other sites, groups that hold a single source are dropped by a min/max aggregate before
+      any pair is looked at, so a dense place known to one source only costs nothing;
     * the rest is a semi join, which stops at the first partner and emits no pairs; hot cells are
       split by adaptive skew handling on the probing side.
     """
     side = 4.0 * radius
-    sites = _sites(points, x, y, source, category)
+    all_sites = _sites(points, x, y, source, category)
+    crowded = _crowded(all_sites, radius)
+    same = F.expr("a._x = c._x AND a._y = c._y AND a._source = c._source AND a._cat <=> c._cat")
+    sites = all_sites.alias("a").join(crowded.alias("c"), same, "left_anti")
 
     # A site with a category meets equal categories and missing ones; one without meets anything.
     probes = sites.selectExpr(
@@ -62,7 +68,7 @@ def duplicate_sites(
         f"coalesce(floor(_y / {num(side)}), 0L) AS cy",
         f"explode(if(_cat IS NULL, array('{_ANY_KEY}'), array(_cat, '{_NULL_KEY}'))) AS _key",
     )
-    offers = sites.selectExpr(
+    offers = all_sites.selectExpr(
         "_x AS _ox",
         "_y AS _oy",
         "_source AS _osource",
@@ -86,10 +92,22 @@ def duplicate_sites(
         hopeful.alias("p")
         .join(offers.alias("o"), match, "left_semi")
         .select("_x", "_y", "_source", "_cat")
+        .unionByName(crowded)
         .distinct()
     )
 
 
+def _crowded(sites: DataFrame, radius: float) -> DataFrame:
+    """Sites that share a cell of diagonal ``radius`` with an agreeing site of another source."""
+    small = num(radius / 2**0.5 * (1 - 1e-6))
+    placed = sites.selectExpr("*", f"floor(_x / {small}) AS sx", f"floor(_y / {small}) AS sy")
+    offered = placed.selectExpr("sx", "sy", "_source", f"explode(array(coalesce(_cat, '{_NULL_KEY}'), '{_ANY_KEY}')) AS _key")
+    sources = offered.groupBy("sx", "sy", "_key").agg(F.min("_source").alias("_lo"), F.max("_source").alias("_hi"))
+    asking = placed.selectExpr("*", f"explode(if(_cat IS NULL, array('{_ANY_KEY}'), array(_cat, '{_NULL_KEY}'))) AS _key")
+    several = F.expr("p.sx = s.sx AND p.sy = s.sy AND p._key = s._key AND (s._lo != p._source OR s._hi != p._source)")
+    return asking.alias("p").join(sources.alias("s"), several, "left_semi").select("_x", "_y", "_source", "_cat").distinct()
+
+
 def flag_duplicates(
     points: DataFrame,
     x: str = "x",
@@ -98,8 +116,17 @@ def flag_duplicates(
     category: str = "genus_latin",
     radius: float = 2.0,
     flag: str = "is_potential_duplicate",
+    id: str | None = None,
 ) -> DataFrame:
-    """All points plus a boolean; duplicates are marked, never removed."""
+    """All points plus a boolean; duplicates are marked, never removed.
+
+    With ``id`` the flag goes by key: every row whose id belongs to a duplicate carries it, wherever it
+    lies, and rows without an id never do, though they may be the partners of others.
+    """
+    if id is not None:
+        hits = proximity_duplicates(points, id, x, y, source, category, radius).filter(F.col(id).isNotNull())
+        marked = points.join(hits.select(F.col(id).alias("_hit")), F.col(id) == F.col("_hit"), "left")
+        return marked.select(*[points[c] for c in points.columns], F.col("_hit").isNotNull().alias(flag))
     found = duplicate_sites(points, x, y, source, category, radius).withColumn("_hit", F.lit(True))
     same = (
         (F.col(x) == F.col("_x"))

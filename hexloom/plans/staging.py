@@ -61,7 +61,7 @@ def unify_sources(staged: dict[str, DataFrame]) -> DataFrame:
 def unified_points(raw: dict[str, DataFrame], radius: float = 2.0) -> DataFrame:
     """Raw inventories to the unified table with the duplicate flag."""
     points = unify_sources({source: stage_points(df, source) for source, df in raw.items()})
-    return flag_duplicates(points, radius=radius)
+    return flag_duplicates(points, radius=radius, id="tree_uuid")
 
 
 def stage_neighbourhoods(raw: DataFrame) -> DataFrame:

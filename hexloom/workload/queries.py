@@ -123,6 +123,21 @@ def proximity_dups(spark, sf):
     return X.proximity_duplicates(D.points_u(spark, sf), "tree_id")
 
 
+def duplicate_ids(spark, sf):
+    """The flag goes by key: some ids are missing, others stand on many rows."""
+    points = D.points_u(spark, sf).withColumn(
+        "tree_id", F.expr("CASE WHEN tree_id % 89 = 0 THEN NULL WHEN tree_id % 83 = 0 THEN '7' ELSE tree_id END")
+    )
+    flagged = X.flag_duplicates(points, id="tree_id")
+    return flagged.groupBy("tree_id", "source", "is_potential_duplicate").agg(F.expr("count(1) AS n"))
+
+
+def crowded_dups(spark, sf):
+    """Thousands of points of all sources within a few metres."""
+    points = D.points_u(spark, sf).withColumns({c: F.expr(f"{c} - 0.99D * ({c} - {o})") for c, o in (("x", 380000), ("y", 5810000))})
+    return X.proximity_duplicates(points, "tree_id")
+
+
 def hex_disk_expand(spark, sf):
     base = cells_d(spark, sf).select("cell").distinct()
     ring = C.hex_disk(base, "cell", 1, "n").selectExpr("n AS cell")
@@ -431,6 +446,15 @@ def price_quantiles(spark, sf):
     return ranks.selectExpr("grp", "fraction", f"{round_to('cont', 4)} AS cont", "disc")
 
 
+def narrow_quantiles(spark, sf):
+    """Many distinct values in a range too narrow for any common scale."""
+    items = D.table(spark, sf, "lineitem").selectExpr(
+        "l_linestatus AS grp", "1000000 + (l_orderkey * 7919 + l_linenumber * 104729) % 5000000 / 1000D AS v"
+    )
+    ranks = U.rank_values(items, "grp", "v", [0.0, 0.1, 0.5, 0.95, 1.0], bound=1000)
+    return ranks.selectExpr("grp", "fraction", f"{round_to('cont', 4)} AS cont", "disc")
+
+
 def density_rank(spark, sf):
     levels = settle(_simple_levels(spark, sf), "levels")
     ranked = M.ranked_mart(levels, U.density_quantiles(levels))
@@ -690,6 +714,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         source_mix,
         share_of_total,
         proximity_dups,
+        duplicate_ids,
+        crowded_dups,
         hex_disk_expand,
         hex_corners,
         hex_geometry,
@@ -724,6 +750,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         nest_summary,
         density_quantiles,
         price_quantiles,
+        narrow_quantiles,
         density_rank,
         linear_rank,
         cover_bands,

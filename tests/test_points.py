@@ -182,3 +182,30 @@ def test_staging_and_unify(spark):
     assert set(rows) == {"1", "9"} and rows["1"]["planting_year"] == 1991
     assert rows["9"]["tree_age"] is None and rows["9"]["genus_german"] is None
     assert len({r["tree_uuid"] for r in rows.values()}) == 2
+
+
+def test_dense_cells_test_no_pairs(spark):
+    """A place full of two sources is decided by aggregates; only its rim is left for pairs."""
+    rng = random.Random(3)
+    rows = [(f"{i}", "ab"[i % 2], "g", 1000 + rng.random(), 1000 + rng.random()) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, POINTS)
+    sites = X._sites(frame, "x", "y", "source", "genus_latin")
+    assert X._crowded(sites, 2.0).count() == 20_000
+    assert X.proximity_duplicates(frame, "tree_id").count() == 20_000
+
+
+def test_flag_by_key(spark):
+    rows = [("1", "a", "g", 0.0, 0.0), ("1", "a", "g", 900.0, 0.0), (None, "b", "g", 1.0, 0.0), (None, "c", "g", 500.0, 0.0), ("2", "c", "h", 0.0, 0.0)]
+    got = X.flag_duplicates(spark.createDataFrame(rows, POINTS), id="tree_id").collect()
+    assert sorted((r["x"], r["source"]) for r in got if r["is_potential_duplicate"]) == [(0.0, "a"), (900.0, "a")] and len(got) == 5
+
+
+def test_quantiles_of_a_narrow_range(spark):
+    """A million distinct values of one key within half a percent: no bucket to order exceeds the bound."""
+    frame = spark.range(1_000_000).selectExpr("'k' AS k", "1e6D + id * 0.005D AS v", "1L AS n")
+    rows, _ = U.rank_buckets(frame, "k", [0.0, 0.5, 0.95], bound=5000)
+    assert rows.groupBy("k", "part").count().agg({"count": "max"}).first()[0] <= 5000
+    got = {r["fraction"]: (r["cont"], r["disc"]) for r in U.rank_values(frame, "k", "v", [0.0, 0.5, 0.95], bound=5000).collect()}
+    assert got[0.0] == (1e6, 1e6) and got[0.5][1] == pytest.approx(1e6 + 499_999 * 0.005) and got[0.5][0] == pytest.approx(1e6 + 499_999.5 * 0.005)
+    odd = spark.createDataFrame([("k", v) for v in (float("inf"), -1e300, 0.0, -0.0, 5e-324, None, float("nan"), 1e300)], "k string, v double")
+    assert {r["fraction"]: r["disc"] for r in U.rank_values(odd, "k", "v", [0.0, 1.0], bound=1).collect()} == {0.0: -1e300, 1.0: float("inf")}

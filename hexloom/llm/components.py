@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexloom.llm.common import discard
 from hexloom.llm.skew import join_groups
 from hexloom.session import settle
 
@@ -32,7 +33,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         links = settle(edges.selectExpr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))"), "links")
         large = settle(_star(links, "v > u"), "large")
         down = settle(large.selectExpr("greatest(a, b) AS u", "least(a, b) AS v"), "down")
-        edges = settle(_star(down, "true"), "small")
+        last, edges = edges, settle(_star(down, "true"), "small")
+        for finished in (last, links, large, down):
+            discard(finished)
         state = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first()
         if state == before:
             break

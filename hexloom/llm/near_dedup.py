@@ -1,9 +1,11 @@
 """Near duplicates: MinHash bands find candidates, odd sketches screen them, full sets confirm them.
 
-A document's set holds its distinct shingles of five words. 128 minima per set give 32 bands of four,
-which miss a pair of similarity 0.75 with a probability of 5e-6. The minima are also folded into a
-parity bitmap of 256 bits; the number of ones in the XOR of two bitmaps estimates high similarities
-closely, and pairs that it places six deviations below the threshold leave before any set is read.
+A document's set holds its distinct shingles of five words. 384 minima per set give 64 bands of six,
+which miss a pair of similarity 0.75 with a probability of 4e-6. The minima are also folded into a
+parity bitmap of 1024 bits; the number of ones in the XOR of two bitmaps estimates high similarities
+closely, and pairs that it places six deviations below the threshold leave before any set is read, as do
+pairs whose sizes alone rule the threshold out. Of unrelated pairs next to none pass, of pairs at 0.3
+about one in a hundred.
 
 Work stays linear in groups of copies. Documents with the same set are one class, of which only the
 representative goes on. In a bucket, members are first compared with two of its members only and
@@ -13,7 +15,8 @@ still in different components, in blocks, and only survivors of the screen leave
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text under five
 words is one shingle; a null id never names a component, and a group of null ids has a null one;
-repeated ids and rows are members of one class; an empty table gives an empty result; other columns
+repeated rows are members of one class, and rows that share an id are told apart by their sets, when
+links are found and when rows are dropped; an empty table gives an empty result; other columns
 of the input take no part.
 """
 
@@ -33,16 +36,20 @@ from hexloom.llm.components import components
 from hexloom.llm.skew import join_groups
 from hexloom.session import settle
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 64, 6
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 256
+SKETCH_BITS = 1024
 PERCENT = 75
 #: Members of a large bucket compared with each other at a time.
 BLOCK = 256
 #: Rounds of random meetings before what is left of a bucket is compared as a whole.
 ROUNDS = 3
 
-_SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<bigint>"
+#: The sketch as 64-bit columns.
+_PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_SIGNATURE = f"doc_id long, h long, n_shingles long, d1 long, d2 long, {', '.join(f'{c} long' for c in _PARTS)}, bands array<bigint>"
+#: A class of equal sets, by its digests.
+_CLASS = "xxhash64(d1, d2, n_shingles)"
 
 
 def _largest_difference(similarity: float) -> int:
@@ -62,8 +69,8 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
 def _minima(values: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
     low = values.astype(np.uint32)
     out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 4096):
-        np.minimum(out, (factor * low[at : at + 4096] + shift).min(axis=1), out=out)
+    for at in range(0, len(low), 512):
+        np.minimum(out, (factor * low[at : at + 512] + shift).min(axis=1), out=out)
     return out
 
 
@@ -73,13 +80,20 @@ def _odd_sketch(minima: np.ndarray) -> np.ndarray:
         salted = (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32)) | minima.astype(np.uint64)
         z = salted * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    flips = np.bincount((z >> np.uint64(56)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    flips = np.bincount((z >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _digests(own: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set."""
+    mult = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+    sums = [np.uint64(((own ^ (own >> np.uint64(31))) * m).sum()).view(np.int64) for m in mult]
+    return int(sums[0]), int(sums[1] ^ np.bitwise_xor.reduce(own * mult[0]).view(np.int64))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factor, shift = _multipliers()
-    hashes, mult = WordHashes(), np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+    hashes = WordHashes()
     old = np.seterr(over="ignore")
     try:
         for batch in batches:
@@ -87,7 +101,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in batch.column(1):
                 own = np.unique(shingles(hashes.of(words(text.as_py()))))
                 if not len(own):
-                    numbers.append((0, 0, 0, 0, 0, 0, 0))
+                    numbers.append((0,) * (3 + len(_PARTS)))
                     bands.append([])
                     continue
                 minima = _minima(own, factor, shift)
@@ -96,13 +110,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(ROWS):
                     key = (key ^ keyed[:, i]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(32)
-                digest = [np.uint64(((own ^ (own >> np.uint64(31))) * m).sum()).view(np.int64) for m in mult]
-                second = np.bitwise_xor.reduce(own * mult[0]).view(np.int64)
-                numbers.append((len(own), int(digest[0]), int(digest[1] ^ second), *map(int, _odd_sketch(minima))))
+                numbers.append((len(own), *_digests(own), *map(int, _odd_sketch(minima))))
                 bands.append(key.view(np.int64))
-            columns = list(zip(*numbers, strict=True)) if numbers else [[]] * 7
+            columns = list(zip(*numbers, strict=True)) if numbers else [[]] * (3 + len(_PARTS))
             yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array(bands, pa.list_(pa.int64()))],
+                [batch.column(0).cast(pa.int64()), batch.column(2), *(pa.array(c, pa.int64()) for c in columns), pa.array(bands, pa.list_(pa.int64()))],
                 names=[f.split(" ")[0] for f in _SIGNATURE.split(", ")],
             )
     finally:
@@ -114,35 +126,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     old = np.seterr(over="ignore")
     try:
         for batch in batches:
-            own = [np.unique(shingles(hashes.of(words(t.as_py())))).view(np.int64) for t in batch.column(1)]
+            own = [np.unique(shingles(hashes.of(words(t.as_py())))) for t in batch.column(0)]
+            digests = [*zip(*map(_digests, own), strict=True)] or [[], []]
             yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["rep", "own"]
+                [
+                    *(pa.array(d, pa.int64()) for d in digests), pa.array([len(o) for o in own], pa.int64()),
+                    pa.array([o.view(np.int64) for o in own], pa.list_(pa.int64())),
+                ],
+                names=["d1", "d2", "n_shingles", "own"],
             )
     finally:
         np.seterr(**old)
 
 
 def _differing(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(4))
+    return " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(len(_PARTS)))
+
+
+def _sizes_fit(n: str, m: str) -> str:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
 
 
 def _screened(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
     """Pairs (a, b) whose sketches differ in ``limit`` bits at most."""
     degrees = settle(pairs.groupBy("b").agg(F.expr("count(1) AS degree")), "degrees")
-    mine = sketches.selectExpr("rep AS a", *[f"s{i} AS p{i}" for i in range(4)])
+    mine = sketches.selectExpr("rep AS a", "n_shingles AS n", *[f"{c} AS p{c[1:]}" for c in _PARTS])
     centres = settle(
-        degrees.join(sketches.selectExpr("rep AS b", *[f"s{i} AS q{i}" for i in range(4)]), "b"), "centres"
+        degrees.join(sketches.selectExpr("rep AS b", "n_shingles AS m", *[f"{c} AS q{c[1:]}" for c in _PARTS]), "b"), "centres"
     )
-    return join_groups(pairs, centres, ["b"], "degree").join(mine, "a").filter(f"{_differing('p', 'q')} <= {limit}").select("a", "b")
+    near = f"{_sizes_fit('n', 'm')} AND {_differing('p', 'q')} <= {limit}"
+    return join_groups(pairs, centres, ["b"], "degree").join(mine, "a").filter(near).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold; texts are read again for the documents in question only."""
-    ids = settle(pairs.selectExpr("inline(array(struct(a AS rep), struct(b AS rep)))").distinct(), "ids")
-    asked, segments = bloom.build(ids, "rep", ids.count())
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose full sets reach the threshold; texts are read again for the classes in question only.
+
+    A class is read from the row of its smallest id whose set has the class's digests.
+    """
+    ids = settle(pairs.selectExpr("inline(array(struct(a AS rep), struct(b AS rep)))").distinct().join(classes.select("rep", "first"), "rep"), "ids")
+    asked, segments = bloom.build(ids, "first", ids.count())
     texts = bloom.possibly(docs.filter("doc_id IS NOT NULL"), "doc_id", settle(asked, "filter"), segments, "__asked")
-    sets = texts.filter("__asked").select("doc_id", "text").mapInArrow(_sets, "rep long, own array<bigint>")
-    sets = settle(sets.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    sets = texts.filter("__asked").select("text").mapInArrow(_sets, "d1 long, d2 long, n_shingles long, own array<bigint>")
+    sets = settle(sets.selectExpr(f"{_CLASS} AS rep", "own").join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
     # A centre with very many partners is repeated once for every 256 of them, so that no task gets them all.
     parts = pairs.groupBy("b").agg(F.expr("cast(ceil(count(1) / 256) as int) AS parts"))
     spread = pairs.join(parts, "b").withColumn("part", F.expr("cast(pmod(xxhash64(a), parts) as int)"))
@@ -152,23 +178,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b")
 
 
-def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n_shingles, d1, d2, component_id) of every row of (doc_id, text, h)."""
+    small_batches(docs.sparkSession)
     signed = settle(docs.mapInArrow(_sign, _SIGNATURE), "signatures")
     limit = _largest_difference(PERCENT / 100)
 
-    # One representative for each distinct set.
+    # One class for each distinct set, read from the row of its smallest id.
     classes = settle(
-        signed.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.expr("count(1) AS copies")),
+        signed.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first"), F.expr("count(1) AS copies"))
+        .withColumn("rep", F.expr(_CLASS)),
         "classes",
     )
     named = signed.join(
-        classes.filter("rep IS NOT NULL").selectExpr("rep AS doc_id", "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi"
-    ).dropDuplicates(["doc_id"])
-    reps = settle(named.selectExpr("doc_id AS rep", "s0", "s1", "s2", "s3", "bands"), "reps")
+        classes.selectExpr("first AS doc_id", "d1", "d2", "n_shingles", "rep"), ["doc_id", "d1", "d2", "n_shingles"]
+    ).dropDuplicates(["rep"])
+    reps = settle(named.select("rep", "n_shingles", *_PARTS, "bands"), "reps")
     sketches = reps.drop("bands")
 
     # Buckets of two or more, and the two members that all others are compared with first.
@@ -181,7 +206,7 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     met = settle(join_groups(entries, buckets, ["band", "bucket"], "members"), "met")
     pairs = met.selectExpr("inline(array(struct(rep AS a, c1 AS b), struct(rep AS a, c2 AS b)))").filter("a != b").distinct()
-    links = settle(_confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs), "links")
+    links = settle(_confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs, classes), "links")
     found = components(links, "a", "b")
 
     # Buckets whose members are still in different components. First, in rounds, every member meets up to
@@ -207,45 +232,57 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         drawn = settle(drawn.selectExpr("greatest(rep, other) AS a", "least(rep, other) AS b").distinct(), "drawn")
         if drawn.isEmpty():
             break
-        links = settle(links.unionByName(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs)), "links")
+        links = settle(links.unionByName(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs, classes)), "links")
         found = components(links, "a", "b")
 
     # Then the pairs of a bucket that are still apart, block by block.
     mixed = mixed.drop("centre")
     open_rows = join_groups(labelled.drop("members"), mixed.drop("lo", "hi"), ["band", "bucket"], "members")
     open_rows = open_rows.filter("rep != c1 AND rep != c2").join(sketches, "rep").selectExpr(
-        "band", "bucket", "rep", "label", "s0", "s1", "s2", "s3",
+        "band", "bucket", "rep", "label", "n_shingles", *_PARTS,
         f"cast(ceil(members / {BLOCK}) as int) AS blocks", f"cast(pmod(xxhash64(rep, 3), ceil(members / {BLOCK})) as int) AS block",
     )
     open_rows = settle(open_rows, "open")
     left = open_rows.selectExpr("*", "block AS bi", "explode(sequence(block, blocks - 1)) AS bj")
     right = open_rows.selectExpr(
-        "band", "bucket", "rep AS rep2", "label AS label2", "block AS bj", *[f"s{i} AS t{i}" for i in range(4)], "explode(sequence(0, block)) AS bi"
+        "band", "bucket", "rep AS rep2", "label AS label2", "n_shingles AS m", "block AS bj", *[f"{c} AS t{c[1:]}" for c in _PARTS], "explode(sequence(0, block)) AS bi"
     )
     across = left.join(right, ["band", "bucket", "bi", "bj"]).filter(
-        f"label != label2 AND (bi < bj OR rep < rep2) AND {_differing('s', 't')} <= {limit}"
+        f"label != label2 AND (bi < bj OR rep < rep2) AND {_sizes_fit('n_shingles', 'm')} AND {_differing('s', 't')} <= {limit}"
     )
     more_pairs = settle(across.selectExpr("greatest(rep, rep2) AS a", "least(rep, rep2) AS b").distinct(), "across")
     if not more_pairs.isEmpty():
-        found = components(links.unionByName(_confirmed(more_pairs, docs)), "a", "b")
+        found = components(links.unionByName(_confirmed(more_pairs, docs, classes)), "a", "b")
 
-    named_classes = settle(
-        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr(
-            "d1", "d2", "n_shingles", "copies", "coalesce(component, rep) AS component_id"
-        ),
-        "named",
-    )
-    slim = signed.select("doc_id", "n_shingles", "d1", "d2")
+    # A component is named by the smallest id in any of its classes.
+    joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.expr("coalesce(component, rep)"))
+    smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    named_classes = settle(joined.join(smallest, "label").select("d1", "d2", "n_shingles", "copies", "component_id"), "named")
+    slim = signed.select("doc_id", "h", "n_shingles", "d1", "d2")
     linked = join_groups(slim.filter("n_shingles > 0"), named_classes, ["d1", "d2", "n_shingles"], "copies")
-    blank = slim.filter("n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id")
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(blank).withColumn(
-        "kept", F.expr("doc_id <=> component_id")
-    )
+    blank = slim.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return linked.select(*blank.columns).unionByName(blank)
+
+
+def _plain(docs: DataFrame, id: str, text: str) -> DataFrame:
+    own = F.col(text).cast("string")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), own.alias("text"), F.xxhash64(own).alias("h"))
+
+
+def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    found = _labelled(_plain(docs, id, text)).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``near_components`` doesn't keep."""
+    """``docs`` with one document of each component, the one with its smallest id.
+
+    Rows go by id and text, so a row with a text of its own stays though its id also stands on a
+    repeated one. Rows without an id always stay.
+    """
     from hexloom.llm.exact_dedup import without_ids
 
-    dropped = near_components(docs, id, text).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped"))
-    return without_ids(docs, settle(dropped, "dropped"), "__dropped", id)
+    found = _labelled(_plain(docs, id, text)).filter("doc_id != component_id")
+    dropped = settle(found.selectExpr("doc_id AS __dropped", "h AS __of").distinct(), "dropped")
+    return without_ids(docs, dropped, "__dropped", id, F.xxhash64(F.col(text).cast("string")))

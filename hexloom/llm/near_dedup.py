@@ -8,10 +8,11 @@ pairs whose sizes alone rule the threshold out. Of unrelated pairs next to none
 about one in a hundred.
 
 Work stays linear in groups of copies. Documents with the same set are one class, of which only the
-representative goes on. In a bucket, members are first compared with two of its members only and
-joined into components; in further rounds members meet a few random ones of other components, which
-soon joins large groups. The remaining pairs of a bucket are compared only between members that are
-still in different components, in blocks, and only survivors of the screen leave the join.
+representative goes on. First a few bands alone join large groups: a member is compared with at most four
+of the smallest members of its buckets. Then only buckets of any band that hold more than one component
+are opened. In rounds their members meet a few random ones of other components; the pairs that are
+left are compared only between members still in different components, in blocks, and only survivors of
+the screen leave the join.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text under five
 words is one shingle; a null id never names a component, and a group of null ids has a null one;
@@ -42,6 +43,8 @@ SKETCH_BITS = 1024
 PERCENT = 75
 #: Members of a large bucket compared with each other at a time.
 BLOCK = 256
+#: Bands that large groups are joined by before the others are looked at.
+FIRST_BANDS = 8
 #: Rounds of random meetings before what is left of a bucket is compared as a whole.
 ROUNDS = 3
 
@@ -196,25 +199,35 @@ def _labelled(docs: DataFrame) -> DataFrame:
     reps = settle(named.select("rep", "n_shingles", *_PARTS, "bands"), "reps")
     sketches = reps.drop("bands")
 
-    # Buckets of two or more, and the two members that all others are compared with first.
-    entries = reps.selectExpr("rep", "posexplode(bands) AS (band, bucket)")
+    # A few bands: buckets of two or more, and the smallest member of each in up to four draws a row.
+    entries = reps.selectExpr("rep", f"posexplode(slice(bands, 1, {FIRST_BANDS})) AS (band, bucket)")
     buckets = settle(
-        entries.groupBy("band", "bucket")
-        .agg(F.min("rep").alias("c1"), F.expr("min_by(rep, xxhash64(rep)) AS c2"), F.expr("count(1) AS members"))
-        .filter("members > 1"),
-        "buckets",
+        entries.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.expr("count(1) AS members")).filter("members > 1"), "buckets"
     )
-    met = settle(join_groups(entries, buckets, ["band", "bucket"], "members"), "met")
-    pairs = met.selectExpr("inline(array(struct(rep AS a, c1 AS b), struct(rep AS a, c2 AS b)))").filter("a != b").distinct()
+    met = join_groups(entries, buckets, ["band", "bucket"], "members")
+    pairs = met.filter("rep != least").groupBy("rep", F.expr("band % 4 AS draw")).agg(F.min("least").alias("b")).selectExpr("rep AS a", "b").distinct()
     links = settle(_confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs, classes), "links")
     found = components(links, "a", "b")
 
+    # All bands: only the members of buckets with several components go on.
+    named = reps.select("rep", "bands").join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr(
+        "rep", "coalesce(component, rep) AS label", "posexplode(bands) AS (band, bucket)"
+    )
+    several = settle(
+        named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("count(1) AS members"))
+        .filter("lo != hi").select("band", "bucket", "members"),
+        "several",
+    )
+    asked, segments = bloom.build(several, "bucket", several.count())
+    likely = bloom.possibly(named.drop("label"), "bucket", settle(asked, "filter"), segments, "__open").filter("__open").drop("__open")
+    met = settle(join_groups(settle(likely, "likely"), several, ["band", "bucket"], "members"), "met")
+
     # Buckets whose members are still in different components. First, in rounds, every member meets up to
     # four random members of other components, which joins what belongs to a large group.
     for turn in range(ROUNDS + 1):
-        labelled = met.filter("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        labelled = met.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         labelled = settle(
-            labelled.selectExpr("band", "bucket", "rep", "members", "c1", "c2", "coalesce(component, rep) AS label"), "labelled"
+            labelled.selectExpr("band", "bucket", "rep", "members", "coalesce(component, rep) AS label"), "labelled"
         )
         mixed = settle(
             labelled.groupBy("band", "bucket").agg(
@@ -238,7 +251,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     # Then the pairs of a bucket that are still apart, block by block.
     mixed = mixed.drop("centre")
     open_rows = join_groups(labelled.drop("members"), mixed.drop("lo", "hi"), ["band", "bucket"], "members")
-    open_rows = open_rows.filter("rep != c1 AND rep != c2").join(sketches, "rep").selectExpr(
+    open_rows = open_rows.join(sketches, "rep").selectExpr(
         "band", "bucket", "rep", "label", "n_shingles", *_PARTS,
         f"cast(ceil(members / {BLOCK}) as int) AS blocks", f"cast(pmod(xxhash64(rep, 3), ceil(members / {BLOCK})) as int) AS block",
     )

@@ -168,11 +168,11 @@ def grown_by_hand(texts, root):
     return p
 
 
-@pytest.mark.parametrize("common", [1e-6, 0.02, 1.0])
-def test_suffix_tree_against_the_definition(spark, monkeypatch, common):
+@pytest.mark.parametrize("most, hot", [(10**6, 2e-6), (20, 0.04), (0, 2.0)])
+def test_suffix_tree_against_the_definition(spark, monkeypatch, most, hot):
     """Whether values are broadcast, joined or both; texts with repeats, of which a seventh isn't learnt."""
-    monkeypatch.setattr(suffix_tree_lm, "COMMON", common)
-    monkeypatch.setattr(suffix_tree_lm, "HOT", 2 * common)
+    monkeypatch.setattr(suffix_tree_lm, "MOST", most)
+    monkeypatch.setattr(suffix_tree_lm, "HOT", hot)
     draw = np.random.default_rng(5)
     texts = {i: " ".join(f"w{min(int(z), 40)}" for z in draw.zipf(1.4, int(draw.integers(0, 30)))) for i in range(150)}
     texts |= {200 + i: "a fixed phrase that comes again" for i in range(12)}
@@ -202,6 +202,15 @@ def test_suffix_tree_keeps_long_contexts(spark):
     assert len(mixed) > len(texts) and all(mixed[i] < mixed[0] - 1 for i in mixed if i >= 3000)
 
 
+def test_suffix_tree_ends_with_long_repeats(spark):
+    """A passage of 300 words on many texts, and periodic ones, don't make the tree as deep as they are long."""
+    passage = " ".join(f"p{i * i % 1009}" for i in range(300))
+    texts = {i: f"own{i} {passage} end{i}" for i in range(40)} | {100 + i: "round and round " * (10 + i) for i in range(30)}
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    deep = {r["doc_id"]: (r["score"], r["base_score"]) for r in suffix_tree_lm.score(frame, depth=None).collect()}
+    assert len(deep) == len(texts) and all(s > b for s, b in deep.values())
+
+
 def test_hashes_of_long_strings_depend_on_every_word():
     draw = np.random.default_rng(3).integers(0, 1 << 64, 4000, dtype=np.uint64)
     for length in (3, 4, 5, 9, 17, 24):

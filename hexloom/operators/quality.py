@@ -49,6 +49,37 @@ def expect_min_rows(df: DataFrame, minimum: int) -> DataFrame:
     )
 
 
+def expect_all(
+    df: DataFrame, not_null: Sequence[str] = (), unique: Sequence[str] = (), in_set: Sequence[tuple[str, Sequence[str]]] = (), min_rows: int | None = None
+) -> DataFrame:
+    """(check, column, failures) of all rules from one scan of ``df``.
+
+    A row tells of each rule what concerns it: a null, a value that must be unique, one outside its set.
+    Equal tidings are counted before they are shuffled, so a value on a third of all rows is one row a
+    task; then each rule sums up what it counts as a failure. Several sets may be tried on one column.
+    """
+    told = [f"if({c} IS NULL, struct({i} AS rule, cast(NULL as string) AS value), NULL)" for i, c in enumerate(not_null)]
+    rules = [("not_null", c) for c in not_null]
+    for c in unique:
+        told.append(f"if({c} IS NOT NULL, struct({len(rules)} AS rule, cast({c} as string) AS value), NULL)")
+        rules.append(("unique", c))
+    for c, values in in_set:
+        known = ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+        told.append(f"if(cast({c} as string) NOT IN ({known}), struct({len(rules)} AS rule, cast({c} as string) AS value), NULL)")
+        rules.append(("accepted_values", c))
+    if min_rows is not None:
+        told.append(f"struct({len(rules)} AS rule, cast(NULL as string) AS value)")
+        rules.append(("min_rows", "*"))
+    kinds = ", ".join(f"struct({i} AS rule, '{check}' AS check, '{column}' AS column)" for i, (check, column) in enumerate(rules))
+    counts = df.selectExpr(f"inline(array_compact(array({', '.join(told)})))").groupBy("rule", "value").agg(F.expr("count(1) AS n"))
+    every = df.sparkSession.range(1).selectExpr(f"inline(array({kinds}))")
+    failures = (
+        "CASE check WHEN 'not_null' THEN coalesce(sum(n), 0L) WHEN 'unique' THEN count_if(n > 1) "
+        f"WHEN 'accepted_values' THEN count(n) ELSE if(coalesce(sum(n), 0L) <= {min_rows or 0}, 1L, 0L) END"
+    )
+    return every.join(counts, "rule", "left").groupBy("rule", "check", "column").agg(F.expr(f"{failures} AS failures")).drop("rule")
+
+
 def profile_table(df: DataFrame, columns: Sequence[str], high_null_pct: float = 20.0) -> DataFrame:
     """(column, rows, null_pct, high_null) per column, from one pass."""
     totals = df.agg(

@@ -524,19 +524,14 @@ def geometry_types(spark, sf):
 
 
 def expectations(spark, sf):
-    points = settle(
-        S.unify_sources({s: S.stage_points(df, s) for s, df in D.raw_inventories(spark, sf).items()}),
-        "unified",
+    points = S.unify_sources({s: S.stage_points(df, s) for s, df in D.raw_inventories(spark, sf).items()})
+    return Q.expect_all(
+        points,
+        not_null=["tree_id", "source", "tree_uuid", "genus_latin", "planting_year"],
+        unique=["tree_uuid", "species_latin"],
+        in_set=[("source", POINT_SOURCES), ("source", POINT_SOURCES[:1])],
+        min_rows=900_000,
     )
-    checks = [
-        Q.expect_not_null(points, ["tree_id", "source", "tree_uuid", "genus_latin", "planting_year"]),
-        Q.expect_unique(points, "tree_uuid"),
-        Q.expect_unique(points, "species_latin"),
-        Q.expect_in_set(points, "source", POINT_SOURCES),
-        Q.expect_in_set(points, "source", POINT_SOURCES[:1]),
-        Q.expect_min_rows(points, 900_000),
-    ]
-    return reduce(DataFrame.unionByName, checks)
 
 
 def missing_from_index(spark, sf):
@@ -592,6 +587,21 @@ def tile_thin(spark, sf):
     return T.tile_thin(tiles, 200, "cast(tree_id as bigint)").select("z", "tx", "ty", "tree_id")
 
 
+def _thinned(spark, sf, cap):
+    points = _points_lonlat(spark, sf).withColumn("tree_id", F.expr("cast(tree_id as bigint)"))
+    return T.tile_thin_densest(points, "tree_id", 6, 17, cap)
+
+
+def tile_thin_densest(spark, sf):
+    """Densest features leave crowded tiles first; survivors move up zoom by zoom."""
+    return _thinned(spark, sf, 200)[0]
+
+
+def tile_dropped(spark, sf):
+    """How many features each tile keeps and loses at a cap that only coarse tiles reach."""
+    return _thinned(spark, sf, 5000)[1]
+
+
 def export_layers(spark, sf):
     """Layers written by archive and layer, then read back."""
     lonlat = _points_lonlat(spark, sf)
@@ -766,6 +776,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tile_assign,
         tile_assign_boxes,
         tile_thin,
+        tile_thin_densest,
+        tile_dropped,
         export_layers,
         export_map,
         ingest_pages,

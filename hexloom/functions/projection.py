@@ -92,3 +92,16 @@ def tile_y(lat: str, zoom: str) -> str:
     tangent = f"tan(radians(greatest(least({lat}, {_EDGE}), -{_EDGE})))"
     height = f"ln({tangent} + sqrt({tangent} * {tangent} + 1D)) / {num(math.pi)}"
     return _in_grid(f"(1D - {height}) / 2D", zoom)
+
+
+def mercator(lon: str, lat: str) -> str:
+    """Place on the square web-mercator map: (u, v) from 0 to 1, v counted from the south."""
+    tangent = f"tan(radians(greatest(least({lat}, {_EDGE}), -{_EDGE})))"
+    height = f"ln({tangent} + sqrt({tangent} * {tangent} + 1D)) / {num(math.pi)}"
+    return f"named_struct('u', (({lon}) + 180D) / 360D, 'v', (1D + {height}) / 2D)"
+
+
+def degrees_text(x: str, y: str) -> str:
+    """Longitude and latitude of a place in metres as text, seven decimals."""
+    lon, lat = (f"if(p.{c} < 0, -1, 1) * floor(abs(p.{c}) * 1e7D + 0.5D) / 1e7D" for c in ("lon", "lat"))
+    return _let("p", utm33_to_lonlat(x, y), f"concat({lon}, ' ', {lat})")

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions.projection import tile_x, tile_y
+from hexloom.functions.projection import mercator, tile_x, tile_y, utm33_to_lonlat
 from hexloom.operators.histogram import top_k_per_group
+from hexloom.operators.polygons import cut_to_grid
 from hexloom.session import settle
 
 TILE = ("z", "tx", "ty")
@@ -34,6 +35,28 @@ def tile_assign_boxes(
     )
 
 
+def tile_shapes(edge_table: DataFrame, key: str, zoom_min: int, zoom_max: int) -> DataFrame:
+    """(key, z, tx, ty, share): tiles that polygons really overlap, with the covered share of the tile.
+
+    Edges come in metres. On the map a tile is a unit square, so cutting the scaled outline by the unit
+    grid clips the shape to every tile: tiles the outline runs through come from its edges, tiles inside
+    from the spans of each row. A shape of a whole continent spreads over its rows; no row of the table
+    stands for a whole zoom. Boxes that only touch a tile's bounding box give none.
+    """
+    ends = {n: mercator("q.lon", "q.lat").replace("q.", f"{n}.") for n in ("a", "b")}
+    scaled = (
+        edge_table.selectExpr(key, f"{utm33_to_lonlat('x1', 'y1')} AS a", f"{utm33_to_lonlat('x2', 'y2')} AS b")
+        .selectExpr(key, f"{ends['a']} AS a", f"{ends['b']} AS b")
+        .selectExpr(key, "a", "b", f"explode(sequence({zoom_min}, {zoom_max})) AS z")
+        .selectExpr(
+            f"struct({key}, z) AS kz", "a.u * pow(2D, z) AS x1", "a.v * pow(2D, z) AS y1", "b.u * pow(2D, z) AS x2", "b.v * pow(2D, z) AS y2"
+        )
+    )
+    slabs = cut_to_grid(scaled, "kz", 1.0)
+    shares = slabs.groupBy("kz", "bx", "by").agg(F.expr("sum(s * (x2 - x1) * (y1 + y2) / 2) AS share")).filter("share > 1e-12")
+    return shares.selectExpr(f"kz.{key}", "kz.z", "bx AS tx", "bigint(pow(2D, kz.z)) - 1 - by AS ty", "share")
+
+
 def tile_thin(tiles: DataFrame, cap: int, order: str) -> DataFrame:
     """At most ``cap`` features per tile, first in a stable order.
 

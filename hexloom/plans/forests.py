@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexloom.functions.numeric import round_to
+from hexloom.functions.projection import utm33_to_lonlat
 from hexloom.functions.wkt import multipolygon_wkt
 from hexloom.operators.cells import hex_cover, hex_edges, morph_close
 from hexloom.operators.outlines import cancel_shared
@@ -26,9 +28,12 @@ def clipped_stands(
 def stand_shapes(
     stands: DataFrame, boundary: DataFrame, boundary_key: str, side: float, stand_key: str = "stand_id"
 ) -> DataFrame:
-    """(stand, geometry): the clipped shape of each stand as MULTIPOLYGON text of trapezoids."""
+    """(stand, geometry): the clipped shape of each stand in degrees, as MULTIPOLYGON text of trapezoids."""
     slabs = clip_to_boundary(edges(stands, stand_key), stand_key, boundary, boundary_key, side)
     traps = trapezoid_rings(slab_trapezoids(slabs, stand_key), stand_key, side)
+    degrees = f"transform(ring, c -> {utm33_to_lonlat('c.x', 'c.y')})"
+    rounded = ", ".join(f"'{a}', {round_to(f'd.{b}', 7, signed=True)}" for a, b in (("x", "lon"), ("y", "lat")))
+    traps = traps.selectExpr(stand_key, f"transform({degrees}, d -> named_struct({rounded})) AS ring")
     # One list per stand: it is the geometry value of that one feature.
     parts = traps.groupBy(stand_key).agg(F.array_sort(F.collect_list(F.array("ring"))).alias("parts"))
     return parts.selectExpr(stand_key, f"{multipolygon_wkt('parts')} AS geometry")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hexloom.functions.hexgrid import hex_center
-from hexloom.functions.projection import utm33_to_lonlat
+from hexloom.functions.projection import degrees_text, utm33_to_lonlat
 from hexloom.functions.wkt import point_wkt
+from hexloom.operators.outlines import outline_shapes
 from hexloom.operators.polygons import polygon_centroid, with_origin
+from hexloom.plans.forests import clipped_stands, stand_shapes
 from hexloom.sources.export import export_layer
 from hexloom.sources.fixed_values import POINT_EXPORT_COLUMNS
 
@@ -52,3 +55,32 @@ def border_layer(outline: DataFrame, layer: str = "berlin_border") -> DataFrame:
     )
     line = "concat('LINESTRING (', a.lon, ' ', a.lat, ', ', b.lon, ' ', b.lat, ')') AS geometry"
     return export_layer(ends.selectExpr(line), layer)
+
+
+def shapes_in_degrees(outline: DataFrame, key: str, side: float = 250.0) -> DataFrame:
+    """(key, geometry): outlines as MULTIPOLYGON text in longitude and latitude."""
+    return outline_shapes(outline, key, side, degrees_text("x1", "y1")).drop("rings")
+
+
+def area_layers(mart: DataFrame, outline: DataFrame, key: str, layer: str) -> tuple[DataFrame, DataFrame]:
+    """Admin mart rows with the shape of their area, and with its centroid."""
+    rows = mart.selectExpr("cast(area_id as string) AS area_id", *[c for c in mart.columns if c != "area_id"])
+    shapes = shapes_in_degrees(outline, key).selectExpr(f"cast({key} as string) AS area_id", "geometry")
+    return export_layer(rows.join(shapes, "area_id"), layer), area_centroids(mart, outline, key, f"{layer}_centroids")
+
+
+def city_layers(summary: DataFrame, outline: DataFrame, key: str = "city_id") -> tuple[DataFrame, DataFrame]:
+    """The border as one shape, and the city's row with it. Both hold one row, so joining them costs nothing."""
+    border = shapes_in_degrees(outline, key).select("geometry")
+    row = summary.withColumn("one", F.lit(1)).join(border.withColumn("one", F.lit(1)), "one").drop("one")
+    return export_layer(border, "berlin_border"), export_layer(row, "agg_berlin")
+
+
+def forest_layers(
+    stands: DataFrame, boundary: DataFrame, boundary_key: str, forest_outline: DataFrame, side: float, stand_key: str = "stand_id"
+) -> tuple[DataFrame, DataFrame]:
+    """Stands inside the boundary with attributes, area and clipped shape; and the generalised forest."""
+    shaped = clipped_stands(stands, boundary, boundary_key, side, stand_key).join(
+        stand_shapes(stands, boundary, boundary_key, side, stand_key), stand_key
+    )
+    return export_layer(shaped, "forests"), export_layer(shapes_in_degrees(forest_outline, "layer").select("geometry"), "forests_union")

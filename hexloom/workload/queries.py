@@ -655,6 +655,49 @@ def export_map(spark, sf):
     )
 
 
+def export_all_layers(spark, sf):
+    """All seventeen layers with geometry in degrees, written by archive and read back."""
+    border = settle(city(spark, sf), "city")
+    mart = settle(_hex_mart(spark, sf, M.RESOLUTIONS), "mart")
+    outline = settle(districts(spark, sf), "districts")
+    hood, district = (settle(_area_mart(spark, sf, level), level) for level in ("ortsteile", "bezirke"))
+    levels = mart.selectExpr("concat('res', res) AS level", "tree_density_km2", "forest_cover_pct").unionByName(
+        M.mart_levels({"bezirke": district, "ortsteile": hood})
+    )
+    summary = M.city_summary(
+        D.points_d(spark, sf), D.stands(spark, sf), D.lookup(spark, sf), border, district, settle(levels, "levels"), LEVELS
+    )
+    points = S.unify_sources({s: S.stage_points(df, s) for s, df in D.raw_inventories(spark, sf).items()})
+    _, forest = W.forest_outline(D.stands(spark, sf), border, "city_id", res=11, k=1)
+    layers = [
+        L.point_layer(points),
+        *(layer for res in M.RESOLUTIONS for layer in L.hex_layers(mart, res)),
+        *L.area_layers(hood, area_edges(spark, sf), "area_id", "admin_ortsteile"),
+        *L.area_layers(district, outline, "bezirk_code", "admin_bezirke"),
+        *L.city_layers(summary, border),
+        *L.forest_layers(D.stands(spark, sf), border, "city_id", forest, SIDE),
+    ]
+    path = fresh_path(spark, "layers")
+    write_layers(layers, path)
+    # Every coordinate of every geometry is read back; all must lie in the city.
+    numbers = "transform(filter(split(geometry, '[^0-9.E-]+'), t -> t RLIKE '[0-9]'), t -> double(t))"
+    return (
+        spark.read.parquet(path)
+        .selectExpr("archive", "layer", "split_part(geometry, ' ', 1) AS kind", "tree_count", f"{numbers} AS n")
+        .groupBy("archive", "layer", "kind")
+        .agg(
+            F.expr("count(1) AS features"), F.expr("sum(tree_count) AS tree_count"),
+            F.expr("sum(size(filter(n, (v, i) -> if(i % 2 = 0, v < 13 OR v > 14, v < 52 OR v > 53)))) AS astray"),
+        )
+    )
+
+
+def tile_shapes(spark, sf):
+    """Stands on map tiles: the shares of all tiles of a zoom add up to the stand."""
+    tiles = T.tile_shapes(stand_edges(spark, sf), "stand_id", 12, 17)
+    return tiles.groupBy("stand_id", "z").agg(F.expr(f"{round_to('sum(share)', 6)} AS tiles"), F.expr("max(share) <= 1 + 1e-9D AS within"))
+
+
 def lookup_join(spark, sf):
     """The code lookup written as CSV and read back with forced text columns."""
     path = fresh_path(spark, "lookup")
@@ -780,6 +823,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tile_dropped,
         export_layers,
         export_map,
+        export_all_layers,
+        tile_shapes,
         ingest_pages,
         ingest_pages_stream,
     )

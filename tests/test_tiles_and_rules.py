@@ -83,3 +83,42 @@ def test_core_queries_survive_a_missing_library(monkeypatch, name):
     assert len(entry.queries()) > 60 and not any(q.startswith("op1") for q in entry.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_tiles_of_shapes(spark):
+    """A slanted shape with a hole: exactly the tiles it overlaps, by a fine raster; shares add up to its area."""
+    from geo import inside, polygons
+    from hexloom.operators import polygons as P
+
+    shape = [
+        [(380000.0, 5810000.0), (386500.0, 5811200.0), (385000.0, 5816500.0), (379000.0, 5814000.0)],
+        [(382000.0, 5811500.0), (382000.0, 5813800.0), (384600.0, 5813800.0), (384600.0, 5811500.0)],
+    ]
+    edges = P.edges(polygons(spark, s=shape), "id")
+    tiles = T.tile_shapes(edges, "id", 12, 15).collect()
+    assert all(0 < t["share"] <= 1 + 1e-9 for t in tiles)
+    sums = Counter()
+    for t in tiles:
+        sums[t["z"]] += t["share"] / 4 ** t["z"]
+    assert max(sums.values()) == pytest.approx(min(sums.values()), rel=1e-9)
+    dots = [(380000.0 + i * 20 - 2000, 5809000.0 + j * 20) for i in range(460) for j in range(400)]
+    dots = [(x, y) for x, y in dots if inside(shape, x, y)]
+    from hexloom.functions.projection import tile_x, tile_y, utm33_to_lonlat
+
+    hit = spark.createDataFrame(dots, "x double, y double").selectExpr(f"{utm33_to_lonlat('x', 'y')} AS p").selectExpr(
+        f"{tile_x('p.lon', '15')} AS tx", f"{tile_y('p.lat', '15')} AS ty"
+    ).groupBy("tx", "ty").count().collect()
+    got = {(t["tx"], t["ty"]): t["share"] for t in tiles if t["z"] == 15}
+    assert {(r["tx"], r["ty"]) for r in hit} <= set(got)
+    assert all(share < 0.01 for place, share in got.items() if place not in {(r["tx"], r["ty"]) for r in hit})
+
+
+def test_a_continental_box(spark):
+    """Rows of tiles spread over many rows of the job; all tiles inside are whole."""
+    from geo import polygons
+    from hexloom.operators import polygons as P
+
+    box = [[(0.0, 5500000.0), (900000.0, 5500000.0), (900000.0, 6400000.0), (0.0, 6400000.0)]]
+    tiles = T.tile_shapes(P.edges(polygons(spark, b=box), "id"), "id", 10, 10)
+    whole = tiles.filter("share > 1 - 1e-9").count()
+    assert 1000 < whole < tiles.count()

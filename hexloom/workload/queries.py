@@ -28,6 +28,7 @@ from hexloom.plans import layers as L
 from hexloom.plans import marts as M
 from hexloom.plans import staging as S
 from hexloom.session import fresh_path, settle
+from hexloom.sources.binary import point_binary, polygon_binary, read_geometry
 from hexloom.sources.export import export_layer, write_layers
 from hexloom.sources.fixed_values import LAYER_ARCHIVES, POINT_SOURCES
 from hexloom.sources.pages import ingest_feature_pages
@@ -174,6 +175,19 @@ def multipart_area(spark, sf):
     return P.polygon_area(P.edges(keyed, "part_id"), "part_id")
 
 
+def binary_geometry(spark, sf):
+    """Stands with a hole and points, written as binary and read back."""
+    shapes = D.stands(spark, sf).selectExpr(
+        "stand_id", "concat(rings, array(transform(array(struct(4 AS a, 4 AS b), struct(2 AS a, 4 AS b), struct(4 AS a, 2 AS b)), c -> struct(ax + s / c.a AS x, ay + s / c.b AS y)))) AS rings"
+    ).selectExpr("concat('s', stand_id) AS id", f"{polygon_binary('rings')} AS geometry")
+    points = D.points_u(spark, sf).selectExpr("concat('p', tree_id) AS id", f"{point_binary('x', 'y')} AS geometry")
+    read = read_geometry(shapes.unionByName(points))
+    parts = P.explode_parts(read, "id")
+    area = P.polygon_area(P.edges(parts, "id"), "id")
+    places = parts.filter("geom_type = 'POINT'").selectExpr("id", "rings[0][0].x + rings[0][0].y AS v")
+    return area.selectExpr("id", f"{round_to('area_m2', 6)} AS v").unionByName(places)
+
+
 def dissolve_regions(spark, sf):
     grouped = P.edges(D.areas(spark, sf), "area_id", keep=("group_id",))
     return R.dissolve(grouped, "group_id")
@@ -775,6 +789,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         polygon_area,
         polygon_centroid,
         multipart_area,
+        binary_geometry,
         dissolve_regions,
         dissolve_tjunction,
         dissolve_overlap,

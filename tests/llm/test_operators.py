@@ -346,3 +346,31 @@ def test_nearest(spark):
         near = sorted(((-round(float(good[q] @ v), 9), i) for i, v in good.items() if i != q))[:20]
         assert [i for i, _ in found] == [i for _, i in near]
     assert ann.nearest(frame.limit(0), "{id} % 20 = 0").count() == 0
+
+
+@pytest.mark.parametrize("block", [16_384, 300])
+def test_nearest_opens_part_of_the_forest(spark, monkeypatch, block):
+    """Rounds and blocks give exactly the best of all opened leaves; on clusters these are few and hold the nearest."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERIES", 16_384 if block > 300 else 20)
+    draw = np.random.default_rng(5)
+    vectors = (draw.standard_normal((40, 16))[draw.integers(0, 40, 6000)] + 0.2 * draw.standard_normal((6000, 16))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(frame, "{id} % 100 = 0", share=0.03).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    exact = vectors.astype(float)
+    forest = ann.Forest.fit(exact, len(exact))
+    leaves, count = forest.leaves(exact), max(4 * ann.TREES, int(0.03 * ann.TREES * 2**forest.depth))
+    found, scored = 0, 0
+    assert set(got) == set(range(0, 6000, 100))
+    for q, ids in got.items():
+        scores = exact @ exact[q]
+        opened = np.isin(leaves, forest.probes(exact[q], count)).any(1)
+        scored += opened.sum()
+        for some in (opened, np.ones(6000, bool)):
+            best = [int(i) for i in np.lexsort((np.arange(6000), -scores)) if some[i] and i != q][:20]
+            if some is opened:
+                assert ids == best
+        found += len(set(ids) & set(best))
+    assert found >= 0.9 * 20 * len(got) and scored < 0.5 * 6000 * len(got)

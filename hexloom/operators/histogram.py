@@ -178,11 +178,11 @@ def histogram_rollup(wide: DataFrame, keep: Sequence[str], k: int, stored: int =
 
 
 def point_profile(
-    points: DataFrame, keys: Sequence[str], sources: Sequence[str], k: int = 10
+    points: DataFrame, keys: Sequence[str], sources: Sequence[str], k: int = 10, weight: str = "1L"
 ) -> DataFrame:
     """All point statistics of a mart in one pass over the points.
 
-    ``points`` needs ``genus``, ``species`` and ``source``. Every point yields one row for its genus
+    ``points`` needs ``genus``, ``species`` and ``source``; a row stands for ``weight`` points. Every row yields one row for its genus
     and one for its species; counts per (keys, kind, value) are combined on the map side and
     shuffled once, then settle. Totals, source mix, dominant values, distinct counts and the
     histogram all read those counts and never the points again.
@@ -193,11 +193,11 @@ def point_profile(
     )
     mix = [f"source_{s}" for s in sources]
     counts = (
-        points.selectExpr(*keys, "source", values)
+        points.selectExpr(*keys, "source", f"{weight} AS _n", values)
         .groupBy(*keys, "g", "v")
         .agg(
-            F.expr("count(1) AS n"),
-            *[F.expr(f"count_if(source = '{s}') AS source_{s}") for s in sources],
+            F.sum("_n").alias("n"),
+            *[F.expr(f"sum(if(source = '{s}', _n, 0L)) AS source_{s}") for s in sources],
         )
     )
     counts = settle(counts, "counts")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +31,9 @@ def points_in_polygons(
     side: float,
     x: str = "x",
     y: str = "y",
+    keep_outside: bool = False,
 ) -> DataFrame:
-    """Points with the key of each polygon holding them; points outside every polygon drop out.
+    """Points with the key of each polygon holding them; points outside every polygon drop out, or have no key.
 
     Half-open rule on outlines: lower and left edges belong to the polygon, upper and right ones do
     not, so a coverage never claims a point twice. The cover is settled, so Spark knows its bytes and
@@ -46,14 +44,13 @@ def points_in_polygons(
     located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
     px, py = f"({x} - bx * {h})", f"({y} - by * {h})"
     # Pieces are disjoint, so a point meets one at most and needs no regrouping.
-    return (
-        located.join(cover, ["bx", "by"])
-        .filter(
-            f"{px} >= xa AND {px} < xb AND {py} < {_height(px, 'top.')} "
-            f"AND (low IS NULL OR {py} >= {_height(px, 'low.')})"
-        )
-        .drop("bx", "by", "xa", "xb", "top", "low")
+    cover = cover.withColumnsRenamed({"bx": "_bx", "by": "_by"})
+    holds = (
+        f"bx = _bx AND by = _by AND {px} >= xa AND {px} < xb AND {py} < {_height(px, 'top.')} "
+        f"AND (low IS NULL OR {py} >= {_height(px, 'low.')})"
     )
+    found = located.join(cover, F.expr(holds), "left" if keep_outside else "inner")
+    return found.drop("bx", "by", "_bx", "_by", "xa", "xb", "top", "low")
 
 
 def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str) -> DataFrame:
@@ -208,48 +205,38 @@ def trapezoid_rings(pieces: DataFrame, key: str, side: float) -> DataFrame:
     return pieces.selectExpr(key, f"array({ring}) AS ring")
 
 
-def _clip_ring(ring: list[tuple[float, float]], corners: list[tuple[float, float]]):
-    """One ring cut to a counter-clockwise convex polygon, side by side."""
-    for i, (ax, ay) in enumerate(corners):
-        bx, by = corners[(i + 1) % len(corners)]
-        kept = []
-        for j, (qx, qy) in enumerate(ring):
-            px, py = ring[j - 1]
-            dp = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-            dq = (bx - ax) * (qy - ay) - (by - ay) * (qx - ax)
-            if (dp >= 0) != (dq >= 0):
-                t = dp / (dp - dq)
-                kept.append((px + (qx - px) * t, py + (qy - py) * t))
-            if dq >= 0:
-                kept.append((qx, qy))
-        ring = kept
-        if not ring:
-            break
-    return ring
+def _cut_side(ring: str, a: str, b: str) -> str:
+    """The part of a ring on or left of the line from ``a`` to ``b``, as SQL text."""
+
+    def left_of(point: str) -> str:
+        return f"({b}.x - {a}.x) * ({point}.y - {a}.y) - ({b}.y - {a}.y) * ({point}.x - {a}.x)"
+
+    # Sides p to q of the ring, with the heights of both ends over the line.
+    sides = (
+        f"transform(transform({ring}, (q, j) -> struct(element_at({ring}, if(j = 0, -1, j)) AS p, q AS q)), "
+        f"e -> struct(e.p AS p, e.q AS q, {left_of('e.p')} AS dp, {left_of('e.q')} AS dq))"
+    )
+    crossing = (
+        "CASE WHEN (e.dp >= 0D) != (e.dq >= 0D) THEN array(named_struct("
+        "'x', e.p.x + (e.q.x - e.p.x) * (e.dp / (e.dp - e.dq)), 'y', e.p.y + (e.q.y - e.p.y) * (e.dp / (e.dp - e.dq)))) "
+        "ELSE filter(array(e.q), v -> false) END"
+    )
+    return f"flatten(transform({sides}, e -> concat({crossing}, filter(array(e.q), v -> e.dq >= 0D))))"
 
 
 def clip_rings_to_cell(pairs: DataFrame, key: str, cell: str = "cell", rings: str = "rings") -> DataFrame:
     """Rings of each polygon cut to a hexagonal cell: (key, cell, rings).
 
-    ``pairs`` has one row per (polygon, cell). Cells are convex, so each ring is cut on its own;
-    bridges along the cell side cancel in signed sums. Arrow batches, no shuffle.
+    ``pairs`` has one row per (polygon, cell). Cells are convex, so each ring is cut on its own, side
+    after side of the cell; bridges along the cell side cancel in signed sums. No shuffle, no Python.
     """
-    prepared = pairs.selectExpr(key, cell, rings, f"{hex_boundary(cell)} AS _corners")
-    types = dict(prepared.dtypes)
-    schema = f"{key} {types[key]}, {cell} bigint, rings array<array<struct<x:double,y:double>>>"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for polygon, corner_list in zip(batch[rings], batch["_corners"]):
-                corners = [(p["x"], p["y"]) for p in corner_list]
-                clipped = (
-                    _clip_ring([(p["x"], p["y"]) for p in ring], corners) for ring in polygon
-                )
-                out.append([[{"x": x, "y": y} for x, y in r] for r in clipped if len(r) > 2])
-            yield pd.DataFrame({key: batch[key], cell: batch[cell], "rings": out})
-
-    return prepared.mapInPandas(cut, schema).filter(F.size("rings") > 0)
+    cut = _cut_side("ring", "element_at(_corners, i + 1)", "element_at(_corners, (i + 1) % 6 + 1)")
+    clipped = f"transform({rings}, r -> aggregate(sequence(0, 5), r, (ring, i) -> {cut}))"
+    return (
+        pairs.selectExpr(key, cell, rings, f"{hex_boundary(cell)} AS _corners")
+        .selectExpr(key, cell, f"filter({clipped}, r -> size(r) > 2) AS rings")
+        .filter("size(rings) > 0")
+    )
 
 
 __all__ = [

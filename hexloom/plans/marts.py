@@ -72,6 +72,44 @@ def located_points(points: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     )
 
 
+def count_cube(
+    points: DataFrame, resolutions: Sequence[int], area_edges: DataFrame, area_key: str, side: float = SIDE
+) -> DataFrame:
+    """Points read once for all marts: (cell, area_key, source, genus, species, n), settled.
+
+    One row per cell of every resolution, without an area, and one per area, without a cell; points
+    outside all areas have neither. Coarser areas and the city are sums of the latter, see
+    ``area_counts``. A point yields one row per resolution and one more ahead of the map-side combine.
+    """
+    placed = points_in_polygons(normalized_points(points), area_edges, area_key, side, keep_outside=True)
+    no_cell = "array(named_struct('pitch', cast(NULL AS double), 'rows', cast(NULL AS double), 'origin', cast(NULL AS bigint)))"
+    rows = placed.selectExpr("*", f"inline(concat({hex_grids(resolutions)}, {no_cell}))").selectExpr(
+        f"if(pitch IS NULL, NULL, {hex_cell_any('x', 'y')}) AS cell",
+        f"if(pitch IS NULL, {area_key}, NULL) AS {area_key}",
+        "source",
+        "genus",
+        "species",
+    )
+    counts = rows.groupBy("cell", area_key, "source", "genus", "species").agg(F.expr("count(1) AS n"))
+    return settle(counts, "cube")
+
+
+def cell_counts(cube: DataFrame) -> DataFrame:
+    """The part of a cube by cells, for ``hex_mart``."""
+    return cube.filter("cell IS NOT NULL").select("cell", "source", "genus", "species", "n")
+
+
+def area_counts(cube: DataFrame, area_key: str, groups: DataFrame | None = None) -> DataFrame:
+    """The part of a cube by areas, for ``area_mart``; with ``groups`` (area_key, group key) by those."""
+    areas = cube.filter(f"cell IS NULL AND {area_key} IS NOT NULL").drop("cell")
+    return areas if groups is None else areas.join(groups, area_key).drop(area_key)
+
+
+def city_counts(cube: DataFrame) -> DataFrame:
+    """All points of a cube once, inside the areas or not, for ``city_summary``."""
+    return cube.filter("cell IS NULL").select("source", "genus", "species", "n")
+
+
 def stand_genera(stands: DataFrame, lookup: DataFrame, stand_key: str = "stand_id") -> DataFrame:
     """(stand, genus, mix): known codes of each stand with their summed share as a fraction."""
     slots = unpivot_slots(stands, [stand_key], SLOTS)
@@ -127,16 +165,22 @@ def hex_mart(
     side: float = SIDE,
     cover: str = "center+1",
     drop_duplicates: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per cell and resolution with point statistics, forest mixture and density.
 
     All resolutions share one pass: a point yields one cell id per resolution and the id carries the
     resolution. Points are read once and settle as one row per cell; every later join works on cells
-    or slabs. Cells outside the boundary and cells with neither points nor forest drop out.
+    or slabs. Cells outside the boundary and cells with neither points nor forest drop out. With
+    ``counts`` from a cube the points are not read.
     """
     if drop_duplicates:
         points = points.filter(~F.col("is_potential_duplicate"))
-    profile = settle(point_profile(located_points(points, resolutions), ["cell"], sources), "profile")
+    if counts is None:
+        profile = point_profile(located_points(points, resolutions), ["cell"], sources)
+    else:
+        profile = point_profile(counts, ["cell"], sources, weight="n")
+    profile = settle(profile, "profile")
 
     stand_edges = edges(stands, stand_key)
     cells = union_cells(
@@ -196,14 +240,19 @@ def area_mart(
     side: float = SIDE,
     boundary: DataFrame | None = None,
     boundary_key: str = "city_id",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per administrative area that holds points; same columns as the hex mart.
 
     ``names`` has (area_key, area_name). ``boundary`` clips the stands first; areas of one coverage
-    do not need it, since an area lies inside the city it is part of.
+    do not need it, since an area lies inside the city it is part of. With ``counts`` from a cube the
+    points are not read.
     """
-    inside = points_in_polygons(normalized_points(points), area_edges, area_key, side)
-    profile = point_profile(inside, [area_key], sources)
+    if counts is None:
+        inside = points_in_polygons(normalized_points(points), area_edges, area_key, side)
+        profile = point_profile(inside, [area_key], sources)
+    else:
+        profile = point_profile(counts, [area_key], sources, weight="n")
     stand_edges = edges(stands, stand_key)
     stand_slabs = (
         cut_to_grid(stand_edges, stand_key, side)
@@ -258,13 +307,18 @@ def city_summary(
     boundary_key: str = "city_id",
     stand_key: str = "stand_id",
     side: float = SIDE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row for the city: totals, histogram, mixture, area sums and density quantiles per level.
 
     ``districts`` is the district mart (its rounded areas are summed), ``levels`` the rows of
-    ``mart_levels``. Counts include points outside the boundary.
+    ``mart_levels``. Counts include points outside the boundary. With ``counts`` from a cube the points
+    are not read.
     """
-    profile = point_profile(normalized_points(points), [], ())
+    if counts is None:
+        profile = point_profile(normalized_points(points), [], ())
+    else:
+        profile = point_profile(counts, [], (), weight="n")
     clipped = clip_to_boundary(edges(stands, stand_key), stand_key, boundary, boundary_key, side)
     overlaps = slab_area(clipped, stand_key).filter(F.col("area_m2") > 1e-6)
     _, mixture = forest_stats(overlaps, [], stand_genera(stands, lookup, stand_key), stand_key)

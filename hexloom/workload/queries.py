@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.functions.hexgrid import cell_string, hex_boundary, hex_center
+from hexloom.functions.hexgrid import cell_string, hex_boundary, hex_cell, hex_center
 from hexloom.functions.measures import cover_band
 from hexloom.functions.numeric import round_to
 from hexloom.functions.projection import utm33_to_lonlat
@@ -32,8 +32,9 @@ from hexloom.sources.binary import point_binary, polygon_binary, read_geometry
 from hexloom.sources.export import export_layer, write_layers
 from hexloom.sources.fixed_values import LAYER_ARCHIVES, POINT_SOURCES
 from hexloom.sources.pages import ingest_feature_pages
-from hexloom.sources.tables import load_lookup, reproject
-from hexloom.streaming.landing import land_pages
+from hexloom.sources.tables import load_lookup, load_table, materialize, reproject
+from hexloom.streaming.landing import fold_counts, keep_counts, land_pages
+from hexloom.streaming.landing import kept_counts as counted
 from hexloom.workload import derived as D
 
 SOURCES = ("A", "N", "R")
@@ -348,15 +349,18 @@ def forest_outline(spark, sf):
     )
 
 
-def _area_mart(spark, sf, level):
+def _area_mart(spark, sf, level, cube=None):
     points, stands, lookup = D.points_d(spark, sf), D.stands(spark, sf), D.lookup(spark, sf)
     if level == "ortsteile":
         names = D.areas(spark, sf).select("area_id", "area_name")
-        return M.area_mart(points, stands, lookup, area_edges(spark, sf), names, sources=SOURCES)
+        counts = None if cube is None else M.area_counts(cube, "area_id")
+        return M.area_mart(points, stands, lookup, area_edges(spark, sf), names, sources=SOURCES, counts=counts)
     outline = settle(districts(spark, sf), "districts")
     names = S.district_names(outline).withColumnRenamed("bezirk_name", "area_name")
+    parents = D.areas(spark, sf).selectExpr("area_id", "substring(sch, 7, 2) AS bezirk_code")
+    counts = None if cube is None else M.area_counts(cube, "area_id", parents)
     return M.area_mart(
-        points, stands, lookup, outline, names, area_key="bezirk_code", sources=SOURCES
+        points, stands, lookup, outline, names, area_key="bezirk_code", sources=SOURCES, counts=counts
     )
 
 
@@ -397,21 +401,19 @@ def hex_geometry(spark, sf):
     )
 
 
-def _levels(spark, sf):
-    """Marts of all levels: (district mart, rows of every level, settled once)."""
-    hexes = _hex_mart(spark, sf, M.RESOLUTIONS).selectExpr(
+def city_summary(spark, sf):
+    """The city row on top of all marts; their point counts come from one cube."""
+    cube = M.count_cube(D.points_d(spark, sf), M.RESOLUTIONS, area_edges(spark, sf), "area_id")
+    hexes = _hex_mart(spark, sf, M.RESOLUTIONS, counts=M.cell_counts(cube)).selectExpr(
         "concat('res', res) AS level", "tree_density_km2", "forest_cover_pct"
     )
-    district = settle(_area_mart(spark, sf, "bezirke"), "bezirke")
-    hood = _area_mart(spark, sf, "ortsteile")
+    district = settle(_area_mart(spark, sf, "bezirke", cube), "bezirke")
+    hood = _area_mart(spark, sf, "ortsteile", cube)
     admin = M.mart_levels({"bezirke": district, "ortsteile": hood})
-    return district, settle(hexes.unionByName(admin), "levels")
-
-
-def city_summary(spark, sf):
-    district, levels = _levels(spark, sf)
+    levels = settle(hexes.unionByName(admin), "levels")
     return M.city_summary(
-        D.points_d(spark, sf), D.stands(spark, sf), D.lookup(spark, sf), city(spark, sf), district, levels, LEVELS
+        D.points_d(spark, sf), D.stands(spark, sf), D.lookup(spark, sf), city(spark, sf), district, levels, LEVELS,
+        counts=M.city_counts(cube),
     )
 
 
@@ -498,6 +500,11 @@ def histogram_rollup(spark, sf):
     return H.histogram_rollup(hex_histogram_top10(spark, sf), ["cell"], 4)
 
 
+def histogram_rollup_9(spark, sf):
+    """All but the last stored rank shown."""
+    return H.histogram_rollup(hex_histogram_top10(spark, sf), ["cell"], 9)
+
+
 def source_drift(spark, sf):
     """Documents as landed, against a baseline that derives one of each case from the same table."""
     docs = D.table(spark, sf, "documents")
@@ -765,6 +772,28 @@ def ingest_pages_stream(spark, sf):
     return _page_report(spark.read.parquet(table))
 
 
+def kept_counts(spark, sf):
+    """Counts per cell kept up to date by a stream: one inventory a delivery, the last one delivered twice."""
+    landed, counts, progress = (fresh_path(spark, n) for n in ("landed", "counts", "progress"))
+    located = D.points_u(spark, sf).selectExpr("tree_id", f"{hex_cell('x', 'y', RES)} AS cell", "source")
+    located = settle(located, "located")
+    for delivery in ("F", "O", "P", "P"):
+        located.filter(F.col("source") == delivery).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(located.schema).parquet(landed)
+        keep_counts(stream, "tree_id", ["cell", "source"], counts, progress).awaitTermination()
+        if delivery == "O":
+            fold_counts(spark, counts, ["cell", "source"])
+    return counted(spark, counts, ["cell", "source"])
+
+
+def stored_model(spark, sf):
+    """A scanned table, kept as a written model and read back by name."""
+    load_table(spark, f"{sf}/part.parquet", "scanned_part")
+    model = spark.sql("SELECT p_partkey, p_brand, p_size FROM scanned_part WHERE p_size > 10")
+    materialize(model, "table", "large_part", fresh_path(spark, "large_part"))
+    return spark.sql("SELECT p_brand, count(1) AS parts, sum(p_size) AS total_size FROM large_part GROUP BY p_brand")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -823,6 +852,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         linear_rank,
         cover_bands,
         histogram_rollup,
+        histogram_rollup_9,
         source_drift,
         advance_baseline,
         profile_table,
@@ -842,5 +872,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tile_shapes,
         ingest_pages,
         ingest_pages_stream,
+        kept_counts,
+        stored_model,
     )
 }

@@ -9,7 +9,7 @@ from hexloom.sources.export import export_layer, write_layers
 from hexloom.sources.pages import ingest_feature_pages
 from hexloom.session import shared_dir
 from hexloom.sources.tables import load_lookup, load_table, materialize, reproject, source_catalogue
-from hexloom.streaming.landing import land_pages, running_counts
+from hexloom.streaming.landing import fold_counts, keep_counts, kept_counts, land_pages, running_counts
 
 PAGE = {
     "type": "FeatureCollection",
@@ -86,6 +86,35 @@ def test_running_counts_counts_each_key_once(spark, tmp_path):
     assert spark.table("running").first()["tree_count"] == 2
 
 
+def test_kept_counts_survive_replays_and_folding(spark, tmp_path):
+    landed, table, progress = (str(tmp_path / n) for n in ("landed", "counts", "progress"))
+    schema = "tree_uuid string, cell long"
+
+    def deliver(*rows):
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(schema).parquet(landed)
+        keep_counts(stream, "tree_uuid", ["cell"], table, progress).awaitTermination()
+        return {r["cell"]: r["tree_count"] for r in kept_counts(spark, table, ["cell"]).collect()}
+
+    with pytest.raises(ValueError, match="no counts"):
+        kept_counts(spark, table, ["cell"])
+    assert deliver(("u1", 1), ("u1", 1), ("u2", 1), ("u3", 2)) == {1: 2, 2: 1}
+    assert deliver(("u2", 1), ("u4", 2), ("u5", None)) == {1: 2, 2: 2, None: 1}
+    assert deliver() == {1: 2, 2: 2, None: 1}
+    # A batch that runs again overwrites its own part: forget that the second one was finished.
+    last = max((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert deliver() == {1: 2, 2: 2, None: 1}
+    fold_counts(spark, table, ["cell"])
+    # A base that was not written to its end does not count.
+    (tmp_path / "counts" / "base" / "upto=99").mkdir()
+    assert deliver(("u6", 2)) == {1: 2, 2: 3, None: 1}
+    fold_counts(spark, table, ["cell"])
+    assert {r["cell"]: r["tree_count"] for r in kept_counts(spark, table, ["cell"]).collect()} == {1: 2, 2: 3, None: 1}
+
+
 def test_tables_and_lookup(spark, tmp_path, sf):
     assert load_table(spark, f"{sf}/part.parquet", "part_view").count() == spark.table("part_view").count()
     (tmp_path / "codes.csv").write_text("ba_code,deuts,genus_latin,notes\n01,Eiche,Quercus,\nBlö,Blöße,,x\n")

@@ -2,14 +2,17 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hexloom.functions.measures import area_metrics, ascending_stops, clamp_top, cover_band, density_rank
 from hexloom.functions.measures import suppress_artefacts
 from hexloom.functions.numeric import nearest_int, round_to, safe_int
 from hexloom.functions.text import label_codes, normalize_genus, normalize_species, surrogate_key
 from hexloom.operators import histogram as H
+from hexloom.operators import polygons as P
 from hexloom.operators import proximity as X
 from hexloom.operators import quantiles as U
+from hexloom.plans import marts as M
 from hexloom.plans import staging as S
 from hexloom.sources.fixed_values import DISTRICT_NAMES, STAND_CODES
 
@@ -209,3 +212,34 @@ def test_quantiles_of_a_narrow_range(spark):
     assert got[0.0] == (1e6, 1e6) and got[0.5][1] == pytest.approx(1e6 + 499_999 * 0.005) and got[0.5][0] == pytest.approx(1e6 + 499_999.5 * 0.005)
     odd = spark.createDataFrame([("k", v) for v in (float("inf"), -1e300, 0.0, -0.0, 5e-324, None, float("nan"), 1e300)], "k string, v double")
     assert {r["fraction"]: r["disc"] for r in U.rank_values(odd, "k", "v", [0.0, 1.0], bound=1).collect()} == {0.0: -1e300, 1.0: float("inf")}
+
+
+def test_count_cube_holds_every_level(spark):
+    """Cells, areas and the city from one pass equal direct counts; the point outside counts for the city alone."""
+    square = [[(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]]
+    rings = [[[{"x": x + 100 * i, "y": y} for x, y in r] for r in square] for i in range(2)]
+    areas = spark.createDataFrame(
+        [(f"a{i}", r) for i, r in enumerate(rings)], "area_id string, rings array<array<struct<x:double,y:double>>>"
+    )
+    rows = [(float(7 * i % 200), float(3 * i % 100), "st"[i % 2], f"g{i % 3}", "s") for i in range(60)]
+    rows += [(500.0, 500.0, "s", "g0", "s"), (None, 1.0, "s", "g0", "s")]
+    points = spark.createDataFrame(rows, "x double, y double, source string, genus_latin string, species_latin string")
+    cube = M.count_cube(points, [8, 9], P.edges(areas, "area_id"), "area_id", 50.0)
+
+    def counted(df, *keys):
+        return {tuple(r[:-1]): r[-1] for r in df.groupBy(*keys, "genus").agg(F.sum("n")).collect()}
+
+    direct = M.located_points(points, [8, 9]).selectExpr("*", "1L AS n")
+    assert counted(M.cell_counts(cube), "cell") == counted(direct, "cell")
+    kept = [r for r in rows if r[0] is not None]
+    by_area, by_genus = {}, {}
+    for x, _, _, genus, _ in kept:
+        by_genus[(genus,)] = by_genus.get((genus,), 0) + 1
+        if x < 200:
+            by_area[(f"a{int(x >= 100)}", genus)] = by_area.get((f"a{int(x >= 100)}", genus), 0) + 1
+    assert counted(M.area_counts(cube, "area_id"), "area_id") == by_area
+    assert counted(M.city_counts(cube)) == by_genus
+    groups = spark.createDataFrame([("a0", "g"), ("a1", "g")], "area_id string, district string")
+    assert sum(counted(M.area_counts(cube, "area_id", groups), "district").values()) == 60
+    wide = H.point_profile(M.area_counts(cube, "area_id"), ["area_id"], ["s", "t"], weight="n")
+    assert wide.agg(F.sum("tree_count"), F.sum("source_t")).first()[:] == (60, 30)

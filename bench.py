@@ -27,6 +27,7 @@ HEADLINE = (
     "morph_close",
     "area_mart",
     "hex_mart",
+    "city_summary",
     "price_quantiles",
     "tile_thin",
 )

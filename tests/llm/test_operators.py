@@ -288,6 +288,19 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert len(got) == len(rows)
 
 
+def test_passages_with_a_phrase_that_many_share(spark):
+    """Pairs with a passage of their own around a phrase of all are found whole, though neither is the phrase's first or last document."""
+    rng = np.random.default_rng(23)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    phrase, rows = draw(60), []
+    for k in range(8):
+        before, after = draw(60), draw(60)
+        rows += [(i, " ".join(draw(20) + before + phrase + after + draw(20))) for i in (k, 100 + k)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r["doc_id"], r["with_doc"]) for r in got if (r["start_word"], r["end_word"]) == (20, 200)}
+    assert whole == {pair for k in range(8) for pair in ((k, 100 + k), (100 + k, k))}
+
+
 def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in language_id.languages(docs).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[6]["lang_pred"] == "und" and got[4]["score"] == 0

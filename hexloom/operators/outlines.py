@@ -69,7 +69,8 @@ def split_points(net: DataFrame, key: str, side: float = SIDE) -> DataFrame:
     """(key, x1, y1, x2, y2, t, px, py, crossing): where net edges must be split, ``t`` metres along them.
 
     A vertex of another edge on the edge is taken as it is; a crossing is computed from the smaller of the
-    two edges and snapped, so both get the same point. Edges meet in grid buckets only.
+    two edges and snapped, so both get the same point. Edges meet in grid buckets only. Both sides grow while
+    they are exploded, which Spark's estimate misses, so neither may be broadcast.
     """
     e = num(TOLERANCE)
     a = _touched(net, side).drop("d")
@@ -79,7 +80,7 @@ def split_points(net: DataFrame, key: str, side: float = SIDE) -> DataFrame:
         f"AND least(y1, y2) <= greatest(v1, v2) + {e} AND least(v1, v2) <= greatest(y1, y2) + {e}"
     )
     met = (
-        a.join(b, [key, "bx", "by"])
+        a.join(b.hint("merge"), [key, "bx", "by"])
         .filter(near)
         .selectExpr(
             key, *EDGE, "u1", "v1", "u2", "v2", "x2 - x1 AS dx", "y2 - y1 AS dy", "u2 - u1 AS ex", "v2 - v1 AS ey",

@@ -16,6 +16,10 @@ from hexloom.functions.hexgrid import (
 from hexloom.functions.numeric import num
 from hexloom.operators.overlay import polygon_overlap_area
 from hexloom.operators.polygons import EDGE, edges, scan_spans
+from hexloom.session import settle
+
+#: Up to this many cells are broadcast with their slabs, a few megabytes.
+BROADCAST_CELLS = 10_000
 
 
 def hex_disk(cells: DataFrame, cell: str = "cell", k: int = 1, out: str = "neighbor") -> DataFrame:
@@ -63,9 +67,11 @@ def hex_cover(
     if mode != "touch":
         raise ValueError(f"unknown cover mode {mode!r}")
     candidates = inside.union(_outline_cells(edge_table, key, res)).distinct()
-    cells = candidates.select("cell").distinct()
+    # Both sides stem from the polygons, so Spark can't tell the larger one; counted cells can.
+    cells = settle(candidates.select("cell").distinct(), "cells")
+    hint = "broadcast" if cells.count() <= BROADCAST_CELLS else "merge"
     overlap = polygon_overlap_area(
-        edge_table, key, hex_edges(cells), "cell", side or max(size, 1.0)
+        edge_table, key, hex_edges(cells), "cell", side or max(size, 1.0), hint
     )
     return overlap.select(key, "cell")
 

@@ -53,13 +53,15 @@ def points_in_polygons(
     return found.drop("bx", "by", "_bx", "_by", "xa", "xb", "top", "low")
 
 
-def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str) -> DataFrame:
+def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str, hint: str | None = None) -> DataFrame:
     """Pairs of slabs of one bucket that share an x-range (l, r), with the heights at its ends.
 
-    ``dl`` and ``dr`` are the heights of a above b at both ends.
+    ``dl`` and ``dr`` are the heights of a above b at both ends. ``hint`` names the join where Spark's own
+    choice would go by sizes from before the cut.
     """
     left = a.selectExpr("bx", "by", f"{key_a} AS ka", *[f"{c} AS {c}_a" for c in SLAB])
     right = b.selectExpr("bx", "by", f"{key_b} AS kb", *[f"{c} AS {c}_b" for c in SLAB])
+    right = right.hint(hint) if hint else right
     return (
         left.join(right, ["bx", "by"])
         .filter("x1_a < x2_b AND x1_b < x2_a")
@@ -82,7 +84,7 @@ def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str) -> DataFrame
 
 
 def slab_overlap_area(
-    a: DataFrame, key_a: str, b: DataFrame, key_b: str, name: str = "area_m2"
+    a: DataFrame, key_a: str, b: DataFrame, key_b: str, name: str = "area_m2", hint: str | None = None
 ) -> DataFrame:
     """(key_a, key_b, area) of every pair with positive common area, from two slab sets."""
     # Area below a, less the part of it that lies above b.
@@ -92,7 +94,7 @@ def slab_overlap_area(
         "ELSE (r - l) * greatest(dl, dr) * greatest(dl, dr) / (abs(dl) + abs(dr)) / 2 END"
     )
     return (
-        _slab_pairs(a, key_a, b, key_b)
+        _slab_pairs(a, key_a, b, key_b, hint)
         .groupBy(F.col("ka").alias(key_a), F.col("kb").alias(key_b))
         .agg(F.expr(f"sum(s * ((r - l) * (al + ar) / 2 - {above}))").alias(name))
         .filter(f"{name} > {num(MIN_OVERLAP_M2)}")
@@ -100,7 +102,7 @@ def slab_overlap_area(
 
 
 def polygon_overlap_area(
-    a: DataFrame, key_a: str, b: DataFrame, key_b: str, side: float
+    a: DataFrame, key_a: str, b: DataFrame, key_b: str, side: float, hint: str | None = None
 ) -> DataFrame:
     """(key_a, key_b, area_m2) of every pair of polygons with positive common area.
 
@@ -108,7 +110,7 @@ def polygon_overlap_area(
     candidate pairs, and pairs of far edges of two large polygons never meet.
     """
     return slab_overlap_area(
-        cut_to_grid(a, key_a, side), key_a, cut_to_grid(b, key_b, side), key_b
+        cut_to_grid(a, key_a, side), key_a, cut_to_grid(b, key_b, side), key_b, hint=hint
     )
 
 

@@ -243,8 +243,11 @@ def outline_shapes(spark, sf):
     ring_area = "aggregate(sequence(1, size(q) - 1), 0D, (acc, i) -> acc + (q[i - 1].x * q[i].y - q[i].x * q[i - 1].y) / 2)"
     return shapes.selectExpr(
         "group_id", "rings", "size(split(geometry, '[(][(]')) - 1 AS shells",
-        "explode(filter(split(substring(geometry, 14), '[()]+'), r -> r RLIKE '[0-9]')) AS r",
-    ).selectExpr("group_id", "rings", "shells", f"{points} AS q").groupBy("group_id", "rings", "shells").agg(
+        "filter(split(substring(geometry, 14), '[()]+'), r -> r RLIKE '[0-9]') AS texts",
+    ).selectExpr(
+        # The shells are counted above, once a text; beside the explode they would be counted for each ring.
+        "group_id", "rings", "shells", "explode(texts) AS r"
+    ).repartition("r").selectExpr("group_id", "rings", "shells", f"{points} AS q").groupBy("group_id", "rings", "shells").agg(
         F.expr(f"{round_to(f'sum({ring_area})', 2)} AS area_m2")
     )
 

@@ -34,7 +34,8 @@ def edges(polygons: DataFrame, key: str, rings: str = "rings", keep: tuple = ())
     """Rings to oriented edges; outer rings become counter-clockwise and holes clockwise.
 
     A repeated closing vertex yields a zero-length edge, which is dropped. ``ox, oy`` carry the
-    polygon's first vertex as a local origin for sums that would otherwise cancel badly.
+    polygon's first vertex as a local origin for sums that would otherwise cancel badly. Polygons are
+    dealt anew by their rings: a small file is one task, whatever its shapes are cut into later.
     """
 
     corner = "get(r, (i + 1) % size(r))"
@@ -43,7 +44,7 @@ def edges(polygons: DataFrame, key: str, rings: str = "rings", keep: tuple = ())
         f"'x1', double(p.x), 'y1', double(p.y), 'x2', double({corner}.x), 'y2', double({corner}.y))))"
     )
     first = f"get(get({rings}, 0), 0)"
-    exploded = polygons.selectExpr(
+    exploded = polygons.select(key, *keep, rings).repartition(rings).selectExpr(
         key, *keep, f"double({first}.x) AS ox", f"double({first}.y) AS oy",
         f"posexplode({ring_edges}) AS (ring, _edges)",
     )

@@ -17,7 +17,9 @@ def _star(links: DataFrame, keep: str) -> DataFrame:
     )
     told = join_groups(links, least, ["u"], "degree")
     out = told.filter(keep).selectExpr("v AS a", "m AS b")
-    return out.unionByName(least.selectExpr("u AS a", "m AS b")).filter("a != b").distinct()
+    star = settle(out.unionByName(least.selectExpr("u AS a", "m AS b")).filter("a != b").distinct(), "star")
+    discard(least)
+    return star
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,11 +32,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges = settle(edges.selectExpr(f"{a} AS a", f"{b} AS b").filter("a != b").distinct(), "edges")
     before = None
     while True:
-        links = settle(edges.selectExpr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))"), "links")
-        large = settle(_star(links, "v > u"), "large")
-        down = settle(large.selectExpr("greatest(a, b) AS u", "least(a, b) AS v"), "down")
-        last, edges = edges, settle(_star(down, "true"), "small")
-        for finished in (last, links, large, down):
+        large = _star(edges.selectExpr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))"), "v > u")
+        last, edges = edges, _star(large.selectExpr("greatest(a, b) AS u", "least(a, b) AS v"), "true")
+        for finished in (last, large):
             discard(finished)
         state = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first()
         if state == before:

@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm import bloom
-from hexloom.llm.common import WordHashes, shingles, small_batches, words
+from hexloom.llm.common import WordHashes, discard, shingles, small_batches, words
 from hexloom.llm.components import components
+from hexloom.llm.repeats import filter_of, within
 from hexloom.llm.skew import join_groups
 from hexloom.session import settle
 
@@ -142,6 +143,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(**old)
 
 
+def _buckets_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Buckets of a batch of (bands); a bucket's value holds its band."""
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _entries(shared):
+    """(rep, band, bucket) of all buckets that may have a second member, from (bands, rep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            buckets = _buckets_of(batch)
+            again = np.flatnonzero(within(bits, buckets))
+            rep = batch.column(1).to_numpy(zero_copy_only=False)[again // BANDS]
+            yield pa.record_batch(
+                [pa.array(rep), pa.array((again % BANDS).astype(np.int32)), pa.array(buckets[again].view(np.int64))], names=["rep", "band", "bucket"]
+            )
+
+    return run
+
+
 def _differing(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(len(_PARTS)))
 
@@ -181,6 +203,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return common.filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components once more links (a, b) are known."""
+    if links.isEmpty():
+        return found
+    return components(found.selectExpr("node AS a", "component AS b").unionByName(links), "a", "b")
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_shingles, d1, d2, component_id) of every row of (doc_id, text, h)."""
     small_batches(docs.sparkSession)
@@ -193,14 +222,25 @@ def _labelled(docs: DataFrame) -> DataFrame:
         .withColumn("rep", F.expr(_CLASS)),
         "classes",
     )
-    named = signed.join(
-        classes.selectExpr("first AS doc_id", "d1", "d2", "n_shingles", "rep"), ["doc_id", "d1", "d2", "n_shingles"]
+    # Only rows of sets that may occur twice are shuffled to find the class's own.
+    sets = signed.filter("n_shingles > 0").withColumn("rep", F.expr(_CLASS))
+    repeated = classes.filter("copies > 1")
+    asked, segments = bloom.build(repeated, "rep", repeated.count())
+    flagged = bloom.possibly(sets, "rep", settle(asked, "filter"), segments, "__again").select("rep", "doc_id", "d1", "d2", "n_shingles", *_PARTS, "bands", "__again")
+    several = flagged.filter("__again").join(
+        classes.selectExpr("first AS doc_id", "d1", "d2", "n_shingles", "rep"), ["rep", "doc_id", "d1", "d2", "n_shingles"]
     ).dropDuplicates(["rep"])
-    reps = settle(named.select("rep", "n_shingles", *_PARTS, "bands"), "reps")
+    single = flagged.filter("NOT __again AND doc_id IS NOT NULL")
+    reps = settle(single.unionByName(several).select("rep", "n_shingles", *_PARTS, "bands"), "reps")
     sketches = reps.drop("bands")
 
+    # Buckets of one member leave before anything of them is shuffled row by row.
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(reps.select("bands"), _buckets_of, 2))
+    all_entries = settle(reps.select("bands", "rep").mapInArrow(_entries(shared), "rep long, band int, bucket long"), "entries")
+    shared.destroy()
+
     # A few bands: buckets of two or more, and the smallest member of each in up to four draws a row.
-    entries = reps.selectExpr("rep", f"posexplode(slice(bands, 1, {FIRST_BANDS})) AS (band, bucket)")
+    entries = all_entries.filter(f"band < {FIRST_BANDS}")
     buckets = settle(
         entries.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.expr("count(1) AS members")).filter("members > 1"), "buckets"
     )
@@ -210,17 +250,18 @@ def _labelled(docs: DataFrame) -> DataFrame:
     found = components(links, "a", "b")
 
     # All bands: only the members of buckets with several components go on.
-    named = reps.select("rep", "bands").join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr(
-        "rep", "coalesce(component, rep) AS label", "posexplode(bands) AS (band, bucket)"
-    )
+    named = all_entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("rep", "coalesce(component, rep) AS label", "band", "bucket")
     several = settle(
         named.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("count(1) AS members"))
         .filter("lo != hi").select("band", "bucket", "members"),
         "several",
     )
     asked, segments = bloom.build(several, "bucket", several.count())
-    likely = bloom.possibly(named.drop("label"), "bucket", settle(asked, "filter"), segments, "__open").filter("__open").drop("__open")
-    met = settle(join_groups(settle(likely, "likely"), several, ["band", "bucket"], "members"), "met")
+    likely = bloom.possibly(all_entries, "bucket", settle(asked, "filter"), segments, "__open").filter("__open").drop("__open")
+    likely = settle(likely, "likely")
+    met = settle(join_groups(likely, several, ["band", "bucket"], "members"), "met")
+    for done in (all_entries, buckets, likely, several):
+        discard(done)
 
     # Buckets whose members are still in different components. First, in rounds, every member meets up to
     # four random members of other components, which joins what belongs to a large group.
@@ -245,8 +286,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
         drawn = settle(drawn.selectExpr("greatest(rep, other) AS a", "least(rep, other) AS b").distinct(), "drawn")
         if drawn.isEmpty():
             break
-        links = settle(links.unionByName(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs, classes)), "links")
-        found = components(links, "a", "b")
+        links = settle(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs, classes), "links")
+        found = _joined(found, links)
 
     # Then the pairs of a bucket that are still apart, block by block.
     mixed = mixed.drop("centre")
@@ -265,7 +306,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     )
     more_pairs = settle(across.selectExpr("greatest(rep, rep2) AS a", "least(rep, rep2) AS b").distinct(), "across")
     if not more_pairs.isEmpty():
-        found = components(links.unionByName(_confirmed(more_pairs, docs, classes)), "a", "b")
+        found = _joined(found, settle(_confirmed(more_pairs, docs, classes), "links"))
 
     # A component is named by the smallest id in any of its classes.
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.expr("coalesce(component, rep)"))

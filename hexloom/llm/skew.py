@@ -14,10 +14,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
     Pass settled frames: both are read twice. Groups holding more than a thousandth of all rows number
     under ``HOT_GROUPS``; those are broadcast and their rows never move. All others are joined by a
-    shuffle, in which no key has more than that share.
+    shuffle, in which no key has more than that share. Without a large group it is a plain join.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total, most = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     limit = max(total // HOT_GROUPS, 2000)
+    if most <= limit:
+        return rows.join(groups, keys, how)
     hot, rest = groups.filter(F.col(size) > limit), groups.filter(F.col(size) <= limit)
     cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     out = cold_rows.join(rest, keys, how)

@@ -387,3 +387,41 @@ def test_nearest_opens_part_of_the_forest(spark, monkeypatch, block):
                 assert ids == best
         found += len(set(ids) & set(best))
     assert found >= 0.9 * 20 * len(got) and scored < 0.5 * 6000 * len(got)
+
+
+def test_passages_among_many_around_a_shorter_phrase(spark):
+    """Pairs are found though all their windows lie in a phrase of all documents that is too short to be a passage."""
+    rng = np.random.default_rng(70)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    phrase, rows = draw(40), []
+    for k in range(40):
+        before, after = draw(7), draw(7)
+        rows += [(i, " ".join(draw(60) + before + phrase + after + draw(60))) for i in (k, 100 + k)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["with_doc"]) for r in got if r["equal_share"] == 1} >= {pair for k in range(40) for pair in ((k, 100 + k), (100 + k, k))}
+
+
+def test_passages_against_all_pairs(spark):
+    """Near copies of a few passages, every one with other words changed: following partners leads to all that are similar."""
+    rng = np.random.default_rng(37)
+    rows, texts = [], {}
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(80)]
+        for k in range(12):
+            own = [f"n{group}x{k}y{i}" if i in set(rng.choice(80, 2).tolist()) else w for i, w in enumerate(base)]
+            texts[100 * group + k] = own
+            rows.append((100 * group + k, " ".join([f"a{group}b{k}c{i}" for i in range(50)] + own + [f"d{group}e{k}f{i}" for i in range(50)])))
+    sets = {i: {tuple(t[j : j + 5]) for j in range(76)} for i, t in texts.items()}
+    found: dict = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).add(r["with_doc"])
+
+    def reached(i):
+        seen, new = {i}, [i]
+        while new:
+            new = [j for j in {o for n in new for o in found.get(n, ())} if j not in seen]
+            seen.update(new)
+        return seen
+
+    similar = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])]
+    assert len(similar) > 50 and all(j in reached(i) for i, j in similar)

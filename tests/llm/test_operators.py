@@ -425,3 +425,10 @@ def test_passages_against_all_pairs(spark):
 
     similar = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])]
     assert len(similar) > 50 and all(j in reached(i) for i, j in similar)
+
+
+def test_three_copies_are_linked_with_the_first_and_the_last(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    got = passages.repeated_passages(spark.createDataFrame([(i, text) for i in (3, 5, 8)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["with_doc"]) for r in got} == {(a, b) for a in (3, 5, 8) for b in (3, 5, 8) if a != b}
+    assert all((r["start_word"], r["end_word"], r["equal_share"]) == (0, 90, 1) for r in got)

@@ -11,6 +11,8 @@ from hexloom.operators.polygons import MIN_OVERLAP_M2, cut_to_grid, slab_area
 from hexloom.session import settle
 
 SLAB = ("s", "x1", "y1", "x2", "y2")
+#: Counted points: sites aimed at in a cell of a bucket, and the most cells along its side.
+SITES_PER_CELL, MOST_CELLS = 32, 64
 
 
 def _height(x: str, slab: str = "", tail: str = "") -> str:
@@ -32,9 +34,13 @@ def points_in_polygons(
     x: str = "x",
     y: str = "y",
     keep_outside: bool = False,
+    counted: bool = False,
 ) -> DataFrame:
     """Points with the key of each polygon holding them; points outside every polygon drop out, or have no key.
 
+    With ``counted``, only how many points a polygon holds: (key, n), to be added up. Its work follows the
+    outlines and not the pairs, of which there are points times polygons where many polygons overlap.
+
     Half-open rule on outlines: lower and left edges belong to the polygon, upper and right ones do
     not, so a coverage never claims a point twice. The cover is settled, so Spark knows its bytes and
     broadcasts it below its own threshold; beyond that the join shuffles on the bucket.
@@ -43,6 +49,8 @@ def points_in_polygons(
     h = num(side)
     located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
     px, py = f"({x} - bx * {h})", f"({y} - by * {h})"
+    if counted:
+        return _counted(located.selectExpr("bx", "by", f"{px} AS px", f"{py} AS py"), cover, key, h)
     # Pieces are disjoint, so a point meets one at most and needs no regrouping.
     cover = cover.withColumnsRenamed({"bx": "_bx", "by": "_by"})
     holds = (
@@ -53,6 +61,75 @@ def points_in_polygons(
     return found.drop("bx", "by", "_bx", "_by", "xa", "xb", "top", "low")
 
 
+def _counted(located: DataFrame, cover: DataFrame, key: str, h: str) -> DataFrame:
+    """(key, n) of points (bx, by, px, py) in the disjoint pieces of polygons, in parts that add up.
+
+    Buckets get a grid of cells that follows their number of points. In a column of cells that a piece
+    spans, the cells between its two lines are told by running counts; only points in cells that a line
+    may pass, or in columns where the piece begins or ends, are tested one by one, by the same rule.
+    """
+    own, key = key, "_key"  # no clash between the caller's key name and working columns
+    cover = cover.withColumnRenamed(own, key)
+    # A piece lies in 0 <= x < h; a place a rounding below y = 0 is held where a piece has no lower line.
+    inside = located.filter(f"px >= 0D AND px < {h} AND py < {h}").groupBy("bx", "by", "px", "py").agg(F.count(F.lit(1)).alias("n"))
+    copies = settle(inside, "copies")
+    cells = f"least({MOST_CELLS}, int(pow(2, ceil(log2(greatest(1, sqrt(count(1) / {SITES_PER_CELL}D)))))))"
+    # Numbered, so that a cell is one long.
+    grid = copies.groupBy("bx", "by").agg(F.expr(cells).alias("k")).selectExpr("*", f"{h} / k AS w")
+    grid = settle(grid.withColumn("id", F.monotonically_increasing_id()), "grid")
+
+    def at(value: str) -> str:
+        """The last cell that begins at ``value`` or before; products decide, as quotients may round up."""
+        return f"int(floor({value} / w) - if(floor({value} / w) * w > {value}, 1, 0))"
+
+    sites = copies.join(grid, ["bx", "by"]).selectExpr("id", "px", "py", "n", "k", f"{at('px')} AS f", f"greatest({at('py')}, 0) AS r")
+    sites = sites.selectExpr(f"id * {MOST_CELLS} + f AS col", "k", "r", "px", "py", "n")
+    sums = sites.groupBy("col", "k", "r").agg(F.sum("n").alias("c")).groupBy("col", "k")
+    running = sums.agg(F.collect_list(F.struct("r", "c")).alias("cells")).selectExpr(
+        "col", "transform(sequence(0, k), i -> aggregate(cells, 0L, (t, e) -> t + if(e.r < i, e.c, 0L))) AS below"
+    )
+    running = settle(running, "running")
+
+    # Lines may be evaluated a rounding aside of their ends; the margin also covers rounded quotients.
+    margin = f"({h} * 1e-9D)"
+    last = "int(ceil(xb / w) - 1 + if(ceil(xb / w) * w < xb, 1, 0))"
+
+    def ends(line: str, of: str) -> str:
+        return f"{of}({line}y + {line}m * (greatest(xa, f * w) - {line}x), {line}y + {line}m * (least(xb, (f + 1) * w) - {line}x))"
+
+    spans = cover.join(grid, ["bx", "by"]).selectExpr(
+        key, "id", "k", "w", "xa", "xb", "top", "low", "top.x1 AS tx", "top.y1 AS ty", "(top.y2 - top.y1) / (top.x2 - top.x1) AS tm",
+        "low.x1 AS lx", "low.y1 AS ly", "(low.y2 - low.y1) / (low.x2 - low.x1) AS lm", f"top.y1 >= {h} AND top.y2 >= {h} AS lid",
+        f"greatest({at('xa')}, 0) AS fa", f"least({last}, k - 1) AS fb",
+    )
+    # Cells a to b of a column meet the lower line and c to d the upper one.
+    lines = spans.selectExpr("*", "explode(sequence(fa, greatest(fa, fb))) AS f").selectExpr(
+        key, f"id * {MOST_CELLS} + f AS col", "xa", "xb", "top", "low", "xa <= f * w AND xb >= (f + 1) * w AS whole",
+        f"if(low IS NULL, 0, greatest(int(floor(({ends('l', 'least')} - {margin}) / w)), 0)) AS a",
+        f"if(low IS NULL, -1, least(int(floor(({ends('l', 'greatest')} + {margin}) / w)), k - 1)) AS b",
+        f"if(lid, k, greatest(int(floor(({ends('t', 'least')} - {margin}) / w)), 0)) AS c",
+        f"if(lid, k - 1, least(int(floor(({ends('t', 'greatest')} + {margin}) / w)), k - 1)) AS d",
+    )
+    between = (
+        lines.filter("whole AND b + 1 < c").select(key, "col", "b", "c")
+        .join(running, "col").selectExpr(key, "below[c] - below[b + 1] AS n")
+    )
+
+    def cells_of(low: str, high: str) -> str:
+        return f"if({low} <= {high}, sequence({low}, {high}), cast(array() AS array<int>))"
+
+    met = f"if(whole, concat({cells_of('a', 'least(b, d)')}, {cells_of('greatest(a, b + 1, c)', 'd')}), {cells_of('a', 'd')})"
+    tested = (
+        lines.selectExpr(key, "col", "xa", "xb", "top", "low", f"explode({met}) AS r")
+        .selectExpr(key, f"col * {MOST_CELLS} + r AS cell", "xa", "xb", "top", "low")
+        .join(sites.selectExpr(f"col * {MOST_CELLS} + r AS cell", "px", "py", "n"), "cell")
+        .filter(f"px >= xa AND px < xb AND py < {_height('px', 'top.')} AND (low IS NULL OR py >= {_height('px', 'low.')})")
+        .select(key, "n")
+    )
+    both = between.filter("n > 0").groupBy(key).agg(F.sum("n").alias("n")).unionByName(tested.groupBy(key).agg(F.sum("n").alias("n")))
+    return both.withColumnRenamed(key, own)
+
+
 def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str, hint: str | None = None) -> DataFrame:
     """Pairs of slabs of one bucket that share an x-range (l, r), with the heights at its ends.
 

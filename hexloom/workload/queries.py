@@ -272,9 +272,9 @@ def points_in_areas(spark, sf):
 def points_in_stands(spark, sf):
     """Concave, overlapping polygons: a point may lie in several."""
     inside = O.points_in_polygons(
-        M.normalized_points(D.points_d(spark, sf)), stand_edges(spark, sf), "stand_id", 50.0
+        M.normalized_points(D.points_d(spark, sf)), stand_edges(spark, sf), "stand_id", 50.0, counted=True
     )
-    return inside.groupBy("stand_id").agg(F.count(F.lit(1)).alias("tree_count"))
+    return inside.groupBy("stand_id").agg(F.sum("n").alias("tree_count"))
 
 
 def overlap_area(spark, sf):

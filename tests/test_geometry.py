@@ -84,6 +84,34 @@ def test_points_in_polygons_against_even_odd(spark, side):
         assert {(r["p"], r["id"]) for r in got} == expected
 
 
+@pytest.mark.parametrize("side, sites", [(0.7, 32), (3.0, 2), (40.0, 0.05), (40.0, 0.0001)])
+def test_counted_points_equal_the_pairs(spark, monkeypatch, side, sites):
+    """Also for points on outlines, on cell borders and repeated ones, and outlines that cross themselves."""
+    monkeypatch.setattr(O, "SITES_PER_CELL", sites)
+    shapes = {"A1": A1, "A2": A2, "B1": B1, "B2": B2, "X": [[(0, 0), (8, 8), (8, 0), (0, 8)]], "S": SQUARE}
+    rng = random.Random(3)
+    points = [(rng.uniform(-4, 13), rng.uniform(-5, 11)) for _ in range(600)]
+    points += [(x / 4, y / 4) for x in range(-8, 50) for y in range(-8, 48)] + [(2.5, 2.5)] * 20
+    frame = spark.createDataFrame(points, "x double, y double")
+    edges = P.edges(polygons(spark, **shapes), "id")
+    pairs = O.points_in_polygons(frame, edges, "id", side).groupBy("id").count()
+    counts = O.points_in_polygons(frame, edges, "id", side, counted=True).groupBy("id").agg(F.sum("n").alias("count"))
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in pairs.collect()}
+
+
+def test_points_of_cells_inside_are_not_paired(spark, monkeypatch):
+    """Every point met every polygon over its bucket, so pairs grew with points times polygons."""
+    monkeypatch.setattr(O, "SITES_PER_CELL", 1)
+    frame = spark.range(4096).selectExpr("id % 64 + 0.5D AS x", "int(id / 64) + 0.5D AS y")
+    shapes = {f"s{i}": [[(i, i), (60 - i, i), (60 - i, 60 - i), (i, 60 - i)]] for i in range(10)}
+    edges = P.edges(polygons(spark, **shapes), "id")
+    counts = O.points_in_polygons(frame, edges, "id", 64.0, counted=True)
+    assert {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()} == {f"s{i}": (60 - 2 * i) ** 2 for i in range(10)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    # Whole columns are told by running counts; no pair meets on the bucket alone.
+    assert "below" in plan and "_bx" not in plan
+
+
 def test_points_on_shared_edges_belong_to_one_square(spark):
     edges = P.edges(
         polygons(spark, **{f"{i}{j}": shift(SQUARE, i, j) for i in range(3) for j in range(3)}), "id"

@@ -4,15 +4,16 @@ A document's set holds its distinct shingles of five words. 384 minima per set g
 which miss a pair of similarity 0.75 with a probability of 4e-6. The minima are also folded into a
 parity bitmap of 1024 bits; the number of ones in the XOR of two bitmaps estimates high similarities
 closely, and pairs that it places six deviations below the threshold leave before any set is read, as do
-pairs whose sizes alone rule the threshold out. Of unrelated pairs next to none pass, of pairs at 0.3
-about one in a hundred.
+pairs whose sizes alone rule the threshold out. Pairs from about 0.58 on pass, next to none under 0.4.
 
 Work stays linear in groups of copies. Documents with the same set are one class, of which only the
 representative goes on. First a few bands alone join large groups: a member is compared with at most four
 of the smallest members of its buckets. Then only buckets of any band that hold more than one component
-are opened. In rounds their members meet a few random ones of other components; the pairs that are
-left are compared only between members still in different components, in blocks, and only survivors of
-the screen leave the join.
+are opened. In rounds their members meet a few random ones of other components, as long as that finds
+links. What is left is compared only between members still in different components, in blocks: a task
+screens all pairs of a block at once, and each member goes on as one row with the list of its partners.
+Members with a common smallest partner form a unit, cut into blocks, to which each set is sent once, so
+that sets are never repeated for every pair; of a unit's links only those that join something are kept.
 
 Defined cases: null or blank texts have an empty set and are linked with nothing; a text under five
 words is one shingle; a null id never names a component, and a group of null ids has a null one;
@@ -46,8 +47,9 @@ PERCENT = 75
 BLOCK = 256
 #: Bands that large groups are joined by before the others are looked at.
 FIRST_BANDS = 8
-#: Rounds of random meetings before what is left of a bucket is compared as a whole.
-ROUNDS = 3
+#: Rounds of random meetings before what is left of a bucket is compared as a whole; they end early once
+#: fewer than one meeting in ``WORTH`` is a link.
+ROUNDS, WORTH = 3, 20
 
 #: The sketch as 64-bit columns.
 _PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
@@ -60,7 +62,9 @@ def _largest_difference(similarity: float) -> int:
     """Bits that two sketches of sets this similar differ in, plus six standard deviations."""
     flips = 2 * (1 - similarity) * SAMPLES
     expected = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
-    spread = math.sqrt(4 * SAMPLES * similarity * (1 - similarity) + SKETCH_BITS / 8)
+    # The number of flips varies, and so does how many of a given number meet in a bit.
+    decay = math.exp(-4 * flips / SKETCH_BITS)
+    spread = math.sqrt(decay * 4 * SAMPLES * similarity * (1 - similarity) + SKETCH_BITS / 4 * (1 - decay) - flips * decay)
     return math.ceil(expected + 6 * spread)
 
 
@@ -184,23 +188,174 @@ def _screened(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
     return join_groups(pairs, centres, ["b"], "degree").join(mine, "a").filter(near).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold; texts are read again for the classes in question only.
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of sorted batches, one table for each run of equal values in the first ``keys`` columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]])
+        cuts = (np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            key = own[:, lo].tolist()
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _lists(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and all values of a column of lists without nulls."""
+    whole = rows.column(name).combine_chunks()
+    return whole.value_lengths().to_numpy(zero_copy_only=False), whole.flatten().to_numpy(zero_copy_only=False)
+
+
+def _partners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pairs: the members, their smallest partner or themselves, and as lists (lengths, values) the b of each a."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    members, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    least = members.copy()
+    np.minimum.at(least, at[: len(a)], b)
+    np.minimum.at(least, at[len(a) :], a)
+    return members, least, np.bincount(at[: len(a)], minlength=len(members)), b
+
+
+def _as_lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+
+
+def _meet(limit: int):
+    """(rep, least, asked) of each block of rows (bucket, bi, bj, block, rep, label, n_shingles, sketch) that pass the screen."""
+
+    def found(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
+        block, rep, label, n = (_column(rows, c) for c in ("block", "rep", "label", "n_shingles"))
+        x, y = np.flatnonzero(block == bi)[:, None], np.flatnonzero(block == bj)[None, :]
+        fits = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        if bi == bj:
+            fits &= rep[x] < rep[y]
+        if not fits.any():
+            return rep[:0], rep[:0]
+        differing = np.zeros(fits.shape, np.int32)
+        for c in _PARTS:
+            part = _column(rows, c).view(np.uint64)
+            differing += np.bitwise_count(part[x] ^ part[y])
+        i, j = np.nonzero(fits & (differing <= limit))
+        one, other = rep[x[i, 0]], rep[y[0, j]]
+        return np.maximum(one, other), np.minimum(one, other)
+
+    def told(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        members, least, lengths, asked = _partners(*np.unique(np.stack([np.concatenate(c) for c in zip(*pairs, strict=True)]), axis=1))
+        return pa.record_batch([pa.array(members), pa.array(least), _as_lists(lengths, asked)], names=["rep", "least", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, size = [], 0
+        for rows in _runs(batches, 3):
+            pairs.append(found(rows))
+            size += len(pairs[-1][0]) + 1
+            if size > BLOCK * BLOCK:
+                yield told(pairs)
+                pairs, size = [], 0
+        if pairs:
+            yield told(pairs)
+
+    return run
+
+
+def _unit_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(home, ba, bb, rep, asked) of every member that a unit of such rows asks or is asked for."""
+    for rows in _runs(batches, 3):
+        lengths, asked = _lists(rows, "asked")
+        members, _, lengths, asked = _partners(np.repeat(_column(rows, "rep"), lengths), asked)
+        unit = [pa.array(np.full(len(members), rows.column(c)[0].as_py()), rows.column(c).type) for c in ("home", "ba", "bb")]
+        yield pa.record_batch([*unit, pa.array(members), _as_lists(lengths, asked)], names=["home", "ba", "bb", "rep", "asked"])
+
+
+def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join something within a unit, by the full sets of its rows (home, ba, bb, rep, asked, own)."""
+    for rows in _runs(batches, 3):
+        rep, (sizes, values) = _column(rows, "rep"), _lists(rows, "own")
+        distinct, codes = np.unique(values, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(distinct), bool)
+        order = np.argsort(rep)
+        lengths, asked = _lists(rows, "asked")
+        # A member whose set could not be read is no one's partner.
+        at = order[np.minimum(np.searchsorted(rep, asked, sorter=order), len(rep) - 1)]
+        known, ends = rep[at] == asked, np.cumsum(lengths)
+        group, links = np.arange(len(rep)), []
+        for i in np.flatnonzero(lengths):
+            span = slice(ends[i] - lengths[i], ends[i])
+            others = at[span][known[span]]
+            others = others[group[others] != group[i]]
+            if not len(others):
+                continue
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[codes], starts, dtype=np.int64)[others]
+            mark[own] = False
+            for j in others[100 * common >= PERCENT * (sizes[i] + sizes[others] - common)]:
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
+                    links.append((rep[i], rep[j]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sets_of(reps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, own): the full sets of classes; texts are read again for the classes in question only.
 
     A class is read from the row of its smallest id whose set has the class's digests.
     """
-    ids = settle(pairs.selectExpr("inline(array(struct(a AS rep), struct(b AS rep)))").distinct().join(classes.select("rep", "first"), "rep"), "ids")
+    ids = settle(reps.join(classes.select("rep", "first"), "rep"), "ids")
     asked, segments = bloom.build(ids, "first", ids.count())
-    texts = bloom.possibly(docs.filter("doc_id IS NOT NULL"), "doc_id", settle(asked, "filter"), segments, "__asked")
+    asked = settle(asked, "filter")
+    texts = bloom.possibly(docs.filter("doc_id IS NOT NULL"), "doc_id", asked, segments, "__asked")
     sets = texts.filter("__asked").select("text").mapInArrow(_sets, "d1 long, d2 long, n_shingles long, own array<bigint>")
     sets = settle(sets.selectExpr(f"{_CLASS} AS rep", "own").join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    for done in (ids, asked):
+        discard(done)
+    return sets
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose full sets reach the threshold, for pairs that grow with the rows alone."""
+    sets = _sets_of(pairs.selectExpr("inline(array(struct(a AS rep), struct(b AS rep)))").distinct(), docs, classes)
     # A centre with very many partners is repeated once for every 256 of them, so that no task gets them all.
     parts = pairs.groupBy("b").agg(F.expr("cast(ceil(count(1) / 256) as int) AS parts"))
     spread = pairs.join(parts, "b").withColumn("part", F.expr("cast(pmod(xxhash64(a), parts) as int)"))
     centres = sets.join(parts, sets["rep"] == parts["b"]).selectExpr("b", "own AS theirs", "explode(sequence(0, parts - 1)) AS part")
     both = spread.join(centres, ["b", "part"]).join(sets.selectExpr("rep AS a", "own"), "a")
     common = both.selectExpr("a", "b", "size(array_intersect(own, theirs)) AS i", "size(own) + size(theirs) AS n")
-    return common.filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b")
+    links = settle(common.filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b"), "links")
+    discard(sets)
+    return links
+
+
+def _confirmed_in_units(near: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links enough to join all that (rep, least, asked) of ``_meet`` link, compared in blocks of units."""
+    asks = settle(near.groupBy("rep").agg(F.min("least").alias("home"), F.expr("array_distinct(flatten(collect_list(asked))) AS asked")), "asks")
+    homes = settle(asks.groupBy("home").agg(F.expr("count(1) AS members")), "homes")
+    dealt = join_groups(asks, homes, ["home"], "members").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK}) as int)"))
+    dealt = dealt.selectExpr("home", "cast(pmod(xxhash64(rep), blocks) as int) AS ba", "explode(sequence(0, blocks - 1)) AS bb", "rep", "asked", "blocks")
+    dealt = dealt.withColumn("asked", F.expr("if(blocks = 1, asked, filter(asked, x -> pmod(xxhash64(x), blocks) = bb))")).drop("blocks").filter("size(asked) > 0")
+    unit = ["home", "ba", "bb"]
+    shape = "home long, ba int, bb int, rep long, asked array<bigint>"
+    units = settle(dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_unit_members, shape), "units")
+    sets = _sets_of(asks.select("rep"), docs, classes)
+    links = units.join(sets, "rep").select(*unit, "rep", "asked", "own").repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_unit_links, "a long, b long")
+    links = settle(links, "links")
+    for done in (asks, homes, units, sets):
+        discard(done)
+    return links
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +401,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     )
     met = join_groups(entries, buckets, ["band", "bucket"], "members")
     pairs = met.filter("rep != least").groupBy("rep", F.expr("band % 4 AS draw")).agg(F.min("least").alias("b")).selectExpr("rep AS a", "b").distinct()
-    links = settle(_confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs, classes), "links")
+    links = _confirmed(settle(_screened(settle(pairs, "pairs"), sketches, limit), "screened"), docs, classes)
     found = components(links, "a", "b")
 
     # All bands: only the members of buckets with several components go on.
@@ -265,6 +420,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
     # Buckets whose members are still in different components. First, in rounds, every member meets up to
     # four random members of other components, which joins what belongs to a large group.
+    worth = True
     for turn in range(ROUNDS + 1):
         labelled = met.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         labelled = settle(
@@ -277,7 +433,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
             ).filter("lo != hi"),
             "mixed",
         )
-        if turn == ROUNDS:
+        if turn == ROUNDS or not worth:
             break
         open_rows = join_groups(labelled.select("band", "bucket", "rep", "label"), mixed, ["band", "bucket"], "members")
         drawn = open_rows.filter("label != centre.label").groupBy("rep", F.expr("band % 4 AS draw")).agg(
@@ -286,8 +442,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
         drawn = settle(drawn.selectExpr("greatest(rep, other) AS a", "least(rep, other) AS b").distinct(), "drawn")
         if drawn.isEmpty():
             break
-        links = settle(_confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs, classes), "links")
+        links = _confirmed(settle(_screened(drawn, sketches, limit), "screened"), docs, classes)
         found = _joined(found, links)
+        worth = links.count() * WORTH >= drawn.count()
+        for done in (labelled, mixed, drawn, links):
+            discard(done)
 
     # Then the pairs of a bucket that are still apart, block by block.
     mixed = mixed.drop("centre")
@@ -296,17 +455,16 @@ def _labelled(docs: DataFrame) -> DataFrame:
         "band", "bucket", "rep", "label", "n_shingles", *_PARTS,
         f"cast(ceil(members / {BLOCK}) as int) AS blocks", f"cast(pmod(xxhash64(rep, 3), ceil(members / {BLOCK})) as int) AS block",
     )
-    open_rows = settle(open_rows, "open")
-    left = open_rows.selectExpr("*", "block AS bi", "explode(sequence(block, blocks - 1)) AS bj")
-    right = open_rows.selectExpr(
-        "band", "bucket", "rep AS rep2", "label AS label2", "n_shingles AS m", "block AS bj", *[f"{c} AS t{c[1:]}" for c in _PARTS], "explode(sequence(0, block)) AS bi"
-    )
-    across = left.join(right, ["band", "bucket", "bi", "bj"]).filter(
-        f"label != label2 AND (bi < bj OR rep < rep2) AND {_sizes_fit('n_shingles', 'm')} AND {_differing('s', 't')} <= {limit}"
+    # A row goes to every block that its own one meets.
+    open_rows = open_rows.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).selectExpr(
+        "bucket", "least(block, other) AS bi", "greatest(block, other) AS bj", "block", "rep", "label", "n_shingles", *_PARTS
     )
-    more_pairs = settle(across.selectExpr("greatest(rep, rep2) AS a", "least(rep, rep2) AS b").distinct(), "across")
-    if not more_pairs.isEmpty():
-        found = _joined(found, settle(_confirmed(more_pairs, docs, classes), "links"))
+    meeting = open_rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    near = settle(meeting.mapInArrow(_meet(limit), "rep long, least long, asked array<bigint>"), "near")
+    for done in (met, labelled):
+        discard(done)
+    if not near.isEmpty():
+        found = _joined(found, _confirmed_in_units(near, docs, classes))
 
     # A component is named by the smallest id in any of its classes.
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.expr("coalesce(component, rep)"))

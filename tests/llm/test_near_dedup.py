@@ -74,3 +74,45 @@ def test_sketches_screen_unrelated_sets():
 
     assert all(differ(0.75) <= limit for _ in range(60))
     assert sum(differ(0.0) <= limit for _ in range(60)) == 0 and sum(differ(0.3) <= limit for _ in range(60)) <= 6
+
+
+def test_a_large_bucket_of_loose_copies_never_becomes_a_row_per_pair(spark, monkeypatch):
+    """Texts from one template, most at 0.5 to 0.7 to each other, a few linked in ways that the first meetings can miss."""
+    draw = np.random.default_rng(11)
+    rows = []
+    for i in range(240):
+        text = [f"t{k}" for k in range(150)]
+        for k in draw.choice(150, 5 if i % 3 else 3, replace=False):
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    frames = {}
+    settle = near_dedup.settle
+
+    def recorded(df, name="stage"):
+        out = settle(df, name)
+        if out.columns == ["a", "b"]:
+            frames[name] = max(frames.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "settle", recorded)
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_hand(rows)
+    assert frames and max(frames.values()) <= 4 * len(rows), frames
+
+
+def test_units_join_what_blocks_of_members_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "FIRST_BANDS", 0)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    rows = []
+    for group in range(2):
+        text = [f"g{group}w{i}" for i in range(100)]
+        for step in range(10):
+            rows.append((group * 10 + step, " ".join(text)))
+            text[9 * step + 5] = f"new{group}x{step}"
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_hand(rows)
+
+
+def test_the_screen_drops_most_pairs_at_one_half():
+    assert near_dedup._largest_difference(0.75) < 512 * (1 - np.exp(-2 * 384 * 2 * 0.45 / 1024)) + 1

@@ -192,6 +192,20 @@ def test_suffix_tree_against_the_definition(spark, monkeypatch, most, hot):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_suffix_tree_looks_strings_up_in_the_order_of_the_table(monkeypatch):
+    """Searched in the order of the text, every string read far parts of a table of two million rows anew."""
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda table, keys: asked.append(keys) or search(table, keys))
+    strings = np.array([70, 10, 90, 30, 70, 50, 20], np.uint64)
+    table = np.array([10, 30, 60, 70], np.uint64)
+    inside, at, found = suffix_tree_lm._looked_up(table, strings, np.array([0, 2, 3, 4, 6]))
+    assert (np.diff(asked[0].astype(int)) >= 0).all()
+    assert sorted(inside.tolist()) == [0, 2, 3, 4, 6] and set(inside[found].tolist()) == {0, 3, 4}
+    assert (table[at[found]] == strings[inside[found]]).all()
+    inside, at, found = suffix_tree_lm._looked_up(table[:0], strings, np.array([1, 5]))
+    assert len(inside) == len(at) == 2 and not found.any()
+
+
 def test_suffix_tree_keeps_long_contexts(spark):
     """Only the word three places back tells what comes: a context of two words can't."""
     texts = {i: f"{'xy'[i % 2]} middle of {'pq'[i % 2]}" for i in range(200)}

@@ -8,10 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hexloom.llm import ann, language_id, near_dedup, packing, passages, quality, secrets, suffix_tree_lm, trie_bpe
+from hexloom.llm.common import WordHashes, word_hashes, words
 from hexloom.llm.components import components
 from hexloom.llm.exact_dedup import drop_repeats, exact_groups
 from hexloom.session import settle
@@ -283,6 +285,36 @@ def test_passages(spark, docs, empty):
     assert {1, 2, 3} <= {r["doc_id"] for r in passages.repeated_passages(docs).collect()}
 
 
+def test_words_are_hashed_side_by_side():
+    """One Python object a word was half of the time of a pass over the texts."""
+    texts = ["", "  A b ", None, " ", "a\tb\nc\x0bd\x0ce\rf", "x\x1cy\x1fv", "É\x85é\xa0Ü k", "\x00a \x00", "ÄB cD"]
+    texts += ["x" * n + " " + "yÖZ" * n for n in range(40)] + [f"a{chr(i)}b{chr(i)}" for i in range(300)]
+    whole = pa.array(texts * 3)
+    for column in (whole, whole[5:60], whole[:0], pa.array([None, ""], pa.string())):
+        got, want = list(word_hashes(column)), [WordHashes().of(words(t)) for t in column.to_pylist()]
+        assert len(got) == len(want) and all(np.array_equal(g, w) for g, w in zip(got, want))
+
+
+def test_passages_are_aligned_without_a_grid_of_distances(monkeypatch):
+    """Every pair compared all its places under all distances."""
+    plain, rng = passages._aligned, np.random.default_rng(9)
+    monkeypatch.setattr(passages, "_aligned", None)
+    found = 0
+    for k in range(400):
+        a = rng.integers(0, 1 << 62, rng.integers(30, 200))
+        a[rng.integers(0, len(a), k % 9)] = a[0]
+        b = np.insert(a, rng.integers(0, len(a), k % 7), rng.integers(0, 1 << 62, k % 7))
+        b[rng.integers(0, len(b), k % 5)] = 7
+        first, last = sorted(rng.integers(-30, 40, 2).tolist())
+        want = passages._similar(*plain(a, b, first, last)) if np.isin(a, b).sum() >= passages.EQUAL else []
+        assert passages._stretches(a, b, first, last) == want
+        found += bool(want)
+    assert 100 < found < 400
+    monkeypatch.setattr(passages, "_aligned", plain)
+    one = np.full(300, 5)
+    assert passages._stretches(one, one[:250], -20, 20) == passages._similar(*plain(one, one[:250], -20, 20)) != []
+
+
 def test_passages_with_inserted_and_deleted_words(spark):
     """Sides that are too short to be passages of their own still make one."""
     rng = np.random.default_rng(11)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hexloom.functions.hexgrid import hex_boundary
 from hexloom.functions.numeric import num
@@ -11,8 +14,8 @@ from hexloom.operators.polygons import MIN_OVERLAP_M2, cut_to_grid, slab_area
 from hexloom.session import settle
 
 SLAB = ("s", "x1", "y1", "x2", "y2")
-#: Counted points: sites aimed at in a cell of a bucket, and the most cells along its side.
-SITES_PER_CELL, MOST_CELLS = 32, 64
+#: Counted points: the fewest in a block, rows of a group, and places looked at side by side.
+SITES_PER_CELL, GROUP, STEP = 32, 1 << 16, 1 << 20
 
 
 def _height(x: str, slab: str = "", tail: str = "") -> str:
@@ -45,12 +48,12 @@ def points_in_polygons(
     not, so a coverage never claims a point twice. The cover is settled, so Spark knows its bytes and
     broadcasts it below its own threshold; beyond that the join shuffles on the bucket.
     """
-    cover = settle(polygon_cover(edge_table, key, side), "cover")
     h = num(side)
     located = points.selectExpr("*", f"floor({x} / {h}) AS bx", f"floor({y} / {h}) AS by")
     px, py = f"({x} - bx * {h})", f"({y} - by * {h})"
     if counted:
-        return _counted(located.selectExpr("bx", "by", f"{px} AS px", f"{py} AS py"), cover, key, h)
+        return _counted(located.selectExpr("bx", "by", f"{px} AS px", f"{py} AS py"), polygon_cover(edge_table, key, side), key, side)
+    cover = settle(polygon_cover(edge_table, key, side), "cover")
     # Pieces are disjoint, so a point meets one at most and needs no regrouping.
     cover = cover.withColumnsRenamed({"bx": "_bx", "by": "_by"})
     holds = (
@@ -61,73 +64,123 @@ def points_in_polygons(
     return found.drop("bx", "by", "_bx", "_by", "xa", "xb", "top", "low")
 
 
-def _counted(located: DataFrame, cover: DataFrame, key: str, h: str) -> DataFrame:
+def _counted(located: DataFrame, cover: DataFrame, key: str, side: float) -> DataFrame:
     """(key, n) of points (bx, by, px, py) in the disjoint pieces of polygons, in parts that add up.
 
-    Buckets get a grid of cells that follows their number of points. In a column of cells that a piece
-    spans, the cells between its two lines are told by running counts; only points in cells that a line
-    may pass, or in columns where the piece begins or ends, are tested one by one, by the same rule.
+    Points and pieces are shuffled once, to units of a bucket with at most about ``GROUP`` of each; a bucket
+    with more of them is several units, in which every part of its points meets every part of its pieces.
+    Tasks take ``GROUP`` points of many units at a time. What a piece holds there is told by ``_unit_counts``.
     """
     own, key = key, "_key"  # no clash between the caller's key name and working columns
     cover = cover.withColumnRenamed(own, key)
     # A piece lies in 0 <= x < h; a place a rounding below y = 0 is held where a piece has no lower line.
-    inside = located.filter(f"px >= 0D AND px < {h} AND py < {h}").groupBy("bx", "by", "px", "py").agg(F.count(F.lit(1)).alias("n"))
-    copies = settle(inside, "copies")
-    cells = f"least({MOST_CELLS}, int(pow(2, ceil(log2(greatest(1, sqrt(count(1) / {SITES_PER_CELL}D)))))))"
-    # Numbered, so that a cell is one long.
-    grid = copies.groupBy("bx", "by").agg(F.expr(cells).alias("k")).selectExpr("*", f"{h} / k AS w")
-    grid = settle(grid.withColumn("id", F.monotonically_increasing_id()), "grid")
-
-    def at(value: str) -> str:
-        """The last cell that begins at ``value`` or before; products decide, as quotients may round up."""
-        return f"int(floor({value} / w) - if(floor({value} / w) * w > {value}, 1, 0))"
-
-    sites = copies.join(grid, ["bx", "by"]).selectExpr("id", "px", "py", "n", "k", f"{at('px')} AS f", f"greatest({at('py')}, 0) AS r")
-    sites = sites.selectExpr(f"id * {MOST_CELLS} + f AS col", "k", "r", "px", "py", "n")
-    sums = sites.groupBy("col", "k", "r").agg(F.sum("n").alias("c")).groupBy("col", "k")
-    running = sums.agg(F.collect_list(F.struct("r", "c")).alias("cells")).selectExpr(
-        "col", "transform(sequence(0, k), i -> aggregate(cells, 0L, (t, e) -> t + if(e.r < i, e.c, 0L))) AS below"
+    inside = located.filter(f"px >= 0D AND px < {num(side)} AND py < {num(side)}")
+    inside = settle(inside.withColumn("row", F.monotonically_increasing_id()), "located")
+    cover = settle(cover.withColumn("row", F.monotonically_increasing_id()), "pieces")
+
+    # Parts of the points and of the pieces of each bucket that has both.
+    grid = inside.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("k")).join(
+        cover.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("m")), ["bx", "by"]
     )
-    running = settle(running, "running")
+    grid = settle(grid.selectExpr("bx", "by", f"ceil(k / {GROUP}) AS parts", f"ceil(m / {GROUP}) AS shares", "k", "m"), "grid")
+    rows = grid.agg(F.expr("sum(greatest(k * shares, m * parts))")).first()[0] or 0
+    groups = max(1, -(-rows // GROUP))
 
-    # Lines may be evaluated a rounding aside of their ends; the margin also covers rounded quotients.
-    margin = f"({h} * 1e-9D)"
-    last = "int(ceil(xb / w) - 1 + if(ceil(xb / w) * w < xb, 1, 0))"
+    def dealt(unit: str, *columns: str) -> list[str]:
+        return [f"cast(pmod(xxhash64(bx, by, {unit}), {groups}) as int) AS g", "bx", "by", f"{unit} AS unit", *columns]
 
-    def ends(line: str, of: str) -> str:
-        return f"{of}({line}y + {line}m * (greatest(xa, f * w) - {line}x), {line}y + {line}m * (least(xb, (f + 1) * w) - {line}x))"
+    points = inside.join(grid, ["bx", "by"]).selectExpr("*", "explode(sequence(0, shares - 1)) AS share")
+    points = points.selectExpr(*dealt("pmod(row, parts) * shares + share", "px", "py"))
+    lines = [f"{line}.{c} AS {line}_{c}" for line in ("top", "low") for c in SLAB[1:]]
+    pieces = cover.join(grid, ["bx", "by"]).selectExpr("*", "explode(sequence(0, parts - 1)) AS part")
+    pieces = pieces.selectExpr(*dealt("part * shares + pmod(row, shares)", key, "xa", "xb", *lines))
+    schema = T.StructType([cover.schema[key], T.StructField("below", T.LongType()), T.StructField("tested", T.LongType())])
+    counts = points.groupBy("g").cogroup(pieces.groupBy("g")).applyInArrow(_unit_counts(side, SITES_PER_CELL), schema)
+    return counts.groupBy(key).agg(F.expr("sum(below + tested) AS n")).withColumnRenamed(key, own)
 
-    spans = cover.join(grid, ["bx", "by"]).selectExpr(
-        key, "id", "k", "w", "xa", "xb", "top", "low", "top.x1 AS tx", "top.y1 AS ty", "(top.y2 - top.y1) / (top.x2 - top.x1) AS tm",
-        "low.x1 AS lx", "low.y1 AS ly", "(low.y2 - low.y1) / (low.x2 - low.x1) AS lm", f"top.y1 >= {h} AND top.y2 >= {h} AS lid",
-        f"greatest({at('xa')}, 0) AS fa", f"least({last}, k - 1) AS fb",
-    )
-    # Cells a to b of a column meet the lower line and c to d the upper one.
-    lines = spans.selectExpr("*", "explode(sequence(fa, greatest(fa, fb))) AS f").selectExpr(
-        key, f"id * {MOST_CELLS} + f AS col", "xa", "xb", "top", "low", "xa <= f * w AND xb >= (f + 1) * w AS whole",
-        f"if(low IS NULL, 0, greatest(int(floor(({ends('l', 'least')} - {margin}) / w)), 0)) AS a",
-        f"if(low IS NULL, -1, least(int(floor(({ends('l', 'greatest')} + {margin}) / w)), k - 1)) AS b",
-        f"if(lid, k, greatest(int(floor(({ends('t', 'least')} - {margin}) / w)), 0)) AS c",
-        f"if(lid, k - 1, least(int(floor(({ends('t', 'greatest')} + {margin}) / w)), k - 1)) AS d",
-    )
-    between = (
-        lines.filter("whole AND b + 1 < c").select(key, "col", "b", "c")
-        .join(running, "col").selectExpr(key, "below[c] - below[b + 1] AS n")
-    )
 
-    def cells_of(low: str, high: str) -> str:
-        return f"if({low} <= {high}, sequence({low}, {high}), cast(array() AS array<int>))"
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places from ``start`` to before ``stop`` of each row."""
+    sizes = np.maximum(stop - start, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - start, sizes)
 
-    met = f"if(whole, concat({cells_of('a', 'least(b, d)')}, {cells_of('greatest(a, b + 1, c)', 'd')}), {cells_of('a', 'd')})"
-    tested = (
-        lines.selectExpr(key, "col", "xa", "xb", "top", "low", f"explode({met}) AS r")
-        .selectExpr(key, f"col * {MOST_CELLS} + r AS cell", "xa", "xb", "top", "low")
-        .join(sites.selectExpr(f"col * {MOST_CELLS} + r AS cell", "px", "py", "n"), "cell")
-        .filter(f"px >= xa AND px < xb AND py < {_height('px', 'top.')} AND (low IS NULL OR py >= {_height('px', 'low.')})")
-        .select(key, "n")
-    )
-    both = between.filter("n > 0").groupBy(key).agg(F.sum("n").alias("n")).unionByName(tested.groupBy(key).agg(F.sum("n").alias("n")))
-    return both.withColumnRenamed(key, own)
+
+def _unit_counts(side: float, sites: float):
+    """(key, below, tested) of each piece that holds points: how many were told by blocks, and one by one.
+
+    The points of a unit in rising x are cut into blocks, and each block is ordered by y. In a block that a
+    piece spans, binary searches tell the points between its two lines; only points beside a sloping line
+    and those of the blocks where the piece begins or ends are tested, by the rule of ``points_in_polygons``.
+    """
+
+    def run(points: pa.Table, pieces: pa.Table) -> pa.Table:
+        n, m = len(points), len(pieces)
+        if not n or not m:
+            return pa.table({"_key": pieces.column("_key")[:0], "below": pa.array([], pa.int64()), "tested": pa.array([], pa.int64())})
+        px, py = (points.column(c).to_numpy() for c in ("px", "py"))
+        unit = np.zeros(n + m, np.int64)
+        for c in ("bx", "by", "unit"):
+            values = np.unique(np.concatenate([t.column(c).to_numpy() for t in (points, pieces)]), return_inverse=True)[1]
+            unit = np.unique(unit * (n + m) + values, return_inverse=True)[1]
+        # A line's parts x1, y1, x2, y2; where there is no lower one, all points are over it.
+        top, low = ([pieces.column(f"{line}_{c}").to_numpy() for c in SLAB[1:]] for line in ("top", "low"))
+        floor = pieces.column("low_x1").is_null().to_numpy()
+
+        # Ranks in place of values, so that one search serves all units.
+        order = np.lexsort((px, unit[:n]))
+        own, px, py = unit[:n][order], px[order], py[order]
+        xs, ys = np.unique(px), np.unique(py)
+        at = own * (len(xs) + 1) + np.searchsorted(xs, px)
+        begin, end = (np.searchsorted(at, unit[n:] * (len(xs) + 1) + np.searchsorted(xs, pieces.column(c).to_numpy())) for c in ("xa", "xb"))
+        block = max(1, int(max(sites, np.sqrt(8 * n / len(np.unique(own))))))
+        order = np.lexsort((py, np.arange(n) // block))
+        bx, by = px[order], py[order]
+        at = np.arange(n) // block * (len(ys) + 1) + np.searchsorted(ys, by)
+        left, right = px[::block], px[np.minimum(np.arange(block - 1, n + block - 1, block), n - 1)]
+        first, last = -(-begin // block), end // block
+        head = np.minimum(first * block, end)
+        below, tested = np.zeros(m, np.int64), np.zeros(m, np.int64)
+
+        def height(line: list[np.ndarray], p: np.ndarray, x: np.ndarray) -> np.ndarray:
+            x1, y1, x2, y2 = (v[p] for v in line)
+            return y1 + (y2 - y1) * (x - x1) / (x2 - x1)
+
+        def test(now: slice, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            held = (y < height(top, p, x)) & (floor[p] | (y >= height(low, p, x)))
+            tested[now] += np.bincount(p[held] - now.start, minlength=now.stop - now.start)
+
+        def bounds(line: list[np.ndarray], p: np.ndarray, k: np.ndarray, none: np.ndarray | None) -> list[np.ndarray]:
+            """Places in the blocks before which all points are below the line, and from which none is."""
+            ends = [height(line, p, v[k]) for v in (left, right)]
+            # Lines may be evaluated a rounding aside of their ends.
+            margin = np.where(line[1][p] == line[3][p], 0.0, side * 1e-9)
+            out = []
+            for value in (np.minimum(*ends) - margin, np.maximum(*ends) + margin):
+                value = value if none is None else np.where(none[p], -np.inf, value)
+                out.append(np.searchsorted(at, k * (len(ys) + 1) + np.searchsorted(ys, value)))
+            return out
+
+        # So many pieces at a time that what they meet stays small.
+        cost = np.cumsum(np.maximum(last - first, 0) + (head - begin) + np.maximum(end - np.maximum(last * block, head), 0))
+        cuts = np.unique(np.r_[0, np.searchsorted(cost, np.arange(STEP, cost[-1] + 1, STEP), side="right"), m])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            now = slice(lo, hi)
+            for start, stop in ((begin[now], head[now]), (np.maximum(last * block, head)[now], end[now])):
+                p, i = _spread(start, stop)
+                test(now, p + lo, px[i], py[i])
+            p, k = _spread(first[now], last[now])
+            p += lo
+            (a, b), (c, d) = bounds(low, p, k, floor), bounds(top, p, k, None)
+            below[now] += np.bincount(p - lo, np.maximum(c - b, 0), hi - lo).astype(np.int64)
+            for start, stop in ((a, np.minimum(b, d)), (np.maximum(np.maximum(a, b), c), d)):
+                for part in range(0, len(p), STEP // block + 1):
+                    q, i = _spread(start[part : part + STEP // block + 1], stop[part : part + STEP // block + 1])
+                    test(now, p[q + part], bx[i], by[i])
+        some = np.flatnonzero(below + tested)
+        return pa.table({"_key": pieces.column("_key").take(pa.array(some)), "below": below[some], "tested": tested[some]})
+
+    return run
 
 
 def _slab_pairs(a: DataFrame, key_a: str, b: DataFrame, key_b: str, hint: str | None = None) -> DataFrame:

@@ -112,6 +112,22 @@ def test_points_of_cells_inside_are_not_paired(spark, monkeypatch):
     assert "below" in plan and "_bx" not in plan
 
 
+def test_counted_points_of_a_bucket_in_parts(spark, monkeypatch):
+    """A bucket of many points and pieces is several units; lines over it were one row a column of cells."""
+    monkeypatch.setattr(O, "GROUP", 40)
+    monkeypatch.setattr(O, "STEP", 100)
+    monkeypatch.setattr(O, "SITES_PER_CELL", 4)
+    rng = random.Random(11)
+    frame = spark.createDataFrame([(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(500)] + [(5.0, 5.0)] * 90, "x double, y double")
+    shapes = {f"s{i}": [[(i % 7, i % 5), (9, i % 3), (10 - i % 4, 9), (i % 6, 10)]] for i in range(60)}
+    edges = P.edges(polygons(spark, **shapes), "id")
+    pairs = O.points_in_polygons(frame, edges, "id", 16.0).groupBy("id").count()
+    counts = O.points_in_polygons(frame, edges, "id", 16.0, counted=True)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "xb#" in plan and "running" not in plan
+    assert {tuple(r) for r in counts.groupBy("id").agg(F.sum("n")).collect()} == {tuple(r) for r in pairs.collect()}
+
+
 def test_points_on_shared_edges_belong_to_one_square(spark):
     edges = P.edges(
         polygons(spark, **{f"{i}{j}": shift(SQUARE, i, j) for i in range(3) for j in range(3)}), "id"
